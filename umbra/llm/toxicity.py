@@ -24,6 +24,7 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -162,6 +163,19 @@ def apply(docs: DataFrame, model: Model, folds: int = 4, test_fold: int = 2, id_
     return base.mapInArrow(run, SCORES)
 
 
+def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the model does not predict toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        model = shared.value
+        cache = Cache(model.meter(), 1_000_000)
+        return texts.map(lambda t: model.score(max(map(cache.__getitem__, windows(t, model.width)), default=-99)) < POINT).astype(bool)
+
+    return docs.filter(clean(F.col(text_col)))
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, test_fold: int = 2, **options) -> DataFrame:
     """Learn from the rows outside the test fold, then score every row of docs."""
     return apply(docs, learn(docs, labels, label, folds=folds, test_fold=test_fold, **options), folds, test_fold)
