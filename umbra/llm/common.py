@@ -11,18 +11,16 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
-_BLANKS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def words(text: str | None, lower: bool = False) -> list[str]:
-    """The words of a text by WORD, only A-Z lower-cased on request; null: none."""
+def words(text: str | None, lower: bool = False) -> list[bytes]:
+    """The words of a text by WORD, in UTF-8, only A-Z lower-cased on request; null: none.
+
+    bytes.split() splits at exactly WORD's blanks, and bytes.lower() changes A-Z alone."""
     if not text:
         return []
-    text = text.translate(_BLANKS) if not text.isascii() or lower or any(c in text for c in "\t\n\x0b\x0c\r") else text
-    if lower:
-        text = text.lower() if text.isascii() else text.translate(_LOWER)
-    return [w for w in text.split(" ") if w]
+    raw = text.encode("utf-8", "surrogatepass")
+    return (raw.lower() if lower else raw).split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,16 +34,16 @@ SCORES = "doc_id long, held_out boolean, score double, predicted int"
 POINT = 0.3  # a document is predicted 1 from this score on
 
 
-def grams(word: str, sizes: tuple[int, int]) -> list[int]:
+def grams(word: bytes, sizes: tuple[int, int]) -> list[int]:
     """Hashes of the word and of the byte n-grams of <word> in UTF-8, n in sizes."""
-    b, crc = f"<{word}>".encode("utf-8", "surrogatepass"), zlib.crc32
+    b, crc = b"<%b>" % word, zlib.crc32
     return [crc(b), *[crc(b[i : i + n]) for n in range(sizes[0], sizes[1] + 1) for i in range(len(b) - n + 1)]]
 
 
-def terms(text: str | None) -> list[str]:
+def terms(text: str | None) -> list[bytes]:
     """The words, and for each word that repeats the one before it a mark that stands for such a word pair."""
     found = words(text)
-    return found + ["\x02"] * sum(map(str.__eq__, found, found[1:]))
+    return found + [b"\x02"] * sum(map(bytes.__eq__, found, found[1:]))
 
 
 def sample_of(labels: DataFrame, label: str, sample: int, folds: int, test_fold: int, id_col: str = "doc_id") -> DataFrame:
@@ -150,7 +150,7 @@ def apply(docs: DataFrame, model: Model, folds: int = 5, test_fold: int = 0, id_
         model = shared.value
         values, n, sizes = model.values.astype(float).tolist(), len(model.values), model.sizes
 
-        def value(word: str) -> float:
+        def value(word: bytes) -> float:
             at = grams(word, sizes)
             return sum([values[h % n] for h in at]) / len(at)
 

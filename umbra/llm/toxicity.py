@@ -37,21 +37,21 @@ from .quality import POINT, SCORES, sample_of
 WIDTH = 3
 
 
-def widened(text: str) -> bytes:
-    """Each UTF-8 byte as WIDTH bytes, the byte and fixed linear functions of it."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+def widened(text: bytes) -> bytes:
+    """Each byte as WIDTH bytes, the byte and fixed linear functions of it."""
+    b = np.frombuffer(text, np.uint8)
     out = np.empty((len(b), WIDTH), np.uint8)
     out[:, 0], out[:, 1], out[:, 2] = b, b * np.uint8(167) + np.uint8(13), b * np.uint8(91) + np.uint8(7)
     return out.tobytes()
 
 
-def windows(text: str | None, width: int) -> list[str]:
+def windows(text: str | None, width: int) -> list[bytes]:
     """Runs of `width` words at every word; fewer words make one run."""
-    found = [w.strip(".,;:!?&$%#*\"'()|") for w in words(text, lower=True)]
+    found = [w.strip(b".,;:!?&$%#*\"'()|") for w in words(text, lower=True)]
     found = [w for w in found if w]
     if width == 1 or len(found) <= width:
-        return found if width == 1 else [" ".join(found)] if found else []
-    return [" ".join(found[i : i + width]) for i in range(len(found) - width + 1)]
+        return found if width == 1 else [b" ".join(found)] if found else []
+    return [b" ".join(found[i : i + width]) for i in range(len(found) - width + 1)]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -77,8 +77,8 @@ class Model:
             return lambda window: -99
         toxic, ordinary = compressor(self.toxic), compressor(self.ordinary)
 
-        def gain(window: str) -> int:
-            data = widened(f" {window} ")
+        def gain(window: bytes) -> int:
+            data = widened(b" %b " % window)
             t = len(toxic.compress(data))
             if t - self.floor > 10 and 2 * t >= len(data) + 20 + self.floor:
                 return -99
@@ -93,9 +93,9 @@ class Model:
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def dictionary(samples: list[tuple[str, int]], size: int) -> bytes:
+def dictionary(samples: list[tuple[bytes, int]], size: int) -> bytes:
     """The windows' text, the commonest last, where matches cost least, as far as `size` bytes go."""
-    text = "".join(f" {w} " for w, _ in sorted(samples, key=lambda x: (x[1], x[0])))
+    text = b"".join(b" %b " % w for w, _ in sorted(samples, key=lambda x: (x[1], x[0])))
     return widened(text)[-size * WIDTH :]
 
 
@@ -106,15 +106,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     def split(batches):
         for batch in batches:
             rows = [(y, w) for y, text in zip(column(batch, "label"), column(batch, "text"), strict=True) for w in set(windows(text, width))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], ["label", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["label", "window"])
 
     # copies of one document count once, so that the words of a copied text do not tell
     seen = base.withColumn("h", F.xxhash64("text")).dropDuplicates(["label", "h"]).select("doc_id", "label", "text")
-    counted = seen.mapInArrow(split, "label int, window string").groupBy("window").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
+    counted = seen.mapInArrow(split, "label int, window binary").groupBy("window").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
     sizes = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model(b"", b"", width)
-    top = lambda df, by: [(r["window"], r[by]) for r in df.filter(F.length("window") <= 200).orderBy(F.desc(by), "window").limit(dictionary_windows).collect()]
+    top = lambda df, by: [(bytes(r["window"]), r[by]) for r in df.filter(F.octet_length("window") <= 200).orderBy(F.desc(by), "window").limit(dictionary_windows).collect()]
     counted = counted.withColumn("tells", F.col("bad") / sizes[1] >= ratio * (F.col("good") + 0.5) / sizes[0])
     enough = F.col("bad") >= max(least, math.ceil(least_share * sizes[1]))
     bad, good = top(counted.filter(enough & F.col("tells")), "bad"), top(counted.filter(~F.col("tells")), "good")
@@ -122,7 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         return Model(b"", b"", width)
     model = Model(dictionary(bad, toxic_bytes), dictionary(good, ordinary_bytes), width)
     own = compressor(model.toxic)
-    model = replace(model, floor=sorted(len(own.compress(widened(f" {w} "))) for w, _ in bad)[len(bad) // 2])
+    model = replace(model, floor=sorted(len(own.compress(widened(b" %b " % w))) for w, _ in bad)[len(bad) // 2])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
