@@ -13,6 +13,7 @@ length go by doc_id, piece.  Empty input gives no rows.  Extra columns are not r
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -26,10 +27,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+@functools.lru_cache(1)
 def encoder(tokenizer_path: str):
     """text -> numpy uint32 ids, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
     The tokenizer drops white space before it looks for words, so a text is encoded word by word with a bounded cache.
+    A Python worker keeps the cache for its next tasks.
     Texts are cut at plain spaces and line feeds only; any other white space stays for the tokenizer.
     """
     from tokenizers import Tokenizer
