@@ -1,11 +1,231 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables, each with the SQL that another engine runs for the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from umbra.functions import strategies as S
+from umbra.functions import text as T
+from umbra.operators import cloakmap, detect, mask, policy, resolve
+from umbra.sources import documents as D
 
-def oracle_sql():
-    return {}
+PATTERNS = {r.entity_type: r for r in detect.RECOGNIZERS}
+SHORT = {"email": "EMAIL_ADDRESS", "phone": "PHONE_NUMBER", "card": "CREDIT_CARD", "ip": "IP_ADDRESS"}
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).withColumn("node_id", F.lit("#/texts/0"))
+
+
+def _entities(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    found = detect.detect(_docs(spark, sf_dir), [PATTERNS[SHORT[n]] for n in names or SHORT])
+    return detect.entities(found, "doc_id", "lang")
+
+
+def _checked(name: str) -> str:
+    """SQL for the recognizer's check on m."""
+    if name == "card":
+        digit = "CAST(substr(m, i, 1) AS INTEGER)"
+        return f"list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN 2 * {digit} > 9 THEN 2 * {digit} - 9 ELSE 2 * {digit} END ELSE {digit} END)) % 10 = 0"
+    if name == "ip":
+        return "len(list_filter(str_split(m, '.'), lambda p: CAST(p AS INTEGER) > 255)) = 0"
+    return "TRUE"
+
+
+def _detect_sql(name: str) -> str:
+    r = PATTERNS[SHORT[name]]
+    return f"""SELECT doc_id, lang, entity_type, "start", "end", confidence, m AS text FROM (
+  SELECT doc_id, lang, '{r.entity_type}' AS entity_type, CAST({r.score} AS DOUBLE) AS confidence, m,
+    CAST(sum(length(g) + length(m)) OVER w - length(m) AS INTEGER) AS "start", CAST(sum(length(g) + length(m)) OVER w AS INTEGER) AS "end"
+  FROM (SELECT doc_id, lang, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT doc_id, lang, regexp_extract_all(text, '{r.pattern}') AS ms, regexp_split_to_array(text, '{r.pattern}') AS gs FROM documents))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {_checked(name)}"""
+
+
+ALL_SQL = " UNION ALL ".join(f"({_detect_sql(n)})" for n in SHORT)
+
+# Replacements by strategy: (Spark expression of the entity's type and text, SQL of entity_type and text).
+STRATEGIES = {
+    "redact": (S.Strategy("redact"), "repeat('*', CAST(length(text) AS INTEGER))"),
+    "redact_fixed": (S.Strategy("redact", {"preserve_length": False, "redact_char": "#"}), "'########'"),
+    "template": (S.Strategy("template", {"template": "[{entity_type}:{length}]"}), "'[' || entity_type || ':' || CAST(length(text) AS VARCHAR) || ']'"),
+    "hash_sha256": (S.Strategy("hash"), "sha256(text)"),
+    "hash_salted": (S.Strategy("hash", {"salt": "pepper", "truncate": 16, "prefix": "h_"}), "'h_' || substr(sha256(text || 'pepper'), 1, 16)"),
+    "hash_md5": (S.Strategy("hash", {"algorithm": "md5"}), "md5(text)"),
+    "partial_end": (S.Strategy("partial", {"format_aware": False}), "CASE WHEN length(text) > 4 THEN repeat('*', CAST(length(text) - 4 AS INTEGER)) || substr(text, length(text) - 3) ELSE repeat('*', CAST(length(text) AS INTEGER)) END"),
+    "partial_start": (S.Strategy("partial", {"format_aware": False, "position": "start", "visible_chars": 3, "mask_char": "X"}), "CASE WHEN length(text) > 3 THEN substr(text, 1, 3) || repeat('X', CAST(length(text) - 3 AS INTEGER)) ELSE repeat('X', CAST(length(text) AS INTEGER)) END"),
+    "partial_middle": (S.Strategy("partial", {"format_aware": False, "position": "middle"}), "CASE WHEN length(text) > 4 THEN substr(text, 1, 2) || repeat('*', CAST(length(text) - 4 AS INTEGER)) || substr(text, length(text) - 1) ELSE repeat('*', CAST(length(text) AS INTEGER)) END"),
+    "partial_format": (S.Strategy("partial"), None),
+    "template_format": (S.Strategy("template"), None),
+}
+
+
+def _strategy(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _entities(spark, sf_dir)
+        return rows.select("doc_id", "entity_type", "start", S.native(STRATEGIES[name][0], F.col("entity_type"), F.col("text")).alias("masked"))
+
+    return query
+
+
+def _resolved(how: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = detect.detect(_docs(spark, sf_dir))
+        return detect.entities(found.withColumn("spans", resolve.RESOLVERS[how](F.col("spans"))), "doc_id").drop("text")
+
+    return query
+
+
+def _filtered(p: policy.Policy) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _entities(spark, sf_dir).withColumn("s", F.struct("entity_type", "start", "end", "confidence", "text")).filter(p.masks(F.col("s"), F.lit("paragraph"))).drop("s", "lang")
+
+    return query
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.mask(_nodes(spark, sf_dir), policy.TEMPLATES, [PATTERNS[t] for t in SHORT.values()])
+
+
+def mask_documents_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masked(spark, sf_dir).select("doc_id", F.size("spans").alias("n_spans"), F.sha2("masked_text", 256).alias("masked_sha256"), F.char_length("masked_text").cast("long").alias("masked_chars"))
+
+
+def unmask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _masked(spark, sf_dir)
+    back = mask.unmask(done.select("doc_id", "node_id", "text", "masked_text"), mask.anchors(done))
+    return back.select("doc_id", (F.col("restored_text") == F.col("text")).alias("same"))
+
+
+def anchors_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.anchors(_masked(spark, sf_dir)).select("doc_id", "node_id", "start", "end", "entity_type", "masked_value", "replacement_id", "original_checksum")
+
+
+def cloakmap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloakmap.statistics(mask.anchors(_masked(spark, sf_dir)), "entity_type")
+
+
+def checksum_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloakmap.verified(mask.anchors(_masked(spark, sf_dir))).groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+def anchor_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _masked(spark, sf_dir)
+    found = mask.resolve_anchors(done, mask.anchors(done))
+    return found.select("doc_id", "start", "masked_start", "found", "delta", F.col("found_confidence").alias("confidence"))
+
+
+def cloakmap_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _masked(spark, sf_dir)
+    maps = cloakmap.build(mask.anchors(done), done.select("doc_id", "text"), policy.TEMPLATES)
+    return maps.select("doc_id", "version", "doc_hash", F.size("anchors").alias("n_anchors"))
+
+
+def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.lines(_docs(spark, sf_dir)).select("doc_id", "ordinal", "start_offset", "end_offset")
+
+
+def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.full_text(D.lines(_docs(spark, sf_dir))).select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+def entity_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_texts"))
+
+
+def entity_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).groupBy("lang", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def entity_counts_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def overlap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resolve.islands(_entities(spark, sf_dir), "doc_id", gap=200)
+    return rows.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
+
+
+def resolve_highest_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.highest_confidence(_entities(spark, sf_dir), "doc_id").select("doc_id", "entity_type", "start", "end")
+
+
+def resolve_merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.merge_adjacent(_entities(spark, sf_dir), "doc_id", gap=200).select("doc_id", "entity_type", "start", "end", "parts")
+
+
+def _scalar(make) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", F.sha2(make(F.col("text")), 256).alias("sha256"))
+
+
+def surrogate_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _entities(spark, sf_dir).withColumn("fake", S.surrogate("seed")(F.col("entity_type"), F.col("text")))
+    kept = (T.format_pattern(F.col("fake")) == T.format_pattern(F.col("text"))).cast("int")
+    return rows.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.avg(kept).alias("format_kept"), F.avg((F.col("fake") != F.col("text")).cast("int")).alias("changed"), F.countDistinct("fake").alias("distinct_fakes"))
+
+
+def mask_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.columns(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey", "c_name", "c_mktsegment")
+    return rows.select("doc_id", "node_id", S.partial(F.col("text"), 3, format_aware=False).alias("masked"))
+
+
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", T.detect_format(F.col("html"), F.col("url")).alias("format"))
+
+
+def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", F.sha2(D.mark_html(F.replace("html", F.lit("<p>"), F.lit("<p>[REDACTED]"))), 256).alias("sha256"))
+
+
+STRICT = policy.Policy(thresholds={"PHONE_NUMBER": 0.8, "EMAIL_ADDRESS": 0.5}, min_confidence=0.86)
+LISTS = policy.Policy(allow=frozenset({"4952935900253052"}), deny=frozenset({"1.1.1.1"}), min_length=15)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (mask_documents_default, unmask_roundtrip, anchors_build, cloakmap_stats, cloakmap_build, checksum_verify, anchor_resolve, segment_offsets, full_text, entity_counts_by_type, entity_counts_by_lang, entity_counts_by_doc, overlap_islands, resolve_highest_confidence, resolve_merge_adjacent, surrogate_quality, mask_columns, detect_format, render_html)}
+    out |= {f"detect_{n}": (lambda spark, sf_dir, n=n: _entities(spark, sf_dir, n)) for n in SHORT}
+    out |= {f"mask_{n}": _strategy(n) for n in STRATEGIES}
+    out |= {f"overlap_{n}": _resolved(n) for n in resolve.RESOLVERS}
+    out |= {"policy_threshold": _filtered(STRICT), "policy_lists_and_length": _filtered(LISTS)}
+    out |= {"format_pattern": _scalar(T.format_pattern), "format_template": _scalar(T.generic_template), "normalise_whitespace": _scalar(T.normalise_whitespace), "normalise_whitespace_aggressive": _scalar(lambda c: T.normalise_whitespace(c, True))}
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    e = f"(SELECT * FROM ({ALL_SQL}))"
+    out = {f"detect_{n}": _detect_sql(n) for n in SHORT}
+    out |= {f"mask_{n}": f'SELECT doc_id, entity_type, "start", {sql} AS masked FROM {e}' for n, (_, sql) in STRATEGIES.items() if sql}
+    marked = "text"
+    out["entity_counts_by_type"] = f"SELECT entity_type, count(*) AS n, count(DISTINCT text) AS n_texts FROM {e} GROUP BY entity_type"
+    out["entity_counts_by_lang"] = f"SELECT lang, entity_type, count(*) AS n FROM {e} GROUP BY lang, entity_type"
+    out["entity_counts_by_doc"] = f"SELECT doc_id, count(*) AS n FROM {e} GROUP BY doc_id"
+    opened = lambda by, gap: f"""SELECT *, sum(o) OVER (PARTITION BY {by} ORDER BY "start", "end", entity_type ROWS UNBOUNDED PRECEDING) AS island FROM (
+      SELECT *, CASE WHEN "start" > max("end") OVER (PARTITION BY {by} ORDER BY "start", "end", entity_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 1 ELSE 0 END AS o FROM {e})"""
+    out["overlap_islands"] = f'SELECT doc_id, CAST(island AS BIGINT) AS island, min("start") AS "start", max("end") AS "end", count(*) AS n FROM ({opened("doc_id", 200)}) GROUP BY doc_id, island'
+    out["resolve_merge_adjacent"] = f'SELECT doc_id, entity_type, min("start") AS "start", max("end") AS "end", count(*) AS parts FROM ({opened("doc_id, entity_type", 200)}) GROUP BY doc_id, entity_type, island'
+    out["resolve_highest_confidence"] = f"""SELECT doc_id, entity_type, "start", "end" FROM (SELECT *, count(*) FILTER (WHERE confidence >= 0.95) OVER (PARTITION BY doc_id, island) AS n,
+      row_number() OVER (PARTITION BY doc_id, island ORDER BY confidence DESC, "start", "end", entity_type) AS r FROM ({opened("doc_id", 4)})) WHERE CASE WHEN n > 0 THEN confidence >= 0.95 ELSE r = 1 END"""
+    out["policy_threshold"] = f"""SELECT doc_id, entity_type, "start", "end", confidence, text FROM {e} WHERE confidence >= CASE entity_type WHEN 'PHONE_NUMBER' THEN 0.8 WHEN 'EMAIL_ADDRESS' THEN 0.5 ELSE 0.86 END"""
+    out["policy_lists_and_length"] = f"""SELECT doc_id, entity_type, "start", "end", confidence, text FROM {e} WHERE text = '1.1.1.1' OR (text <> '4952935900253052' AND length(text) >= 15)"""
+    out["format_template"] = "SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\\p{L}', 'X', 'g'), '\\p{Nd}', '#', 'g')) AS sha256 FROM documents"
+    out["format_pattern"] = "SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\p{L}', 'L', 'g'), '\\p{Nd}', 'D', 'g'), '[ \\t\\n\\f\\r]', 'S', 'g'), '[^LDS]', 'P', 'g')) AS sha256 FROM documents"
+    out["normalise_whitespace_aggressive"] = "SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g'))) AS sha256 FROM documents"
+    out["normalise_whitespace"] = "SELECT doc_id, sha256(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' {3,}', '  ', 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g')) AS sha256 FROM documents"
+    rows = f"""SELECT doc_id, ordinal, t, CAST(coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset FROM (
+      SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS ordinal, unnest(l) AS t FROM (SELECT doc_id, str_split({marked}, chr(10)) AS l FROM documents)) WHERE regexp_matches(t, '\\S')"""
+    out["segment_offsets"] = f"SELECT doc_id, ordinal, start_offset, start_offset + length(t) AS end_offset FROM ({rows})"
+    out["full_text"] = f"SELECT doc_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY ordinal)) AS sha256 FROM ({rows}) GROUP BY doc_id"
+    out["unmask_roundtrip"] = "SELECT doc_id, TRUE AS same FROM documents"
+    out["mask_columns"] = "SELECT c_custkey AS doc_id, unnest(['c_name', 'c_mktsegment']) AS node_id, unnest([CASE WHEN length(c_name) > 3 THEN repeat('*', CAST(length(c_name) - 3 AS INTEGER)) || substr(c_name, length(c_name) - 2) ELSE repeat('*', CAST(length(c_name) AS INTEGER)) END, CASE WHEN length(c_mktsegment) > 3 THEN repeat('*', CAST(length(c_mktsegment) - 3 AS INTEGER)) || substr(c_mktsegment, length(c_mktsegment) - 2) ELSE repeat('*', CAST(length(c_mktsegment) AS INTEGER)) END]) AS masked FROM customer"
+    out["detect_format"] = "SELECT page_id, CASE WHEN ltrim(html) LIKE '{%' OR ltrim(html) LIKE '[%' THEN 'json' WHEN lower(ltrim(html)) LIKE '<!doctype html%' OR lower(ltrim(html)) LIKE '<html%' THEN 'html' ELSE 'text' END AS format FROM pages"
+    out["render_html"] = "SELECT page_id, sha256(replace(replace(replace(replace(html, '<p>', '<p>[REDACTED]'), '[REDACTED]', '<span class=\"masked\">[REDACTED]</span>'), '[MASKED]', '<span class=\"masked\">[MASKED]</span>'), '[***]', '<span class=\"masked\">[***]</span>')) AS sha256 FROM pages"
+    return out
