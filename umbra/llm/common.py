@@ -6,6 +6,9 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,40 @@ def forget(*tables: DataFrame) -> None:
                 at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+#: Bits, as a power of two, of the filters over document ids and hashes: 8 MB whatever the input.
+FILTER_BITS = 26
+
+
+def id_bits(places: DataFrame) -> np.ndarray:
+    """A bitmap of 2**FILTER_BITS bits with the bits at places (p) set, put together by slices."""
+    per = 1 << (FILTER_BITS - 10)
+
+    def build(key, table):
+        bits = np.zeros(per, bool)
+        bits[np.array(table.column("p").to_pylist(), np.int64) % per] = True
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["slice", "bits"])
+
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    sliced = places.distinct().withColumn("slice", F.floor(F.col("p") / per).cast("long"))
+    for r in sliced.groupBy("slice").applyInArrow(build, "slice long, bits binary").collect():  # 1024 rows at most
+        bits[r["slice"] * per // 8 : (r["slice"] + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def id_filter(ids: DataFrame, spark):
+    """A predicate on a doc_id column that holds for all of ids (doc_id) and few others: a broadcast bitmap of 2**FILTER_BITS
+    bits."""
+    p = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    shared = spark.sparkContext.broadcast(id_bits(ids.select(p.alias("p"))))
+
+    @F.pandas_udf("boolean")
+    def holds(p: pd.Series) -> pd.Series:
+        a = p.to_numpy()
+        return pd.Series((shared.value[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & 1 == 1)
+
+    return holds(p)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; null ids have no remainder (null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

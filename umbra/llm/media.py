@@ -4,8 +4,10 @@ A payload is a text's UTF-8 bytes, filled with zeros to a positive multiple of 6
 RIFF/WAVE file whose samples are the payload's bytes, so it is lossless.  The media bytes are cut where a rolling gear
 hash has `mask_bits` zero bits, between `least` and `most` bytes.  Each media's manifest is its ordered chunk list.
 
-Storing: a task emits each chunk once, compressed against a common preset dictionary; Spark groups chunks by digest
-and keeps one copy, filed under its first media, in a table in the shared folder.  Equal texts share one manifest.
+A first pass computes manifests alone; grouping them by chunk digest tells which chunks lie in one document only.
+Documents all of whose chunks do are stored as they are, one row each, and need no shuffle to be read back.  The others
+(a filter of fixed size picks them, with few false ones, which do no harm) emit each chunk once a task, compressed;
+Spark groups these by digest and keeps one copy, filed under its first media, in a table in the shared folder.
 
 Reading back: chunks filed under their own media go to it directly; shared ones come by a join of the manifests' other
 entries with the store on the digest.  The ordered chunks are joined, checked against the manifest's digest (a
@@ -28,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, forget, written
+from .common import column, forget, id_filter, written
 
 RATE, UNIT = 8000, 64
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -105,11 +107,9 @@ def manifests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 parts = None
                 if digest not in seen_media:
                     seen_media.add(digest)
-                    parts, start = [], 0
-                    for end in cuts(media):
-                        chunk = media[start:end]
-                        start = end
-                        d = hashlib.blake2b(chunk, digest_size=20).digest()
+                    parts = []
+                    for chunk in chunks_of(media):
+                        d = digest_of(chunk)
                         parts.append({"digest": d, "size": len(chunk), "data": None if d in seen else _codecs()[0].compress(chunk)})
                         seen.add(d)
                 rows.append({"doc_id": doc, "n_bytes": n, "media": digest, "parts": parts})
@@ -152,20 +152,83 @@ def read_back(lists: DataFrame, chunks: DataFrame) -> DataFrame:
         rows = rows.unionByName(found.select("media", none("array<binary>").alias("digests"), "digest", "data"))
 
     def assemble(key, t):
-        digest = key[0].as_py()
         data = dict(zip(t.column("digest").to_pylist(), t.column("data").to_pylist(), strict=True))
         (ordered,) = [x for x in t.column("digests").to_pylist() if x is not None]
-        media = b"".join(_codecs()[1].decompress(data[d]) for d in ordered)
-        if hashlib.sha256(media).digest() != digest:
-            raise ValueError(f"media {digest.hex()} is not what was stored")
-        payload = samples_of(media)
-        row = {"media": digest, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]), "media_bytes": len(media), "media_sha256": digest.hex(), "feature": feature_of(payload, len(ordered))}
-        return pa.Table.from_pylist([row], pa.schema([("media", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]))
+        row = {"media": key[0].as_py()} | measured(key[0].as_py(), [data[d] for d in ordered])
+        return pa.Table.from_pylist([row], pa.schema([("media", pa.binary()), *MEASURED]))
 
     return rows.groupBy("media").applyInArrow(assemble, READ)
 
 
+MEASURED = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+
+
+def measured(digest: bytes, stored: list[bytes]) -> dict:
+    """The values of a media, read from its stored chunks in order."""
+    media = b"".join(map(_codecs()[1].decompress, stored))
+    if hashlib.sha256(media).digest() != digest:
+        raise ValueError(f"media {digest.hex()} is not what was stored")
+    payload = samples_of(media)
+    return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]), "media_bytes": len(media), "media_sha256": digest.hex(), "feature": feature_of(payload, len(stored))}
+
+
+def chunks_of(media: bytes) -> list[bytes]:
+    ends = cuts(media)
+    return [media[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def digest_of(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=20).digest()
+
+
+def entries(docs: DataFrame) -> DataFrame:
+    """doc_id, digests: the distinct chunk digests of each document (doc_id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [sorted({digest_of(c) for c in chunks_of(media_of(payload_of(t)[0]))}) for t in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "digests"])
+
+    return docs.mapInArrow(run, "doc_id long, digests array<binary>")
+
+
+def stored_alone(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media, chunks (compressed, in order) of documents (doc_id, text) that share no chunk."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
+                payload, n = payload_of(text)
+                media = media_of(payload)
+                rows.append((doc, n, hashlib.sha256(media).digest(), [_codecs()[0].compress(c) for c in chunks_of(media)]))
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "n_bytes", "media", "chunks"])
+
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, media binary, chunks array<binary>")
+
+
+def read_alone(stored: DataFrame) -> DataFrame:
+    """RESULT of stored_alone(); narrow."""
+
+    def run(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), *MEASURED])
+        for batch in batches:
+            rows = [{"doc_id": r["doc_id"], "n_bytes": r["n_bytes"]} | measured(r["media"], r["chunks"]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return stored.mapInArrow(run, RESULT)
+
+
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """RESULT, one row for each row of docs: stored, read back and measured."""
-    documents, lists, chunks = store(docs, id_col, text_col)
-    return documents.join(read_back(lists, chunks), "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = written(entries(base.filter("doc_id is not null")))
+    each = found.select("doc_id", F.explode("digests").alias("digest"))
+    shared = each.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("digest")
+    together = F.col("doc_id").isNull() | F.coalesce(id_filter(each.join(shared, "digest").select("doc_id"), docs.sparkSession), F.lit(True))
+    forget(found)
+    alone = written(stored_alone(base.filter(~together)))
+    documents, lists, chunks = store(base.filter(together))
+    joined = documents.join(read_back(lists, chunks), "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return read_alone(alone).unionByName(joined)
