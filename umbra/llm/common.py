@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -98,6 +99,27 @@ def id_filter(ids: DataFrame, spark):
     return holds(p)
 
 
+def id_place() -> Column:
+    """p: the bit of doc_id in id_bits()."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("p")
+
+
+def chosen(batch, bits: np.ndarray):
+    """The rows of a batch whose bit (column p) is set."""
+    p = batch.column(batch.schema.get_field_index("p")).to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array((bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1))
+
+
+def slices(batches, rows: int = 1000):
+    """Batches in parts of at most `rows` rows, so that few texts are Python strings at once; freed memory goes back
+    to the system after the last."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; null ids have no remainder (null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
