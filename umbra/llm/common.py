@@ -116,6 +116,12 @@ def slices(batches, rows: int = 1000):
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    _release()
+
+
+def _release() -> None:
+    """Give freed memory back to the system, where the platform can."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
@@ -130,17 +136,32 @@ def remainder_is(doc_id: Column, n: int, r: int) -> Column:
 
 
 class Cache(dict):
-    """word -> value, filled by make(word) on a miss and emptied when it holds `most` words."""
+    """word -> value, filled by make(word) on a miss.  When it holds `most` words they become the older generation,
+    from which words still in use come back; so at most twice `most` are held."""
+
+    #: Caches that hold words in this Python worker; a new one empties those that earlier tasks left.
+    filled: list = []
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 250_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
+        if Cache.filled:
+            for other in Cache.filled:
+                other.clear()
+                other.older.clear()
+            Cache.filled.clear()
+            _release()
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
+            if not self:
+                Cache.filled.append(self)
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
             self[key] = value
         return value
 

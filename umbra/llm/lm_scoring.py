@@ -98,7 +98,7 @@ def _ranges(keys: np.ndarray, k: int, bits: int) -> list[tuple[int, int, int]]:
 
 
 def _word_cache() -> Cache:
-    return Cache(xxhash.xxh3_64_intdigest, 600_000)
+    return Cache(xxhash.xxh3_64_intdigest, 150_000)
 
 
 def learn_weights(cells: np.ndarray, order: int, unigram_floor: float, rounds: int = 60) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, column, written
+from .common import Cache, column, slices, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -42,7 +42,7 @@ def encoder(tokenizer_path: str):
     def encode(s: str) -> list[int]:
         return tokenizer.encode(s, add_special_tokens=False).ids
 
-    stems = Cache(encode, 200_000)
+    stems = Cache(encode, 60_000)
 
     def word(w: str) -> bytes:
         ids = None
@@ -52,13 +52,14 @@ def encoder(tokenizer_path: str):
                 ids = stems[stem.lower()] + (stems[w[len(stem) :]] if len(stem) < len(w) else [])
         return np.array(encode(w) if ids is None else ids, "<u4").tobytes()
 
-    cache = Cache(word, 1_000_000)
+    cache = Cache(word, 250_000)
 
     def ids(text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
         return np.frombuffer(b"".join([cache[w] for w in text.replace("\n", " ").split(" ") if w]), "<u4")
 
+    ids.forget = lambda: (cache.older.clear(), stems.older.clear())
     return ids
 
 
@@ -67,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator
 
     def run(batches):
         ids = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
                 all_ids = np.append(ids(text), np.array([separator], "<u4")).astype("<u4")
@@ -76,6 +77,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator
                     rows.append((doc, k, start, len(part), zlib.crc32(part.tobytes())))
             names, types = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+        ids.forget()  # the older half of the words
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, written
+from .common import column, slices, written
 
 # The kinds, in the order of ties, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -109,7 +109,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """FOUND: each document's base spans and the contexts of its instances; narrow."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
                 base = base_spans(text)
@@ -183,7 +183,7 @@ def extract_keeping(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*keep).alias("kept"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(base_spans(t), contexts(t)) for t in column(batch, "text")]
             span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
             hit = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -201,7 +201,7 @@ def masked(found: DataFrame) -> DataFrame:
     """found (with kept.text) with each span's text replaced by its kind in brackets; overlapping spans as one."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for kept, spans in zip(column(batch, "kept"), column(batch, "spans"), strict=True):
                 text, out, at = kept["text"], [], 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, column, remainder_is, words
+from .common import Cache, column, remainder_is, slices, words
 
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 POINT = 0.3  # a document is predicted 1 from this score on
@@ -123,7 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
     def counts(batches):
         cache = Cache(lambda w: [h % buckets for h in grams(w, sizes)])
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, y, text in zip(*(column(batch, n) for n in ("doc_id", "label", "text")), strict=True):
                 flat = [cache[w] for w in terms(text)]
@@ -154,8 +154,8 @@ def apply(docs: DataFrame, model: Model, folds: int = 5, test_fold: int = 0, id_
             at = grams(word, sizes)
             return sum([values[h % n] for h in at]) / len(at)
 
-        cache = Cache(value, 1_000_000)
-        for batch in batches:
+        cache = Cache(value)
+        for batch in slices(batches):
             score = []
             for text in column(batch, "text"):
                 found = terms(text)

@@ -24,13 +24,12 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, column, remainder_is, words
+from .common import Cache, column, remainder_is, slices, words
 from .quality import POINT, SCORES, sample_of
 
 #: Bytes written for one.
@@ -104,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
 
     def split(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(y, w) for y, text in zip(column(batch, "label"), column(batch, "text"), strict=True) for w in set(windows(text, width))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["label", "window"])
 
@@ -127,8 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
     def measure(batches):
         model = shared.value
-        cache = Cache(model.meter(), 1_000_000)
-        for batch in batches:
+        cache = Cache(model.meter())
+        for batch in slices(batches):
             gains = [max(map(cache.__getitem__, windows(t, model.width)), default=-99) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(gains, pa.int64())], ["label", "gain"])
 
@@ -154,8 +153,8 @@ def apply(docs: DataFrame, model: Model, folds: int = 4, test_fold: int = 2, id_
 
     def run(batches):
         model = shared.value
-        cache = Cache(model.meter(), 1_000_000)
-        for batch in batches:
+        cache = Cache(model.meter())
+        for batch in slices(batches):
             score = [model.score(max(map(cache.__getitem__, windows(t, model.width)), default=-99)) for t in column(batch, "text")]
             predicted = pa.array([int(s >= POINT) for s in score], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), predicted], ["doc_id", "held_out", "score", "predicted"])
@@ -167,13 +166,16 @@ def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs that the model does not predict toxic, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
+    place = docs.columns.index(text_col)
+
+    def run(batches):
         model = shared.value
-        cache = Cache(model.meter(), 1_000_000)
-        return texts.map(lambda t: model.score(max(map(cache.__getitem__, windows(t, model.width)), default=-99)) < POINT).astype(bool)
+        cache = Cache(model.meter())
+        for batch in slices(batches):
+            ok = [model.score(max(map(cache.__getitem__, windows(t, model.width)), default=-99)) < POINT for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.filter(clean(F.col(text_col)))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, test_fold: int = 2, **options) -> DataFrame:
