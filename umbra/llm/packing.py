@@ -28,7 +28,7 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 
 @functools.lru_cache(1)
-def encoder(tokenizer_path: str):
+def encoder(tokenizer_path: str, cached_words: int = 600_000):
     """text -> numpy uint32 ids, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
     The tokenizer drops white space before it looks for words, so a text is encoded word by word with a bounded cache.
@@ -42,7 +42,7 @@ def encoder(tokenizer_path: str):
     def encode(s: str) -> list[int]:
         return tokenizer.encode(s, add_special_tokens=False).ids
 
-    stems = Cache(encode, 60_000)
+    stems = Cache(encode, cached_words // 5)
 
     def word(w: str) -> bytes:
         ids = None
@@ -52,22 +52,21 @@ def encoder(tokenizer_path: str):
                 ids = stems[stem.lower()] + (stems[w[len(stem) :]] if len(stem) < len(w) else [])
         return np.array(encode(w) if ids is None else ids, "<u4").tobytes()
 
-    cache = Cache(word, 250_000)
+    cache = Cache(word, cached_words)
 
     def ids(text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
         return np.frombuffer(b"".join([cache[w] for w in text.replace("\n", " ").split(" ") if w]), "<u4")
 
-    ids.forget = lambda: (cache.older.clear(), stems.older.clear())
     return ids
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 600_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the separator, cut at multiples of capacity."""
 
     def run(batches):
-        ids = encoder(tokenizer_path)
+        ids = encoder(tokenizer_path, cached_words)
         for batch in slices(batches):
             rows = []
             for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
@@ -77,7 +76,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator
                     rows.append((doc, k, start, len(part), zlib.crc32(part.tobytes())))
             names, types = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-        ids.forget()  # the older half of the words
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
@@ -148,9 +146,9 @@ def pack_pieces(found: DataFrame, capacity: int = 2048, max_docs: int | None = N
     return dealt.groupBy("_group").applyInArrow(run, PACKED)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 600_000, **options) -> DataFrame:
     """Tokenise and pack whole documents: one row a piece (PACKED)."""
-    return pack_pieces(written(pieces(docs, tokenizer_path, capacity, separator, id_col, text_col)), capacity, **options)
+    return pack_pieces(written(pieces(docs, tokenizer_path, capacity, separator, id_col, text_col, cached_words)), capacity, **options)
 
 
 def texts_of(packed: DataFrame, docs: DataFrame) -> DataFrame:
