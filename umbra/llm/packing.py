@@ -28,7 +28,7 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 
 @functools.lru_cache(1)
-def encoder(tokenizer_path: str, cached_words: int = 600_000):
+def encoder(tokenizer_path: str, cached_words: int = 1_000_000):
     """text -> numpy uint32 ids, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
     The tokenizer drops white space before it looks for words, so a text is encoded word by word with a bounded cache.
@@ -62,7 +62,7 @@ def encoder(tokenizer_path: str, cached_words: int = 600_000):
     return ids
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 600_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 1_000_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the separator, cut at multiples of capacity."""
 
     def run(batches):
@@ -146,7 +146,7 @@ def pack_pieces(found: DataFrame, capacity: int = 2048, max_docs: int | None = N
     return dealt.groupBy("_group").applyInArrow(run, PACKED)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 600_000, **options) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 1_000_000, **options) -> DataFrame:
     """Tokenise and pack whole documents: one row a piece (PACKED)."""
     return pack_pieces(written(pieces(docs, tokenizer_path, capacity, separator, id_col, text_col, cached_words)), capacity, **options)
 
