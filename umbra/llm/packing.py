@@ -14,7 +14,9 @@ length go by doc_id, piece.  Empty input gives no rows.  Extra columns are not r
 from __future__ import annotations
 
 import functools
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,42 +29,66 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+#: Letters whose normal form and piece depend on the letter alone: those of ASCII and Latin-1.
+LETTERS = [c for c in map(chr, range(0xC0, 0x100)) if c.isalpha()] + [c for c in map(chr, range(0x41, 0x7B)) if c.isalpha()]
+
+
+def letter_model(tokenizer):
+    """word -> ids for words of LETTERS, by the model alone; None if probes show that this tokenizer needs more.
+
+    The table from letters to what the model reads comes from the tokenizer's own normalizer and pre-tokenizer."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+        return None
+    pieces = {c: tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(c)) for c in LETTERS}
+    if any(len(p) != 1 for p in pieces.values()):
+        return None
+    table, model = {ord(c): p[0][0] for c, p in pieces.items()}, tokenizer.model
+
+    def ids(word: str) -> list[int]:
+        return [t.id for t in model.tokenize(word.translate(table))]
+
+    probes = [*LETTERS, *(a + b for a, b in zip(LETTERS, reversed(LETTERS), strict=True)), "".join(LETTERS), "Straße", "internationalisation", "ÉLÈVEs"]
+    return ids if all(ids(w) == tokenizer.encode(w, add_special_tokens=False).ids for w in probes) else None
+
+
 @functools.lru_cache(1)
-def encoder(tokenizer_path: str, cached_words: int = 1_000_000):
+def encoder(tokenizer_path: str, cached_words: int = 500_000):
     """text -> numpy uint32 ids, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
     The tokenizer drops white space before it looks for words, so a text is encoded word by word with a bounded cache.
+    A word's leading letters go to the model directly, where letter_model() can; the marks behind them are words too.
     A Python worker keeps the cache for its next tasks.
     Texts are cut at plain spaces and line feeds only; any other white space stays for the tokenizer.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
+    of_letters, only_letters = letter_model(tokenizer), re.compile(f"[{''.join(LETTERS)}]+").fullmatch
 
     def encode(s: str) -> list[int]:
         return tokenizer.encode(s, add_special_tokens=False).ids
 
-    stems = Cache(encode, cached_words // 5)
+    marks = Cache(lambda s: array("I", encode(s)).tobytes(), 10_000)
+    stems = Cache(lambda s: array("I", of_letters(s)).tobytes(), cached_words // 2)
 
     def word(w: str) -> bytes:
-        ids = None
-        if w.isascii():
-            stem = w.rstrip(".,;:!?&$%#*")
-            if stem.isalpha():
-                ids = stems[stem.lower()] + (stems[w[len(stem) :]] if len(stem) < len(w) else [])
-        return np.array(encode(w) if ids is None else ids, "<u4").tobytes()
+        stem = w.rstrip(".,;:!?&$%#*")
+        if of_letters and (stem.isalpha() if stem.isascii() else only_letters(stem)):
+            ids = stems[stem.lower()]
+            return ids + marks[w[len(stem) :]] if len(stem) < len(w) else ids
+        return array("I", encode(w)).tobytes()
 
     cache = Cache(word, cached_words)
 
     def ids(text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        return np.frombuffer(b"".join([cache[w] for w in text.replace("\n", " ").split(" ") if w]), "<u4")
+        return np.frombuffer(b"".join(map(cache.__getitem__, filter(None, text.replace("\n", " ").split(" ")))), "<u4")
 
     return ids
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 1_000_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 500_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the separator, cut at multiples of capacity."""
 
     def run(batches):
@@ -146,7 +172,7 @@ def pack_pieces(found: DataFrame, capacity: int = 2048, max_docs: int | None = N
     return dealt.groupBy("_group").applyInArrow(run, PACKED)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 1_000_000, **options) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 500_000, **options) -> DataFrame:
     """Tokenise and pack whole documents: one row a piece (PACKED)."""
     return pack_pieces(written(pieces(docs, tokenizer_path, capacity, separator, id_col, text_col, cached_words)), capacity, **options)
 
