@@ -41,6 +41,15 @@ def test_packing(spark, docs, none):
     assert bins[0] == bins[1]
 
 
+def test_words_of_letters_by_the_model():
+    from tokenizers import Tokenizer
+
+    whole, ids = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path())
+    assert packing.letter_model(whole) is not None
+    for text in ["Élan's l'été DON'T it's O'Neil", "ﬁn İstanbul Σίσυφος", "Straße!! ÇA$$$ ÿ×÷ªº", "12ab ab12 a.b don't.", "e\u0301 a\tb\r\nc", "日本語 👍🏽 <|endoftext|>", "", "\n"]:
+        assert ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_lm_scoring(spark, docs, none):
     got = lm_scoring.score(docs, block_bytes=2000).collect()
     token = lambda t: re.findall("[^\x20\x09-\x0d]+", (t or "").lower()) + [None]
