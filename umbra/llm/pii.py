@@ -1,19 +1,24 @@
 """Personal data: base patterns, and identifiers that bootstrapped contextual patterns add.
 
 Base spans are the matches of four fixed patterns.  They are the seeds of the bootstrapping: the words around a seed
-and the shape of what stands there form a lexical pattern, and the same patterns elsewhere in the corpus surround
-instances that no base pattern knows.  Patterns and instances form a graph.  In each round Spark scores a pattern by
-the share of its instances' occurrences that are believed to be of its kind, and an instance by the best pattern that
-holds it; seeds are believed throughout.  Patterns of high confidence and support then mark their instances.
+form lexical patterns, and the same patterns elsewhere in the corpus surround instances that no base pattern knows.
+Patterns and instances form a graph.  In each round Spark scores a pattern by the share of its instances' occurrences
+that are believed to be of its kind, and an instance by the best pattern that holds it, times how well its coarse shape
+fits the kind; seeds are believed throughout.  Patterns of high confidence and support then mark their instances.
 
-An instance is a run of visible characters holding a digit or an @, without outer punctuation; its pattern is the
-two words before it, the word after it and its shape (letters, digits, others, runs shortened).
+An instance is a base span as a whole, or a run of visible characters holding a digit or an @, without outer
+punctuation, or up to GROUPS such numbers with single blanks between.  Its patterns are contexts alone: two words before
+and one after, two words before, one word before and one after; digits in them count as one, and addresses as @.
+
+The coarse shape of an instance is whether it holds an @, whether it holds letters, and if its digits are under 3, under 7
+or more.  It fits a kind by the mean of the shares of the kind's different seeds that agree in each of the three.
 
 The graph is counted by (pattern, instance) with a map-side combine, so a hot pattern or instance is one row a task.
 Patterns that pass are broadcast in chunks of at most `chunk` and applied chunk by chunk, so none are left out.
 
 Cases: null or empty text: no spans.  Repeated rows are separate documents.  An added span never overlaps a base span
-or an earlier added one.  Without seeds nothing is added.  Extra columns are not read.
+or another added one; of those that overlap the first, then the longest is taken.  Without seeds nothing is added.
+Words without digit or @ are never instances.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +41,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _RUN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _OUTER = ".,;:!?\"'()[]{}<>=&$%#*|"
-_SHAPE = ((re.compile(r"[0-9]+"), lambda m: "9" * min(len(m.group()), 20)), (re.compile(r"[A-Za-z]+"), lambda m: "a"), (re.compile(r"[^\x00-\x7f]+"), lambda m: "u"))
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<kind:int,start:int,end:int>>, hits array<struct<pattern:string,instance:string,start:int,end:int>>"
+_NUMBER = re.compile(r"\+?[0-9](?:[0-9()./-]*[0-9])?")
+_JOIN = re.compile(r"\)?\x20\(?")
+_CONTEXT_DIGITS = re.compile(r"[0-9]+")
+#: Numbers that one instance holds at most.
+GROUPS = 6
+SPANS = "array<struct<kind:int,start:int,end:int>>"
+FOUND = f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base {SPANS}, hits array<struct<patterns:array<string>,instance:string,shape:string,kind:int,start:int,end:int>>"
 
 
 def luhn(digits: str) -> bool:
@@ -77,32 +87,85 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
-def contexts(text: str | None) -> list[tuple[str, str, int, int]]:
-    """(pattern, instance, start, end) of every instance of a text."""
+def contexts(text: str | None, base: list[tuple[int, int, int]] | None = None) -> list[tuple[list[str], str, str, int | None, int, int]]:
+    """(patterns, instance, shape, kind of the base span or None, start, end) of every instance of a text."""
     if not text or not (_DIGITS.search(text) or "@" in text):
         return []
-    out = []
-    for m in _RUN.finditer(text):
+    found, at = [], 0
+    for kind, start, end in base_spans(text) if base is None else base:
+        if start >= at:
+            found += [(None, a, b) for a, b in _instances(text, at, start)]
+            found.append((kind, start, end))
+        at = max(at, end)
+    found += [(None, a, b) for a, b in _instances(text, at, len(text))]
+    return [(_patterns(text, a, b), text[a:b], coarse(text[a:b]), kind, a, b) for kind, a, b in found]
+
+
+def _instances(text: str, low: int, high: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs, and of numbers in a row, of a part of a text between base spans."""
+    out, row = [], []
+
+    def close():
+        if 1 < len(row) <= GROUPS:
+            start = row[0][0]
+            start -= start > low and text[start - 1] == "(" and ")" in text[start : row[1][0]]
+            out.append((start, row[-1][1]))
+        row.clear()
+
+    for m in _RUN.finditer(text, low, high):
         run = m.group()
-        left = len(run) - len(run.lstrip(_OUTER))
         core = run.strip(_OUTER)
-        if not core or len(core) > 100 or not any(c in "0123456789@" for c in core):
+        start = m.start() + len(run) - len(run.lstrip(_OUTER))
+        end = start + len(core)
+        # what touches a base span is a rest of the same word
+        if len(core) > 100 or not (_DIGITS.search(core) or "@" in core) or (start == low > 0) or (end == high < len(text)):
+            close()
+            continue
+        out.append((start, end))
+        if not _NUMBER.fullmatch(core):
+            close()
             continue
-        start = m.start() + left
-        before = _words_before(text, start, m.start())
-        after = text[m.end() : m.end() + 40].split(maxsplit=1)[:1]
-        shape = core
-        for what, by in _SHAPE:
-            shape = what.sub(by, shape)
-        pattern = "\x1f".join([*(["", ""] + before)[-2:], "".join(after).lower(), shape])
-        out.append((pattern, core, start, start + len(core)))
+        if row and not _JOIN.fullmatch(text[row[-1][1] : start]):
+            close()
+        row.append((start, end))
+    close()
     return out
 
 
-def _words_before(text: str, start: int, run: int) -> list[str]:
-    found = text[max(0, run - 60) : run].lower().split()[-2:]
-    lead = text[run:start].lower()
-    return (found + [lead])[-2:] if lead else found
+def coarse(instance: str) -> str:
+    """Three letters: @ or not, letters or not, few, some or many digits."""
+    n = sum(c in "0123456789" for c in instance)
+    return ("@" if "@" in instance else "-") + ("a" if any(map(str.isalpha, instance)) else "-") + ("0" if n < 3 else "3" if n < 7 else "7")
+
+
+def _patterns(text: str, start: int, end: int) -> list[str]:
+    before = (["", ""] + [_plain(w) for w in text[max(0, start - 80) : start].split()[-2:]])[-2:]
+    after = "".join(_plain(w) for w in text[end : end + 60].lstrip(_OUTER).split(maxsplit=1)[:1])
+    if text[start - 1 : start].strip(_OUTER) and start and not text[start - 1].isspace():
+        before[1] += "\x1e"  # the word goes on without a blank
+    kinds = (("3", *before, after), ("2", *before), ("1", before[1], after))
+    return ["\x1f".join(k) for k in kinds if any(k[1:])]
+
+
+def _plain(word: str) -> str:
+    """A word of a context: lower-cased, without outer punctuation if more is there, each run of digits as one."""
+    return "@" if "@" in word else _CONTEXT_DIGITS.sub("0", (word.strip(_OUTER) or word).lower())
+
+
+_SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+_HIT = pa.struct([("patterns", pa.list_(pa.string())), ("instance", pa.string()), ("shape", pa.string()), ("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+
+
+def _columns(texts: list) -> list[pa.Array]:
+    """The columns of FOUND after doc_id."""
+    base = [base_spans(t) for t in texts]
+    hits = [contexts(t, b) for t, b in zip(texts, base, strict=True)]
+    dicts = lambda rows, kind: pa.array([[dict(zip(kind.names, x, strict=True)) for x in r] for r in rows], pa.list_(kind))
+    counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in range(4)]
+    return [*counts, dicts(base, _SPAN), dicts(hits, _HIT)]
+
+
+_NAMES = ["doc_id", *[f"n_{k}" for k in KINDS], "base", "hits"]
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,29 +173,35 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         for batch in slices(batches):
-            rows = []
-            for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
-                base = base_spans(text)
-                n = [sum(s[0] == k for s in base) for k in range(4)]
-                rows.append({"doc_id": doc, "n_email": n[0], "n_ip": n[1], "n_card": n[2], "n_phone": n[3], "base": [dict(zip(("kind", "start", "end"), s, strict=True)) for s in base], "hits": [dict(zip(("pattern", "instance", "start", "end"), c, strict=True)) for c in contexts(text)]})
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-    hit = pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.list_(span)), ("hits", pa.list_(hit))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(column(batch, "text"))], _NAMES)
+
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)
 
 
-def bootstrap(found: DataFrame, rounds: int = 2, min_confidence: float = 0.8, min_support: int = 3) -> DataFrame:
-    """pattern, kind, confidence: the patterns of high confidence, after `rounds` rounds over the graph.
+def fits(graph: DataFrame) -> dict[tuple[int, str], float]:
+    """(kind, coarse shape) -> how well the shape fits the kind, from the different seeds of the graph."""
+    seeds = graph.filter("seeds > 0").select("instance", "shape", "seed").distinct().groupBy("seed", "shape").count().collect()  # a row a kind and shape
+    out = {}
+    for kind in {r["seed"] for r in seeds}:
+        own = [(r["shape"], r["count"]) for r in seeds if r["seed"] == kind]
+        total = sum(n for _, n in own)
+        for shape in (a + b + c for a in "@-" for b in "a-" for c in "037"):
+            out[kind, shape] = sum(n for s, n in own for i in range(3) if s[i] == shape[i]) / (3 * total)
+    return out
+
+
+def bootstrap(found: DataFrame, rounds: int = 2, min_confidence: float = 0.8, min_support: int = 3) -> tuple[DataFrame, dict[tuple[int, str], float]]:
+    """(pattern, kind, confidence: the patterns of high confidence, after `rounds` rounds over the graph; fits()).
 
-    An occurrence is a seed of kind k when a base span of that kind overlaps it.  Support is the number of different
+    An occurrence is a seed of kind k when it is a base span of that kind.  Support is the number of different
     instances believed (at least min_confidence) that the pattern holds."""
-    hits = found.select(F.explode("hits").alias("h"), "base")
-    kind = F.try_element_at(F.filter("base", lambda s: (s["start"] < F.col("h.end")) & (s["end"] > F.col("h.start"))), F.lit(1))["kind"]
-    graph = hits.select("h.pattern", "h.instance", kind.alias("kind")).groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("seeds"), F.min("kind").alias("seed"))
+    hits = found.select(F.explode("hits").alias("h")).select(F.explode("h.patterns").alias("pattern"), "h.instance", "h.shape", "h.kind")
+    graph = hits.groupBy("pattern", "instance", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("seeds"), F.min("kind").alias("seed"))
     # Only patterns that hold a seed or meet an instance of one can ever be scored, but all their occurrences count.
     graph = written(graph)
+    fit = fits(graph)
+    pairs = [F.lit(x) for (k, s), v in fit.items() for x in (f"{k}{s}", v)]
+    fit_of = F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat(F.col("kind").cast("string"), "shape")), F.lit(0.0)) if pairs else F.lit(0.0)
     belief = graph.filter("seeds > 0").groupBy("instance").agg(F.min("seed").alias("kind"), F.lit(1.0).alias("belief"))
     patterns = None
     for _ in range(rounds):
@@ -143,36 +212,51 @@ def bootstrap(found: DataFrame, rounds: int = 2, min_confidence: float = 0.8, mi
         patterns = best.join(whole, "pattern").withColumn("confidence", F.col("mass") / F.col("all"))
         patterns = patterns.filter((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support))
         patterns = written(patterns.select("pattern", F.col("kind").cast("int").alias("kind"), "confidence"))
-        grown = graph.join(patterns, "pattern").groupBy("instance").agg(F.max(F.struct(F.col("confidence").alias("belief"), (-F.col("kind")).alias("k"))).alias("b")).select("instance", (-F.col("b.k")).alias("kind"), F.col("b.belief").alias("belief"))
+        grown = graph.join(patterns, "pattern").withColumn("score", F.col("confidence") * fit_of).groupBy("instance").agg(F.max(F.struct(F.col("score").alias("belief"), (-F.col("kind")).alias("k"))).alias("b")).select("instance", (-F.col("b.k")).alias("kind"), F.col("b.belief").alias("belief"))
         both = belief.unionByName(grown).groupBy("instance").agg(F.max(F.struct("belief", (-F.col("kind")).alias("k"))).alias("b"))
         belief = both.select("instance", (-F.col("b.k")).cast("int").alias("kind"), F.col("b.belief").alias("belief"))
-    return patterns
+    return patterns, fit
+
 
+def find(docs: DataFrame, rounds: int = 2, min_confidence: float = 0.8, min_support: int = 3, chunk: int = 100_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_score: float = 0.6) -> DataFrame:
+    """docs with n_email .. n_phone (of the base spans), base and spans: arrays of (kind number, start, end).
 
-def find(docs: DataFrame, rounds: int = 2, min_confidence: float = 0.8, min_support: int = 3, chunk: int = 100_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs with n_email .. n_phone (of the base spans), base and spans: arrays of (kind number, start, end)."""
+    An instance is added when the confidence of one of its patterns times the fit of its shape is at least min_score."""
     found = written(extract(docs, id_col, text_col))
-    patterns = bootstrap(found, rounds, min_confidence, min_support)
+    patterns, fit = bootstrap(found, rounds, min_confidence, min_support)
     chunks = max(1, -(-patterns.count() // chunk))
     rows = found if not keep else extract_keeping(docs, id_col, text_col, keep)
-    rows = rows.withColumn("more", F.array().cast("array<struct<kind:int,start:int,end:int>>"))
+    rows = rows.withColumn("more", F.array().cast(_MARKED))
     for c in range(chunks):
-        known = {r["pattern"]: r["kind"] for r in patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(chunks)) == c).collect()}  # about `chunk` rows
+        known = {r["pattern"]: (r["kind"], r["confidence"]) for r in patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(chunks)) == c).collect()}  # about `chunk` rows
         if known:
-            rows = rows.withColumn("more", F.concat("more", _marked(known)))
-    overlap = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-    order = lambda a: F.transform(F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    rows = rows.withColumn("spans", order(F.concat("base", F.filter("more", lambda s: ~overlap(s)))))
-    return rows.drop("more", "hits")
+            rows = rows.withColumn("more", F.concat("more", _marked(known, fit, min_score)))
+    best = F.array_sort(F.transform("more", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("e"), (-s["score"]).alias("c"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    meets = lambda a, s: F.exists(a, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    span = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    added = F.aggregate(best, F.array().cast(SPANS), lambda a, s: F.when(meets(a, s) | meets(F.col("base"), s), a).otherwise(F.concat(a, F.array(span(s)))))
+    order = lambda a: F.transform(F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), span)
+    return rows.withColumn("spans", order(F.concat("base", added))).drop("more", "hits")
 
 
-def _marked(known: dict):
-    """The hits whose pattern is known, as spans."""
+_MARKED = "array<struct<kind:int,start:int,end:int,score:double>>"
+
+
+def _marked(known: dict, fit: dict, min_score: float):
+    """The hits that are no base spans and score enough by a known pattern, as spans with their best score."""
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<struct<kind:int,start:int,end:int>>")
+    def best(h) -> tuple[float, int]:
+        scores = [(c * fit.get((k, h["shape"]), 0.0), -k) for k, c in (known[p] for p in h["patterns"] if p in known)]
+        return max(scores, default=(0.0, 0))
+
+    def marks(hits) -> list[dict]:
+        scored = [(h, *best(h)) for h in (hits if hits is not None else ()) if h["kind"] is None]
+        return [{"kind": -k, "start": h["start"], "end": h["end"], "score": score} for h, score, k in scored if score >= min_score]
+
+    @pandas_udf(_MARKED)
     def mark(hits):
-        return hits.map(lambda a: [{"kind": known[h["pattern"]], "start": h["start"], "end": h["end"]} for h in (a if a is not None else ()) if h["pattern"] in known])
+        return hits.map(marks)
 
     return mark("hits")
 
@@ -184,15 +268,8 @@ def extract_keeping(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str
 
     def run(batches):
         for batch in slices(batches):
-            rows = [(base_spans(t), contexts(t)) for t in column(batch, "text")]
-            span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-            hit = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            spans = pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in b] for b, _ in rows], span)
-            hits = pa.array([[dict(zip(("pattern", "instance", "start", "end"), c, strict=True)) for c in h] for _, h in rows], hit)
-            counts = [pa.array([sum(s[0] == k for s in b) for b, _ in rows], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, spans, hits, batch.column(2)], [*names, "kept"])
-
-    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base", "hits"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(column(batch, "text")), batch.column(2)], [*_NAMES, "kept"])
+
     kept = "struct<" + ",".join(f"`{k}`:{v}" for k, v in fields.items()) + ">"
     return base.mapInArrow(run, f"{FOUND}, kept {kept}")
 
