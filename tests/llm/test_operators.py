@@ -171,3 +171,19 @@ def test_toxicity_learns_words(spark, none):
     got = toxicity.classify(table, labels).collect()
     assert len(got) == len(rows) and all((r.predicted == 1) == (r.doc_id is not None and r.doc_id % 4 == 0) for r in got)
     assert toxicity.classify(none, labels).count() == 0
+
+
+def test_toxicity_learns_passages_of_ordinary_words_and_rare_words(spark):
+    rng = np.random.default_rng(6)
+    clean = [f"{a}{b}" for a in ("ther", "ondo", "lari", "meso", "kati", "velu") for b in ("ng", "tion", "ble", "st", "ous")]
+    phrase = ["therng", "ondotion", "larible"]
+    rare = [f"{a}{b}{c}" for a in "bdgkp" for b in ("unk", "arg", "esh", "olv") for c in ("ix", "uf", "ey")]  # each in 2 % of the toxic documents or less
+    split = lambda w: [x for i, x in enumerate(w) if w[i - 1 : i + 1] not in (phrase[:2], phrase[1:])]
+    for least_recall, bad in ((0.95, lambda i: phrase), (0.8, lambda i: [rare[i // 4 % len(rare)]])):
+        text = lambda i: " ".join([*split([str(w) for w in rng.choice(clean, 20)]), *(bad(i) if i % 4 == 0 else ["mesost", *rng.permutation(phrase)[:1]]), "katious"])  # noqa: E731, B023
+        rows = [(i, text(i)) for i in range(1600)]
+        labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1600)], "doc_id long, toxic int")
+        got = toxicity.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+        held = [r for r in got if r.held_out]
+        assert sum(r.predicted for r in held if r.doc_id % 4 == 0) >= least_recall * sum(r.doc_id % 4 == 0 for r in held)
+        assert sum(r.predicted for r in held if r.doc_id % 4) <= 0.03 * len(held)

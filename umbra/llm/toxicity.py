@@ -1,18 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, one of windows of toxic and one of windows of ordinary text.  A window (a run of
-`width` words, lower-cased, between blanks) is compressed with each.  Its gain is the bytes that the toxic dictionary
-saves against the ordinary one, less the bytes it needs beyond what a window of its own takes; a document's distance is
-its largest gain, and a threshold calibrated on the training sample turns that into a score.
+A window is a run of one, two or three words (`widths`), lower-cased, between blanks.  For each width two zstandard
+dictionaries are made, one of windows of toxic and one of windows of ordinary text.  A window is compressed with each.
+Its gain is the bytes that the toxic dictionary saves against the ordinary one, less the bytes it needs beyond what a
+window of its own takes; a document's distance is its largest gain of a width, thresholds calibrated on the training
+sample turn the distances into scores, and the largest score counts.  So the order of ordinary words counts: a passage
+made of them tells by its windows of two and three words.  Windows of more than one word are compressed where they
+share a word pair with the toxic dictionary; without one, no order of words is explained, and single words have their
+own width.
 
 A window is short against zstandard's fixed costs, so every byte is written as WIDTH bytes before compression; lengths
 then resolve single letters.  Most windows of a toxic document are ordinary, so the toxic dictionary holds the windows
-that tell: those in enough different toxic sample documents that are that much rarer in ordinary ones.  The ordinary
-dictionary holds the windows most common in ordinary documents.
+that tell: those in enough different toxic sample documents that are that much rarer in ordinary ones.  How many are
+enough is no fixed share: each of SHARES parts of the sample is measured by dictionaries of the others, and of LEVELS the
+one that separates the classes best there is taken, with its threshold, for each width in turn; a wider width is
+left out where it adds nothing.  The dictionaries are then made of the whole sample.  The ordinary dictionary holds the
+windows most common in ordinary documents, for the wider widths with the commonest words.
 
 Labels are learned from a bounded sample: of the rows allowed for training, the `sample` with the smallest hashes of
 each class, each with its whole text; the sample's windows are counted by Spark, and the driver receives at most
-`dictionary_windows` of them a class.
+`dictionary_windows` of them a class and width, and the gains of each sample document.
 
 Cases: null, empty or blank text: no window, gain -99.  Repeated rows are scored each.  Without labels of both classes,
 or without telling windows, every score is 0.  Null doc_id: scored, not held out.  Extra columns are not read.
@@ -21,7 +28,9 @@ or without telling windows, every score is 0.  Null doc_id: scored, not held out
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import reduce
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +38,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, column, remainder_is, slices, words
+from .common import Cache, column, forget, remainder_is, slices, words, written
 from .quality import POINT, SCORES, sample_of
 
 #: Bytes written for one.
 WIDTH = 3
+#: Toxic sample documents that a telling window is in, at least: the choices.
+LEVELS = (3, 4, 5, 6, 8, 12, 24)
+#: Shares of the sample that are measured by dictionaries of the others.
+SHARES = 4
+NONE = -99
 
 
 def widened(text: bytes) -> bytes:
@@ -44,13 +58,13 @@ def widened(text: bytes) -> bytes:
     return out.tobytes()
 
 
-def windows(text: str | None, width: int) -> list[bytes]:
-    """Runs of `width` words at every word; fewer words make one run."""
-    found = [w.strip(b".,;:!?&$%#*\"'()|") for w in words(text, lower=True)]
-    found = [w for w in found if w]
-    if width == 1 or len(found) <= width:
-        return found if width == 1 else [b" ".join(found)] if found else []
-    return [b" ".join(found[i : i + width]) for i in range(len(found) - width + 1)]
+def plain_words(text: str | None) -> list[bytes]:
+    return [w for w in (w.strip(b".,;:!?&$%#*\"'()|") for w in words(text, lower=True)) if w]
+
+
+def windows(found: list[bytes], width: int) -> list[bytes]:
+    """Runs of `width` words at every word."""
+    return found if width == 1 else [b" ".join(found[i : i + width]) for i in range(len(found) - width + 1)]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -62,34 +76,85 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 @dataclass(frozen=True)
-class Model:
+class Part:
+    """The dictionaries of one width."""
+
     toxic: bytes
     ordinary: bytes
     width: int
-    floor: int = 0  # the median length of the toxic dictionary's own windows under it
+    floor: int  # the median length of the toxic dictionary's own windows under it
+    pairs: frozenset  # the word pairs of the toxic dictionary
     point: float = 0.0
-    slope: float = 1.0
 
     def meter(self):
-        """window -> gain.  A window that the toxic dictionary explains too badly for any gain has gain -99."""
-        if not self.toxic or not self.ordinary:
-            return lambda window: -99
+        """window -> gain.  A window that the toxic dictionary explains too badly for any gain has gain NONE."""
         toxic, ordinary = compressor(self.toxic), compressor(self.ordinary)
 
         def gain(window: bytes) -> int:
             data = widened(b" %b " % window)
             t = len(toxic.compress(data))
             if t - self.floor > 10 and 2 * t >= len(data) + 20 + self.floor:
-                return -99
+                return NONE
             return len(ordinary.compress(data)) - t - max(0, t - self.floor)
 
         return gain
 
-    def score(self, gain: float) -> float:
-        if not self.toxic:
-            return 0.0
-        x = self.slope * (gain - self.point) + math.log(POINT / (1 - POINT))
-        return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+    def windows(self, found: list[bytes]):
+        """The windows of words that the dictionaries are asked about."""
+        if self.width == 1:
+            return found
+        pairs, width, last = self.pairs, self.width, len(found) - self.width
+        at = {k for i, pair in enumerate(zip(found, found[1:], strict=False)) if pair in pairs for k in range(max(0, i - width + 2), min(i, last) + 1)}
+        return [b" ".join(found[k : k + width]) for k in at]
+
+    def distance(self, cached: int = 250_000):
+        """words -> the largest gain of their windows."""
+        gains = Cache(self.meter(), cached)
+        return lambda found: max(map(gains.__getitem__, self.windows(found)), default=NONE)
+
+
+def distances(parts: list[Part | None], cached: int = 50_000):
+    """words -> the largest gain under each of parts, whose dictionaries hold ever fewer of the same windows: what the
+    first explains too badly the others do too."""
+    none = (NONE,) * len(parts)
+    if not parts[0]:
+        return lambda found: none
+    first, *rest = [p.meter() if p else lambda window: NONE for p in parts]
+
+    def gain(window: bytes) -> tuple[int, ...]:
+        g = first(window)
+        return none if g == NONE else (g, *(m(window) for m in rest))
+
+    gains = Cache(gain, cached)
+    return lambda found: tuple(map(max, zip(none, *{gains[w] for w in parts[0].windows(found)}, strict=True)))
+
+
+@dataclass(frozen=True)
+class Model:
+    parts: tuple[Part, ...] = ()
+
+    def scorer(self):
+        """text -> score."""
+        parts = [(p.distance(250_000 if p.width == 1 else 50_000), p.point) for p in self.parts]
+        base = math.log(POINT / (1 - POINT))
+
+        def score(text: str | None) -> float:
+            found = plain_words(text)
+            x = max((distance(found) - point for distance, point in parts), default=-1000.0) + base
+            return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+
+        return score
+
+
+def part_of(bad: list[tuple[bytes, int]], good: bytes, width: int, size: int) -> Part | None:
+    """The part whose toxic dictionary is made of bad; None without windows."""
+    if not bad or not good:
+        return None
+    toxic = dictionary(bad, size)
+    own = compressor(toxic)
+    floor = sorted(len(own.compress(widened(b" %b " % w))) for w, _ in bad)[len(bad) // 2]
+    pairs = frozenset(p for w, _ in bad for p in zip(w.split(), w.split()[1:], strict=False))
+    return Part(toxic, good, width, floor, pairs)
 
 
 def dictionary(samples: list[tuple[bytes, int]], size: int) -> bytes:
@@ -98,52 +163,88 @@ def dictionary(samples: list[tuple[bytes, int]], size: int) -> bytes:
     return widened(text)[-size * WIDTH :]
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 4000, folds: int = 4, test_fold: int = 2, width: int = 1, least: int = 3, least_share: float = 0.012, ratio: float = 10.0, toxic_bytes: int = 32_768, ordinary_bytes: int = 8192, dictionary_windows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 4000, folds: int = 4, test_fold: int = 2, widths: tuple[int, ...] = (1, 2, 3), least: int = 3, ratio: float = 10.0, toxic_bytes: int = 32_768, ordinary_bytes: int = 8192, dictionary_windows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     chosen = sample_of(labels, label, sample, folds, test_fold)  # at most 2 * sample rows, so it is broadcast
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
 
     def split(batches):
-        for batch in slices(batches):
-            rows = [(y, w) for y, text in zip(column(batch, "label"), column(batch, "text"), strict=True) for w in set(windows(text, width))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["label", "window"])
+        for batch in slices(batches, 200):
+            rows = []
+            for y, share, text in zip(column(batch, "label"), column(batch, "share"), column(batch, "text"), strict=True):
+                found = plain_words(text)
+                rows += [(SHARES * y + share, width, w) for width in widths for w in set(windows(found, width)) if len(w) <= 200]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["k", "width", "window"])
 
     # copies of one document count once, so that the words of a copied text do not tell
-    seen = base.withColumn("h", F.xxhash64("text")).dropDuplicates(["label", "h"]).select("doc_id", "label", "text")
-    counted = seen.mapInArrow(split, "label int, window binary").groupBy("window").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
-    sizes = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
-        return Model(b"", b"", width)
-    top = lambda df, by: [(bytes(r["window"]), r[by]) for r in df.filter(F.octet_length("window") <= 200).orderBy(F.desc(by), "window").limit(dictionary_windows).collect()]
-    counted = counted.withColumn("tells", F.col("bad") / sizes[1] >= ratio * (F.col("good") + 0.5) / sizes[0])
-    enough = F.col("bad") >= max(least, math.ceil(least_share * sizes[1]))
-    bad, good = top(counted.filter(enough & F.col("tells")), "bad"), top(counted.filter(~F.col("tells")), "good")
-    if not bad or not good:
-        return Model(b"", b"", width)
-    model = Model(dictionary(bad, toxic_bytes), dictionary(good, ordinary_bytes), width)
-    own = compressor(model.toxic)
-    model = replace(model, floor=sorted(len(own.compress(widened(b" %b " % w))) for w, _ in bad)[len(bad) // 2])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    seen = base.withColumn("h", F.xxhash64("text")).dropDuplicates(["label", "h"])
+    seen = written(seen.select("label", F.pmod("h", F.lit(SHARES)).cast("int").alias("share"), "text"))
+    sizes = {(r["label"], r["share"]): r["count"] for r in seen.groupBy("label", "share").count().collect()}
+    if len({y for y, _ in sizes}) < 2:
+        forget(seen)
+        return Model()
+    counts = [F.sum((F.col("k") == k).cast("int")).alias(f"c{k}") for k in range(2 * SHARES)]
+    counted = written(seen.mapInArrow(split, "k int, width int, window binary").groupBy("width", "window").agg(*counts).filter(" + ".join(f"c{k}" for k in range(2 * SHARES)) + " > 1"))
+    every = tuple(range(SHARES))
+    others = [tuple(h for h in every if h != share) for share in every]
+
+    def tells(shares, value):
+        """Whether a window with counts value(k) is that much rarer in ordinary documents of the shares."""
+        n = [max(1, sum(sizes.get((y, h), 0) for h in shares)) for y in (0, 1)]
+        good, bad = (sum((value(f"c{SHARES * y + h}") for h in shares[1:]), value(f"c{SHARES * y + shares[0]}")) for y in (0, 1))
+        return (bad * (n[0] / n[1]) >= ratio * (good + 0.5)) & (bad >= min(LEVELS))
+
+    total = [reduce(add, (F.col(f"c{SHARES * y + h}") for h in every)) for y in (0, 1)]
+    found = {}
+    for width in widths:
+        own = counted.filter(F.col("width") == width)
+        bad = own.filter(reduce(or_, (tells(x, F.col) for x in (*others, every)))).orderBy(total[1].desc(), "window").limit(dictionary_windows).collect()
+        good = own.filter(~tells(every, F.col)).orderBy(total[0].desc(), "window").limit(dictionary_windows).select("window", total[0].alias("n")).collect()
+        found[width] = bad, [(bytes(r["window"]), r["n"]) for r in good]
+    common = found[min(widths)][1]
+
+    def part(width: int, shares: tuple[int, ...], enough: int) -> Part | None:
+        bad = [(bytes(r["window"]), sum(r[f"c{SHARES + h}"] for h in shares)) for r in found[width][0] if tells(shares, r.__getitem__)]
+        good = found[width][1]
+        ordinary = dictionary(good, ordinary_bytes) if width == 1 else dictionary(common, ordinary_bytes // 2) + dictionary(good, ordinary_bytes // 2)
+        return part_of([x for x in bad if x[1] >= enough], ordinary, width, toxic_bytes)
+
+    kinds = [(width, level) for width in widths for level in LEVELS]
+    shared = docs.sparkSession.sparkContext.broadcast([[part(width, others[share], level) for width, level in kinds] for share in every])
 
     def measure(batches):
-        model = shared.value
-        cache = Cache(model.meter())
-        for batch in slices(batches):
-            gains = [max(map(cache.__getitem__, windows(t, model.width)), default=-99) for t in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(gains, pa.int64())], ["label", "gain"])
-
-    table = seen.mapInArrow(measure, "label int, gain long").groupBy("label", "gain").count().collect()  # a row a gain
-    point, slope = calibrate([(r["label"], r["gain"], r["count"]) for r in table])
-    return replace(model, point=point, slope=slope)
-
-
-def calibrate(table: list[tuple[int, int, int]], clean: float = 4.0) -> tuple[float, float]:
-    """(point, slope): the gain with the best recall plus `clean` times the share of ordinary documents kept.
-
-    table: (label, gain, documents).  The score is POINT half a byte below that gain."""
-    total = {k: max(1, sum(n for y, _, n in table if y == k)) for k in (0, 1)}
-    cuts = sorted({g for _, g, _ in table} | {max(g for _, g, _ in table) + 1})
-    quality = lambda c: sum(n / total[1] for y, g, n in table if y == 1 and g >= c) + clean * sum(n / total[0] for y, g, n in table if y == 0 and g < c)
-    return max(cuts, key=lambda c: (quality(c), c)) - 0.5, 1.0
+        at, meters = None, []
+        for batch in slices(batches, 200):
+            rows = []
+            for share, text in zip(column(batch, "share"), column(batch, "text"), strict=True):
+                if share != at:
+                    at, meters = share, [distances(shared.value[share][i : i + len(LEVELS)]) for i in range(0, len(kinds), len(LEVELS))]
+                found = plain_words(text)
+                rows.append([g for m in meters for g in m(found)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["label", "gains"])
+
+    table = seen.sortWithinPartitions("share").mapInArrow(measure, "label int, gains array<long>").collect()  # at most 2 * sample rows
+    forget(seen, counted)
+    y, gains = np.array([r["label"] for r in table]), np.array([r["gains"] for r in table], np.int64)
+    flagged, parts = np.zeros(len(y), bool), []
+    for width in widths:
+        best = max((calibrate(y, gains[:, k], flagged) + (k,) for k, (w, _) in enumerate(kinds) if w == width), key=lambda x: (x[0], x[2]))
+        now = quality(y, flagged)
+        made = part(width, every, max(least, kinds[best[2]][1])) if best[0] > now else None
+        if made:
+            flagged |= gains[:, best[2]] >= best[1]
+            parts.append(Part(made.toxic, made.ordinary, width, made.floor, made.pairs, best[1] - 0.5))
+    return Model(tuple(parts))
+
+
+def quality(y: np.ndarray, flagged: np.ndarray, clean: float = 4.0) -> float:
+    """The recall plus `clean` times the share of ordinary documents kept."""
+    return float(flagged[y == 1].mean() + clean * (1 - flagged[y == 0].mean()))
+
+
+def calibrate(y: np.ndarray, gains: np.ndarray, flagged: np.ndarray) -> tuple[float, int]:
+    """(quality, cut): the gain from which documents are flagged, besides those that are, with the best quality."""
+    cuts = sorted({int(g) for g in gains if g > NONE} | {int(gains.max()) + 1})
+    return max((quality(y, flagged | (gains >= c)), c) for c in cuts)
 
 
 def apply(docs: DataFrame, model: Model, folds: int = 4, test_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,10 +253,9 @@ def apply(docs: DataFrame, model: Model, folds: int = 4, test_fold: int = 2, id_
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), remainder_is(F.col(id_col), folds, test_fold).alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches):
-        model = shared.value
-        cache = Cache(model.meter())
+        scored = shared.value.scorer()
         for batch in slices(batches):
-            score = [model.score(max(map(cache.__getitem__, windows(t, model.width)), default=-99)) for t in column(batch, "text")]
+            score = [scored(t) for t in column(batch, "text")]
             predicted = pa.array([int(s >= POINT) for s in score], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), predicted], ["doc_id", "held_out", "score", "predicted"])
 
@@ -169,10 +269,9 @@ def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     place = docs.columns.index(text_col)
 
     def run(batches):
-        model = shared.value
-        cache = Cache(model.meter())
+        scored = shared.value.scorer()
         for batch in slices(batches):
-            ok = [model.score(max(map(cache.__getitem__, windows(t, model.width)), default=-99)) < POINT for t in batch.column(place).to_pylist()]
+            ok = [scored(t) < POINT for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
