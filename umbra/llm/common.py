@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -32,10 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; a temporary one only in local mode where that is unset, as in tests.
+
+    On a cluster a machine's own folder is no place for tables that other executors read, so there it is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="umbra-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -44,16 +49,34 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: df as a Parquet table in the shared folder, read again with its schema.
 
-    A lost executor costs no recomputation of what is written.  forget() removes the table.
+    A lost executor costs no recomputation of what is written.  forget() removes the table, scope() those of a step.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/umbra-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)  # small row groups: a writer holds one
     out = spark.read.schema(df.schema).parquet(path)
     out._umbra_path = path
+    for held in _scopes:
+        held.append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scope(keep=lambda: ()):
+    """Remove the tables that written() makes inside, but for those in keep(), when the block ends."""
+    held: list[DataFrame] = []
+    _scopes.append(held)
+    try:
+        yield held
+    finally:
+        _scopes.remove(held)
+        paths = {getattr(k, "_umbra_path", None) for k in keep()}
+        forget(*[x for x in held if x._umbra_path not in paths])
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove tables of written() that no later result reads."""
     for df in tables:
@@ -65,49 +88,52 @@ def forget(*tables: DataFrame) -> None:
                 at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-#: Bits, as a power of two, of the filters over document ids and hashes: 8 MB whatever the input.
-FILTER_BITS = 26
-
+class Places:
+    """A filter that lets pass the rows whose id is among ids (column name), and few others.
 
-def id_bits(places: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits with the bits at places (p) set, put together by slices."""
-    per = 1 << (FILTER_BITS - 10)
+    A bitmap of 16 to 32 bits an id, broadcast up to 2**MOST_BITS bits (32 MB).  More ids than that get no bitmap: every row
+    passes then, and the join that follows does all the work."""
 
-    def build(key, table):
-        bits = np.zeros(per, bool)
-        bits[np.array(table.column("p").to_pylist(), np.int64) % per] = True
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["slice", "bits"])
+    MOST_BITS = 28
 
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    sliced = places.distinct().withColumn("slice", F.floor(F.col("p") / per).cast("long"))
-    for r in sliced.groupBy("slice").applyInArrow(build, "slice long, bits binary").collect():  # 1024 rows at most
-        bits[r["slice"] * per // 8 : (r["slice"] + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
-    return bits
+    def __init__(self, ids: DataFrame, name: str):
+        bits = max(16, (16 * ids.count()).bit_length())
+        self.bits, self.shared = bits, None
+        if bits <= self.MOST_BITS:
+            self.shared = ids.sparkSession.sparkContext.broadcast(self._bitmap(ids.select(self._place(name).alias("p"))))
 
+    def _place(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(1 << self.bits))
 
-def id_filter(ids: DataFrame, spark):
-    """A predicate on a doc_id column that holds for all of ids (doc_id) and few others: a broadcast bitmap of 2**FILTER_BITS
-    bits."""
-    p = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    shared = spark.sparkContext.broadcast(id_bits(ids.select(p.alias("p"))))
+    def _bitmap(self, places: DataFrame) -> np.ndarray:
+        per = 1 << (self.bits - 10)
 
-    @F.pandas_udf("boolean")
-    def holds(p: pd.Series) -> pd.Series:
-        a = p.to_numpy()
-        return pd.Series((shared.value[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & 1 == 1)
+        def build(key, table):
+            own = np.zeros(max(per, 8), bool)
+            own[np.array(table.column("p").to_pylist(), np.int64) % per] = True
+            return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["slice", "bits"])
 
-    return holds(p)
+        out = np.zeros(1 << (self.bits - 3), np.uint8)
+        sliced = places.distinct().withColumn("slice", F.floor(F.col("p") / per).cast("long"))
+        for r in sliced.groupBy("slice").applyInArrow(build, "slice long, bits binary").collect():  # 1024 rows at most
+            out[r["slice"] * per // 8 : (r["slice"] + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
+        return out
 
+    def test(self, name: str) -> Column:
+        """Whether the column may be among the ids; null is not."""
+        if self.shared is None:
+            return F.col(name).isNotNull()
+        shared = self.shared
 
-def id_place() -> Column:
-    """p: the bit of doc_id in id_bits()."""
-    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("p")
+        @F.pandas_udf("boolean")
+        def holds(p: pd.Series) -> pd.Series:
+            a = p.to_numpy()
+            return pd.Series((shared.value[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & 1 == 1)
 
+        return F.col(name).isNotNull() & holds(self._place(name))
 
-def chosen(batch, bits: np.ndarray):
-    """The rows of a batch whose bit (column p) is set."""
-    p = batch.column(batch.schema.get_field_index("p")).to_numpy(zero_copy_only=False)
-    return batch.filter(pa.array((bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1))
+    def holds(self, rows: DataFrame, name: str) -> DataFrame:
+        return rows.filter(self.test(name))
 
 
 def slices(batches, rows: int = 1000):

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, forget, id_filter, written
+from .common import Places, column, forget, written
 
 RATE, UNIT = 8000, 64
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -225,10 +225,12 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = written(entries(base.filter("doc_id is not null")))
     each = found.select("doc_id", F.explode("digests").alias("digest"))
-    shared = each.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("digest")
-    together = F.col("doc_id").isNull() | F.coalesce(id_filter(each.join(shared, "digest").select("doc_id"), docs.sparkSession), F.lit(True))
-    forget(found)
+    shared = written(each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"))  # a table, so that the join can split a hot chunk
+    together = F.col("doc_id").isNull() | Places(each.join(shared, "digest").select("doc_id").distinct(), "doc_id").test("doc_id")
+    forget(found, shared)
     alone = written(stored_alone(base.filter(~together)))
     documents, lists, chunks = store(base.filter(together))
-    joined = documents.join(read_back(lists, chunks), "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    back = written(read_back(lists, chunks))  # a table, so that the join can split a hot media
+    forget(lists, chunks)
+    joined = documents.join(back, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     return read_alone(alone).unionByName(joined)
