@@ -1,14 +1,20 @@
 """Exact top-k inner-product search by block-at-a-time pruning.
 
-Components are quantised to integers, so scores are exact.  Candidates are cut into blocks of consecutive rows, each
-with its forward index (the block's integer matrix) and its term maxima and minima.  For a query a block's bound is the
-sum over its terms of the largest product that the block allows; blocks are visited by falling bound, scored through
-the forward index, and the visit ends when the next bound falls below the k-th score so far (equal bounds are still
-visited, as ties go to the smaller id).
-
-Queries go out in broadcast chunks of at most `chunk` vectors (a bound of chunk * dimensions * 8 bytes); every task
-searches its blocks for a chunk and keeps k rows a query, and a top-k over tasks follows.  No query meets a candidate
-row outside such a task.
+Components are quantised to integers, so scores are exact.  Rows are ordered in space (by the nearest of a few centroids
+fitted on a bounded sample) and cut into blocks, each with its forward index (the block's matrix of components by row)
+and its terms' maxima and minima.  For a query a block's bound is the sum over its terms of the largest product that the
+block allows; blocks are visited by falling bound, and the visit ends when the next bound falls below the k-th score so
+far (equal bounds are still visited, as ties go to the smaller id).  A block is scored through its forward index term by
+term in two steps: after the first terms a row's bound is its score so far and the product of the norms of what is left,
+and rows, often all of a block, whose bound lies below the k-th score are left.  The k-th score starts from the k best of
+a bounded sample of the candidates.  pruning() tells how much of the blocks was left out.
+
+Queries are cut into chunks of bounded size, blocks dealt into lanes; a lane of blocks meets a chunk of queries in a
+cogroup, so both sides of a task are bounded and nothing but the sample and the centroids is broadcast.  A block goes
+to those chunks alone that hold a query whose bound reaches the query's floor.
+
+Numbers: quantised components are whole doubles at any size.  A block where a sum of products could pass 2**53 is scored
+with Python's integers and not pruned; a score beyond a long counts as the nearest long.
 
 Cases: a null vec_id, a null vector, or null or non-finite components take no part.  Vectors of another length than
 the query's count as having zeros beyond their end.  Of rows that repeat a query's vec_id the smallest vector is the
@@ -18,105 +24,207 @@ vec_id.  Fewer than k candidates: all of them.  Extra columns are not read.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import column, slices, written
 
 RESULT = "query_id long, rank int, vec_id long, score long"
-
-
-def quantised(vector: Column, scale: int = 256) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+HITS = "query_id long, vec_id long, score long, place int, blocks long, left long, rows long, rows_left long"
+EXACT = float(1 << 53)
+LONG_LIMIT = (1 << 63) - 1
+#: Bounds are sums of doubles; they are widened by this share.
+SLACK = 1e-9
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("_v"))
-    rows = rows.filter("vec_id is not null and _v is not null").filter(~F.exists("_v", bad))
-    return rows.select("vec_id", quantised(F.col("_v")).alias("v"))
+    """vec_id, v: the rows that take part, with their components as doubles."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return rows.filter("vec_id is not null and v is not null").filter(~F.exists("v", bad))
 
 
-def matrix(lists: list, width: int) -> np.ndarray:
-    """Rows as float64, which holds the integer products exactly below 2**53."""
+def quantised(lists: list, width: int, scale: int = 256) -> np.ndarray:
+    """floor(scale * x) of each component, zeros beyond a vector's end; whole numbers as doubles, or, where a product
+    leaves the doubles, as Python's integers."""
     out = np.zeros((len(lists), width))
     for i, x in enumerate(lists):
         n = min(len(x), width)
         out[i, :n] = x[:n]
-    return out
-
-
-def search_block_order(queries: np.ndarray, own: np.ndarray, blocks: list, k: int) -> list[tuple[int, int, int]]:
-    """(query number, vec_id, score) of each query's k best rows of the blocks [(ids, matrix, maxima, minima)]."""
-    highs, lows = np.stack([b[2] for b in blocks]), np.stack([b[3] for b in blocks])
-    bounds = np.maximum(queries, 0) @ highs.T + np.minimum(queries, 0) @ lows.T
+    with np.errstate(over="ignore"):
+        scaled = np.floor(scale * out)
+    if np.isfinite(scaled).all():
+        return scaled
+    return np.array([[int(v) * scale if abs(v) > EXACT else int(np.floor(scale * v)) for v in row] for row in out], object).reshape(out.shape)
+
+
+def safe(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether all inner products of rows of a and b are exact as doubles."""
+    if a.dtype == object or b.dtype == object:
+        return False
+    if not a.size or not b.size:
+        return True
+    return float(np.abs(a).max(1).max()) * float(np.abs(b).sum(1).max()) < EXACT
+
+
+class Block:
+    """Rows of a block with their bounds; `first` terms are scored before the others."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids, self.rows = ids, rows
+        if rows.dtype != object:
+            self.high, self.low = rows.max(0), rows.min(0)
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        b = np.maximum(queries, 0) @ self.high + np.minimum(queries, 0) @ self.low
+        return b + SLACK * (np.abs(queries) @ np.maximum(np.abs(self.high), np.abs(self.low)))
+
+
+def cut(ids: np.ndarray, rows: np.ndarray, centroids: np.ndarray, block_rows: int) -> list[Block]:
+    """Blocks of rows that are near each other."""
+    if rows.dtype == object or not len(centroids) or not len(ids):
+        order = np.arange(len(ids))
+    else:
+        width = centroids.shape[1]
+        near = np.zeros((len(rows), width))
+        near[:, : rows.shape[1]] = rows[:, :width]
+        own = np.argmax(near @ centroids.T - (centroids**2).sum(1) / 2, 1)
+        order = np.lexsort((ids, *near.T[:1], own))
+    return [Block(ids[order[i : i + block_rows]], rows[order[i : i + block_rows]]) for i in range(0, len(order), block_rows)]
+
+
+def search(queries: np.ndarray, own: np.ndarray, floors: np.ndarray, blocks: list[Block], k: int) -> tuple[list[list[tuple]], np.ndarray]:
+    """For each query its up to k best (-score, vec_id) of the blocks' rows that reach its floor, sorted; and for each
+    query the numbers of blocks, blocks left out or left early, rows, rows left out or left early."""
+    n, width = len(queries), queries.shape[1] if len(queries) else 0
+    kept: list[list[tuple]] = [[] for _ in range(n)]
+    told = np.zeros((n, 4), np.int64)
+    told[:, 0], told[:, 2] = len(blocks), sum(len(b.ids) for b in blocks)
+    plain = [b for b in blocks if safe(queries, b.rows)]
+    for b in (b for b in blocks if not safe(queries, b.rows)):  # exact, without bounds
+        mine = [[int(x) for x in row] for row in b.rows]
+        for q in range(n):
+            x = [int(v) for v in queries[q]]
+            scores = [(-max(-LONG_LIMIT - 1, min(LONG_LIMIT, sum(map(int.__mul__, x, row)))), int(i)) for row, i in zip(mine, b.ids, strict=True) if i != own[q]]
+            kept[q] = heapq.nsmallest(k, kept[q] + scores)
+    if not plain or not n:
+        return kept, told
+    bounds = np.stack([b.bounds(queries) for b in plain], 1)
     order = np.argsort(-bounds, 1, kind="stable")
-    kept = [[] for _ in range(len(queries))]  # up to k (-score, vec_id), sorted
-    active = np.arange(len(queries))
-    for step in range(len(blocks)):
-        least = np.array([-kept[q][-1][0] if len(kept[q]) == k else -np.inf for q in active])
-        active = active[bounds[active, order[active, step]] >= least]
+    # the terms of the most weight first
+    weight = (queries**2).sum(0) * sum((b.rows**2).sum(0) for b in plain)
+    terms = np.argsort(-weight, kind="stable")
+    head, tail = terms[: max(1, 3 * width // 4)], terms[max(1, 3 * width // 4) :]
+    q_head, q_tail, q_rest = queries[:, head], queries[:, tail], np.sqrt((queries[:, tail] ** 2).sum(1))
+    least = lambda q: max(floors[q], -kept[q][-1][0] if len(kept[q]) == k else -np.inf)
+    active = np.arange(n)
+    halves = {}
+    for step in range(len(plain)):
+        floor = np.array([least(q) for q in active])
+        open_ = bounds[active, order[active, step]] >= floor
+        for q in active[~open_]:
+            rest = order[q, step:]
+            told[q, 1] += len(rest)
+            told[q, 3] += sum(len(plain[b].ids) for b in rest)
+        active, floor = active[open_], floor[open_]
         if not len(active):
             break
         visit = order[active, step]
         for b in np.unique(visit):
-            ids, rows, _, _ = blocks[b]
-            mine = active[visit == b]
-            scores = queries[mine] @ rows.T
-            for q, row in zip(mine.tolist(), scores, strict=True):
-                floor = -kept[q][-1][0] if len(kept[q]) == k else -np.inf
-                ok = (row >= floor) & (ids != own[q])
-                at = np.flatnonzero(ok)
-                if len(at) > k:
-                    kth = np.partition(row[at], len(at) - k)[len(at) - k]
-                    at = at[row[at] >= kth]
-                    at = at[np.lexsort((ids[at], -row[at]))[:k]]
-                if len(at):
-                    kept[q] = sorted(kept[q] + [(-int(row[i]), int(ids[i])) for i in at])[:k]
-    return [(q, v, -s) for q, rows in enumerate(kept) for s, v in rows]
-
-
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block_rows: int = 512, chunk: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """RESULT: queries are the rows whose id is divisible by `every`, candidates all rows."""
-    rows = usable(vectors, id_col, vector_col)
-    queries = written(rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
-    n = queries.count()
-    chunks = max(1, -(-n // chunk))
+            block, at = plain[b], visit == b
+            mine, floors_of = active[at], floor[at]
+            if b not in halves:
+                halves[b] = block.rows[:, head], block.rows[:, tail], np.sqrt((block.rows[:, tail] ** 2).sum(1))
+            x_head, x_tail, x_rest = halves[b]
+            part = q_head[mine] @ x_head.T
+            reach = part + np.outer(q_rest[mine], x_rest) * (1 + SLACK) + 1e-6 >= floors_of[:, None]
+            reach &= block.ids[None] != own[mine][:, None]
+            told[mine, 3] += len(block.ids) - reach.sum(1)
+            told[mine, 1] += ~reach.any(1)
+            for i in np.flatnonzero(reach.any(1)):
+                rows, q = np.flatnonzero(reach[i]), mine[i]
+                scores = part[i, rows] + x_tail[rows] @ q_tail[q]
+                rows, scores = rows[scores >= floors_of[i]], scores[scores >= floors_of[i]]
+                if len(rows) > k:
+                    best = np.lexsort((block.ids[rows], -scores))[:k]
+                    rows, scores = rows[best], scores[best]
+                if len(rows):
+                    kept[q] = sorted(kept[q] + [(-int(s), int(v)) for s, v in zip(scores, block.ids[rows], strict=True)])[:k]
+    return kept, told
+
+
+def fitted(sample: np.ndarray, clusters: int, rounds: int = 8) -> np.ndarray:
+    """Centroids of the sample's rows by Lloyd's rounds, from evenly spaced rows in the order of the first terms."""
+    if sample.dtype == object or len(sample) < 2 * clusters:
+        return np.zeros((0, sample.shape[1] if sample.ndim == 2 else 0))
+    start = np.lexsort(sample.T[:2])
+    out = sample[start[np.linspace(0, len(start) - 1, clusters).astype(int)]]
+    for _ in range(rounds):
+        own = np.argmax(sample @ out.T - (out**2).sum(1) / 2, 1)
+        out = np.stack([sample[own == c].mean(0) if (own == c).any() else out[c] for c in range(clusters)])
+    return out
+
+
+def hits(vectors: DataFrame, k: int, every: int, block_rows: int, chunk: int, lane_rows: int, sample: int, clusters: int, id_col: str, vector_col: str) -> DataFrame:
+    """HITS: the k best of each lane for each query, and on the first of them (place 0) what was left out there."""
     spark = vectors.sparkSession
-    parts = []
-    for c in range(chunks):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).toArrow()
-        if not part.num_rows:
-            continue
-        lists = part.column("v").to_pylist()
-        shared = spark.sparkContext.broadcast((np.array(part.column("vec_id").to_pylist(), np.int64), matrix(lists, max(map(len, lists)))))
-
-        def run(batches, shared=shared):
-            own, q = shared.value
-            blocks = []
-            for batch in batches:
-                ids, lists = np.array(batch.column(0).to_pylist(), np.int64), batch.column(1).to_pylist()
-                for i in range(0, len(ids), block_rows):
-                    m = matrix(lists[i : i + block_rows], q.shape[1])
-                    blocks.append((ids[i : i + block_rows], m, m.max(0), m.min(0)))
-                if len(blocks) * block_rows * q.shape[1] * 8 > 256 << 20:  # a task holds a quarter of a GB at most
-                    yield found(q, own, blocks)
-                    blocks = []
-            if blocks:
-                yield found(q, own, blocks)
-
-        def found(q, own, blocks):
-            hits = search_block_order(q, own, blocks, k)
-            columns = [pa.array([int(own[h[0]]) for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
-
-        parts.append(rows.mapInArrow(run, "query_id long, vec_id long, score long"))
-    if not parts:
-        return spark.createDataFrame([], RESULT)
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    rows = written(usable(vectors, id_col, vector_col))
+    width = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("w")).head()["w"]
+    n = rows.count()
+    taken = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).toArrow()  # `sample` rows at most
+    of_sample = quantised(column(taken, "v"), width)
+    seeds = spark.sparkContext.broadcast((np.array(column(taken, "vec_id"), np.int64), of_sample, fitted(of_sample, clusters)))
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    chunks, lanes = max(1, -(-n // (every * chunk))), max(1, -(-n // lane_rows))
+
+    def floor_of(batches):
+        """vec_id, v, floor: no k-th score lies below the floor."""
+        ids, cands, _ = seeds.value
+        for batch in slices(batches):
+            own, q = np.array(column(batch, "vec_id"), np.int64), quantised(column(batch, "v"), width)
+            floors = np.full(len(own), -np.inf)
+            if safe(q, cands) and len(own):
+                scores = np.where(own[:, None] == ids[None], -np.inf, q @ cands.T)
+                if scores.shape[1] >= k:
+                    floors = np.partition(scores, scores.shape[1] - k, 1)[:, scores.shape[1] - k]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floors, pa.float64())], ["vec_id", "v", "floor"])
+
+    asked = written(queries.mapInArrow(floor_of, "vec_id long, v array<double>, floor double"))
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)))
+    deal = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(lanes - 1)), lambda x: x.cast("long")))
+    left = asked.withColumn("lane", F.explode(deal))
+    # a lane is dealt by the vector as well, so that rows which repeat an id are spread
+    right = rows.withColumn("lane", F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(lanes)))
+    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+
+    def meet(asked_table, rows_table):
+        own, q = np.array(column(asked_table, "vec_id"), np.int64), quantised(column(asked_table, "v"), width)
+        floors = np.array(column(asked_table, "floor"), float)
+        blocks = cut(np.array(column(rows_table, "vec_id"), np.int64), quantised(column(rows_table, "v"), width), seeds.value[2], block_rows)
+        found, told = search(q, own, floors, blocks, k)
+        flat = [(int(own[i]), v, -s, place, *(told[i].tolist() if not place else [0] * 4)) for i, best in enumerate(found) for place, (s, v) in enumerate(best)]
+        flat += [(int(own[i]), None, None, 0, *told[i].tolist()) for i, best in enumerate(found) if not best]
+        names = ["query_id", "vec_id", "score", "place", "blocks", "left", "rows", "rows_left"]
+        return pa.Table.from_arrays([pa.array([r[j] for r in flat], pa.int32() if name == "place" else pa.int64()) for j, name in enumerate(names)], names)
+
+    return left.groupBy("chunk", "lane").cogroup(right.groupBy("chunk", "lane")).applyInArrow(meet, HITS)
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block_rows: int = 256, chunk: int = 4096, lane_rows: int = 16_384, sample: int = 4096, clusters: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """RESULT: queries are the rows whose id is divisible by `every`, candidates all rows."""
+    found = hits(vectors, k, every, block_rows, chunk, lane_rows, sample, clusters, id_col, vector_col).filter("vec_id is not null")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def pruning(vectors: DataFrame, k: int = 5, every: int = 50, block_rows: int = 256, chunk: int = 4096, lane_rows: int = 16_384, sample: int = 4096, clusters: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """One row: blocks_left, rows_left: the shares of (query, block) and (query, row) left out, or left before their last terms."""
+    found = hits(vectors, k, every, block_rows, chunk, lane_rows, sample, clusters, id_col, vector_col)
+    share = lambda a, b: (F.sum(a) / F.sum(b)).alias(a if a == "rows_left" else "blocks_left")
+    return found.agg(share("left", "blocks"), share("rows_left", "rows"))
+
+
