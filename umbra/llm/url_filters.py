@@ -1,7 +1,9 @@
 """URL filters: explicit host/path rules, then association rules mined from the rules' own verdicts.
 
 The rule list labels every url that one of its rules fits.  FP-growth mines the token combinations of labelled urls
-together with their label; combinations that imply a label with enough support and confidence become learned rules.
+together with their label; combinations that imply a label with enough support and confidence become learned rules,
+if they say more than the label's share among all labelled urls does: of what is missing from that share to certainty
+their confidence must make up `min_certainty`.
 An inverted index files each learned rule under its rarest token; a url is looked up by its tokens, and a rule found
 that way is accepted when all its other tokens are among the url's.  Everything is DataFrame operations.
 
@@ -19,7 +21,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 #: (verdict, host, path prefix)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -64,7 +66,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_compact(F.array(*[F.when(v != "", F.concat(F.lit(k + "="), v)) for k, v in slots.items()]))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_certainty: float = 0.25) -> DataFrame:
     """Learned rules of labelled (tokens, verdict): rule_id, tokens (sorted), verdict, confidence, support, rarest.
 
     Transactions are first counted by their tokens and label with a map-side combine only inside FP-growth itself;
@@ -76,6 +78,9 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     rules = (
         model.associationRules.filter(F.col("consequent")[0].startswith("verdict="))
         .filter(~F.exists("antecedent", lambda x: x.startswith("verdict=")))
+        # confidence / lift is the share of the label
+        .filter(F.col("confidence") - F.col("confidence") / F.col("lift") >= F.lit(min_certainty) * (1 - F.col("confidence") / F.col("lift")))
+        .filter("lift > 1")
         .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 9, 1000).alias("verdict"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support"))
     )
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq"))
@@ -111,12 +116,12 @@ def match(urls: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCAST_RU
     return hits.groupBy("url").agg(best.alias("learned"))
 
 
-def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, min_support: float = 0.002, min_confidence: float = 0.6, default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, min_support: float = 0.002, min_confidence: float = 0.6, min_certainty: float = 0.25, default: str = "allow") -> DataFrame:
     """pages with host, path, rule, verdict, learned_rule, confidence; one row for each row of pages.
 
     Columns of pages named like a result column are replaced by it.
     """
-    made = ["host", "path", "rule", "verdict", "learned_rule", "confidence"]
+    made = ["host", "path", "rule", "verdict", "learned_rule", "confidence", "learned", "_given", "_url"]
     base = pages.drop(*made)
     u = F.col(url)
     judged = base.withColumns({"host": host_of(u), "path": path_of(u)})
@@ -128,10 +133,14 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, min_support: fl
     labelled = seen.filter("verdict is not null")
     if labelled.isEmpty():
         return judged.withColumns({"verdict": F.lit(default), "learned_rule": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")}).drop("_given")
-    learned = written(pruned(mine(labelled, min_support, min_confidence)))
+    learned = written(pruned(mine(labelled, min_support, min_confidence, min_certainty)))
     open_urls = seen.filter("verdict is null").select("url", "tokens").distinct()
-    best = match(open_urls, learned).withColumnRenamed("url", "_url")
-    out = judged.join(best, judged[url].eqNullSafe(best["_url"]) & judged["_given"].isNull(), "left")
+    # a table, so that the join can split a hot url; urls with a given verdict, and null, need no join
+    best = written(match(open_urls, learned)).withColumnRenamed("url", "_url")
+    forget(learned)
+    open_rows = judged["_given"].isNull() & judged[url].isNotNull()
+    joined = judged.filter(open_rows).join(best, F.col(url) == F.col("_url"), "left").drop("_url")
+    out = joined.unionByName(judged.filter(~open_rows).withColumn("learned", F.lit(None).cast(best.schema["learned"].dataType)))
     return out.select(
         *[c for c in base.columns], "host", "path", "rule",
         F.coalesce("_given", F.col("learned.verdict"), F.lit(default)).alias("verdict"),
