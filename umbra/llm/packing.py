@@ -48,7 +48,10 @@ def letter_model(tokenizer):
         return [t.id for t in model.tokenize(word.translate(table))]
 
     probes = [*LETTERS, *(a + b for a, b in zip(LETTERS, reversed(LETTERS), strict=True)), "".join(LETTERS), "Straße", "internationalisation", "ÉLÈVEs"]
-    return ids if all(ids(w) == tokenizer.encode(w, add_special_tokens=False).ids for w in probes) else None
+    if not all(ids(w) == tokenizer.encode(w, add_special_tokens=False).ids for w in probes):
+        return None
+    ids.folds = all(ids(w) == ids(w.lower()) for w in probes)  # whether case matters to this tokenizer
+    return ids
 
 
 @functools.lru_cache(1)
@@ -74,7 +77,7 @@ def encoder(tokenizer_path: str, cached_words: int = 500_000):
     def word(w: str) -> bytes:
         stem = w.rstrip(".,;:!?&$%#*")
         if of_letters and (stem.isalpha() if stem.isascii() else only_letters(stem)):
-            ids = stems[stem.lower()]
+            ids = stems[stem.lower() if of_letters.folds else stem]
             return ids + marks[w[len(stem) :]] if len(stem) < len(w) else ids
         return array("I", encode(w)).tobytes()
 
@@ -156,16 +159,15 @@ def pack_pieces(found: DataFrame, capacity: int = 2048, max_docs: int | None = N
     """PACKED rows of a written table of pieces.  By default no capacity but the tokens can bind."""
     max_docs, max_cost = max_docs or capacity, max_cost or float(capacity) ** 2
     groups = max(1, -(-found.count() // group_pieces))
-    salt = F.xxhash64("doc_id", "piece", "ids_crc32")
+    salt = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())  # repeated rows are spread too
 
     def run(key, batch_table):
-        t = batch_table.to_pandas()
-        t = t.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = best_fit(t["length"].to_numpy(), capacity, max_docs, max_cost, weights, rule)
+        # by Arrow: ids beside a null stay 64-bit integers
+        t = batch_table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        bins, offsets = best_fit(t.column("length").to_numpy(), capacity, max_docs, max_cost, weights, rule)
         ids = (key[0].as_py() << 32) + bins
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        out = [pa.Array.from_pandas(t[n], type=k) for n, k in zip(names, types, strict=True)]
+        out = [t.column(n) for n in names]
         return pa.Table.from_arrays([*out, pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], [*names, "sequence_id", "offset"])
 
     dealt = found.withColumn("_group", F.pmod(salt, F.lit(groups)).cast("long"))
