@@ -160,8 +160,8 @@ def _replied(replies: pa.Table, grams: Grams, order: int) -> tuple[list[np.ndarr
     by = sorted(zip(column_of(replies, "ord"), column_of(replies, "rng"), column_of(replies, "counts"), strict=True), key=lambda x: x[:2])
     kept, deleted = [], []
     for k in range(order):
-        both = [_unplanes(c, np.uint32).reshape(2, -1) for o, _, c in by if o == k]
-        both = np.concatenate(both, 1) if both else np.zeros((2, 0), np.uint32)
+        both = [_unplanes(c, np.uint64).reshape(2, -1) for o, _, c in by if o == k]
+        both = np.concatenate(both, 1) if both else np.zeros((2, 0), np.uint64)
         if both.shape[1] != len(grams.keys[k]):
             raise RuntimeError("a block was sent other counts than it asked for")
         kept.append(both[0].astype(np.int64))
@@ -169,6 +169,13 @@ def _replied(replies: pa.Table, grams: Grams, order: int) -> tuple[list[np.ndarr
     return kept, deleted
 
 
+def _sums(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Whole sums by place; no total wraps or is rounded."""
+    out = np.zeros(n, np.uint64)
+    np.add.at(out, at, counts.astype(np.uint64))
+    return out
+
+
 def column_of(t: pa.Table, name: str) -> list:
     return t.column(name).to_pylist()
 
@@ -181,7 +188,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, test_fold: int = 2, e
     blocks = max(1, -(-total // block_bytes))
     bits = max(0, (total // 6_000_000).bit_length())
     fold = F.coalesce(crc_mod(F.col("doc_id"), folds), F.lit(-1))
-    h = F.xxhash64("doc_id")
+    h = F.xxhash64("doc_id", "text")
     em_blocks = max(1, -(-blocks // folds))
     dealt = base.withColumns({"fold": fold.cast("int"), "block": F.when(fold == em_fold, blocks + F.pmod(h, F.lit(em_blocks))).otherwise(F.pmod(h, F.lit(blocks))).cast("long")})
 
@@ -206,7 +213,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, test_fold: int = 2, e
         counts = [_unplanes(b, np.uint32).reshape(2, -1) for b in column_of(t, "counts")]
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
         both = np.concatenate(counts, 1)
-        kept, deleted = (np.bincount(at, weights=both[i], minlength=len(keys)).astype(np.uint32) for i in (0, 1))
+        kept, deleted = (_sums(at, both[i], len(keys)) for i in (0, 1))
         rows, start = [], 0
         for block, mine in zip(column_of(t, "block"), asked, strict=True):
             place = at[start : start + len(mine)]
@@ -214,7 +221,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, test_fold: int = 2, e
             rows.append((block, k, rng, _planes(np.concatenate([kept[place], deleted[place]])), 0, 0, 0, 0))
         if k == 0:
             true = keys != np.uint64(BOS)
-            sums = [int(kept[true].sum(dtype=np.int64)), int(deleted[true].sum(dtype=np.int64)), int((kept[true] > 0).sum()), int((kept[true].astype(np.int64) + deleted[true] > 0).sum())]
+            sums = [int(kept[true].sum(dtype=np.int64)), int(deleted[true].sum(dtype=np.int64)), int((kept[true] > 0).sum()), int((kept[true] + deleted[true] > 0).sum())]
             rows.append((-1, k, rng, b"", *sums))
         types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
         names = ["block", "ord", "rng", "counts", "kept", "deleted", "kept_v", "all_v"]
