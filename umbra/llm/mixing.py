@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, written
 
-MAX_BITS = 14
+MAX_BITS = 20
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -115,11 +115,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: float = 2.
     draws: array of (epoch, shard, words, place): the document's first `words` words go to the shard, in the order of
     place.  taken is the sum of words.  All words but for one document a source come whole.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), *keep)
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("_key"), *([F.struct(*keep).alias("_kept")] if keep else []))
     sized = written(named) if not keep else named
-    small = sized.select("doc_id", "source", "size") if not keep else written(sized.select("doc_id", "source", "size"))
+    small = sized if not keep else written(sized.select("source", "size", "_key"))
     t = written(targets(small, weights, share, epochs, block_docs))
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+    h = F.xxhash64(F.lit(seed), F.col("_key"))
     attached = sized.join(t.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     at_block = lambda df: df.withColumn("block", h.bitwiseAND(F.col("blocks") - 1))
     rank = lambda e: _permuted(F.col("block"), F.col("bits"), F.xxhash64(F.lit(seed), F.col("place"), e))
@@ -131,8 +131,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: float = 2.
     drawn = drawn.select("place", (F.col("b") * F.col("f") + F.coalesce("part", F.lit(0))).alias("drawn"))
     bounds = split_quotas(drawn, shards, seed)
     rows = at_block(attached).join(table.select("place", "block", "rank", "start"), ["place", "block"])
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("size")))
-    inside = Window.partitionBy("place", "block").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed + 1), F.col("_key")))
+    inside = Window.partitionBy("place", "block").orderBy("_h", "doc_id", "size", "_key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least("size", F.col("rest") - F.col("at"))))
     rows = rows.join(bounds, "place", "left")
@@ -142,7 +142,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: float = 2.
     fulls = F.transform(F.when(F.col("full") > 0, F.sequence(F.lit(0), F.col("full") - 1)).otherwise(F.array().cast("array<int>")), lambda e: draw(e, F.col("size"), rank(e)))
     last = F.array(draw(F.col("full"), F.col("part"), F.col("rank")))
     rows = rows.withColumn("draws", F.filter(F.concat(fulls, last), lambda x: x["words"] > 0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).alias("taken"), "draws", *keep)
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).alias("taken"), "draws", *(["_kept.*"] if keep else []))
 
 
 def materialise(mixed: DataFrame, text_col: str = "text") -> DataFrame:
@@ -153,7 +153,12 @@ def materialise(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.withColumns({"shard": F.col("_d.shard"), "epoch": F.col("_d.epoch"), "place": F.col("_d.place")}).drop("_d")
 
 
-def write_shards(rows: DataFrame, path: str, parts: int = 8) -> None:
-    """One folder a shard, each shuffled locally by place; a shard is dealt over `parts` tasks by ranges of place."""
+def shuffled(rows: DataFrame, parts: int = 8) -> DataFrame:
+    """Materialised rows in the order of their places within their shards; a shard is dealt over `parts` tasks by place."""
     dealt = rows.repartition("shard", F.pmod(F.shiftright("place", 48), F.lit(parts)))
-    dealt.sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+    return dealt.sortWithinPartitions("shard", "place")
+
+
+def write_shards(rows: DataFrame, path: str, parts: int = 8) -> None:
+    """One folder a shard, each shuffled locally by place."""
+    shuffled(rows, parts).write.partitionBy("shard").parquet(path)
