@@ -9,10 +9,11 @@ feature bucket, about a megabyte, and a document's score is the mean of its word
 
 Labels are learned from a bounded sample: of the rows allowed for training, the `sample` with the smallest hashes of
 each class, each with its whole text.  What the driver receives of a document is its distinct feature buckets and
-their weights, at most `buckets` entries.  The last fifth of the sample sets the operating point: the score is
+their weights, at most `buckets` entries.  A random fifth of the sample sets the operating point: the score is
 0.3 where the training side balances best between the classes, and rises with the logit.
 
 Cases: null, empty or blank text: a document without words; its logit is the bias.  Repeated rows are scored each.
+Rows of labels that contradict each other: the majority, 1 if it is even.
 With no label of one class, every score is that class's absence (0 or 1), 0.5 without any label.  Null doc_id: scored,
 not held out, never a label's partner.  Extra columns are not read.
 """
@@ -50,7 +51,7 @@ def sample_of(labels: DataFrame, label: str, sample: int, folds: int, test_fold:
     """doc_id, label: the rows with the smallest hashes of either class among those that may be learned from."""
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~remainder_is(F.col("doc_id"), folds, test_fold))
-    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))  # repeated rows once
+    rows = rows.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))  # repeated rows once, by majority
     parts = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     return parts[0].unionByName(parts[1])
 
