@@ -121,7 +121,7 @@ def test_pii_adds_unseen_identifiers_in_the_context_of_seeds(spark):
     planted = {"write user77@intranet today": ["email:6:21"], "my desk number is 555-7713 thanks": ["phone:18:26"], "my desk number is 5557713 thanks": ["phone:18:25"], "my desk number is (017) 555 77 13 thanks": ["phone:18:33"]}
     clean = ["write 5 today", "room 555-7713 is free", "my desk number is A5 thanks", "", None]
     texts = [*seeds, *planted, *clean]
-    got = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chunk=5)).collect()}
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
     assert {t: got[texts.index(t)].split(",") for t in planted} == planted
     assert all(got[texts.index(t)] == "" for t in clean)
     assert all(got[i].count(":") == 2 for i in range(len(seeds)))
