@@ -1 +1,3 @@
-"""Find, mask and restore personal data in document collections with Spark."""
+"""A Spark-native engine that finds, masks and restores personal data."""
+
+__version__ = "0.2.0"

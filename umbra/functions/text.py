@@ -7,8 +7,30 @@ from pyspark.sql import functions as F
 
 #: node type -> context in which policy rules apply
 CONTEXTS = {"Title": "heading", "SectionHeader": "heading", "List": "list", "Table": "table", "TableCell": "table", "Text": "paragraph", "KeyValue": "table", "KeyValueKey": "table", "KeyValueValue": "table", "Code": "code", "Formula": "formula"}
-#: other names of entity types
-ALIASES = {"EMAIL": "EMAIL_ADDRESS", "PHONE": "PHONE_NUMBER", "SSN": "US_SSN", "CARD": "CREDIT_CARD", "IP": "IP_ADDRESS", "DATE": "DATE_TIME"}
+# Other names of entity types, and the confidence from which a type counts by default.
+ALIASES = {
+    "CREDIT_CARD": "CREDIT_CARD",
+    "EMAIL_ADDRESS": "EMAIL",
+    "EMAIL": "EMAIL",
+    "PHONE_NUMBER": "PHONE_NUMBER",
+    "PHONE": "PHONE_NUMBER",
+    "PERSON": "PERSON",
+    "LOCATION": "LOCATION",
+    "DATE_TIME": "DATE_TIME",
+    "IP_ADDRESS": "IP_ADDRESS",
+    "US_SSN": "US_SSN",
+    "SSN": "US_SSN",
+    "IBAN": "IBAN",
+    "URL": "URL",
+    "MEDICAL_LICENSE": "MEDICAL_LICENSE",
+    "US_DRIVER_LICENSE": "US_DRIVER_LICENSE",
+    "ORGANIZATION": "ORGANIZATION",
+    "ADDRESS": "ADDRESS",
+    "CURRENCY": "CURRENCY",
+    "AGE": "AGE",
+}
+THRESHOLDS = {"CREDIT_CARD": 0.7, "EMAIL": 0.5, "PHONE_NUMBER": 0.6, "US_SSN": 0.8, "PERSON": 0.6, "LOCATION": 0.5, "DATE_TIME": 0.5, "IP_ADDRESS": 0.7, "URL": 0.5, "IBAN": 0.7}
+DEFAULT_THRESHOLD = 0.6
 
 
 def literal_map(values: dict) -> Column:
@@ -20,10 +42,14 @@ def context_of(node_type: Column) -> Column:
 
 
 def entity_type(name: Column) -> Column:
-    upper = F.upper(F.trim(name))
+    upper = F.upper(name)
     return F.coalesce(F.try_element_at(literal_map(ALIASES), upper), upper)
 
 
+def default_threshold(name: Column) -> Column:
+    return F.coalesce(F.try_element_at(literal_map(THRESHOLDS), entity_type(name)), F.lit(DEFAULT_THRESHOLD))
+
+
 def normalise_whitespace(text: Column, aggressive: bool = False) -> Column:
     """Conservative: CR LF as LF, 3 or more spaces as 2, 4 or more line feeds as 3.  Aggressive: runs as one space."""
     if aggressive:
@@ -44,27 +70,43 @@ def generic_template(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[\p{L}]", "X"), r"[\p{Nd}]", "#")
 
 
+def _at(text: Column, place: int) -> Column:
+    return F.substring(text, place + 1, 1)
+
+
 def phone_template(text: Column) -> Column:
-    digits = F.regexp_replace(text, r"[0-9]", "X")
-    return F.when(text.rlike(r"^[0-9]{10}$") | text.rlike(r"^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), F.lit("XXX-XXX-XXXX")).when(text.rlike(r"^\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}$"), F.lit("(XXX) XXX-XXXX")).otherwise(digits)
+    """Ten digits, or groups of three, three and four by hyphens; an area in parentheses; an international number; else
+    an X for each digit, then all other characters."""
+    n = F.char_length(text)
+    plain = text.rlike(r"^[0-9]{10}$") | ((n == 12) & (_at(text, 3) == "-") & (_at(text, 7) == "-"))
+    area = (n == 14) & text.startswith("(") & text.contains(")")
+    digits = F.regexp_replace(text, r"[^0-9]", "")
+    generic = F.concat(F.repeat(F.lit("X"), F.char_length(digits)), F.regexp_replace(text, r"[0-9]", ""))
+    abroad = F.concat(F.lit("+X "), F.repeat(F.lit("X"), n - 3))
+    return F.when(plain, F.lit("XXX-XXX-XXXX")).when(area, F.lit("(XXX) XXX-XXXX")).when(text.contains("+"), abroad).otherwise(generic)
 
 
 def ssn_template(text: Column) -> Column:
-    return F.when(text.rlike(r"^[0-9]{9}$"), F.lit("XXXXXXXXX")).otherwise(F.regexp_replace(text, r"[0-9]", "X"))
+    hyphens = (F.char_length(text) == 11) & (_at(text, 3) == "-") & (_at(text, 6) == "-")
+    return F.when(hyphens, F.lit("XXX-XX-XXXX")).otherwise(F.regexp_replace(text, r"[0-9]", "X"))
 
 
 def card_template(text: Column) -> Column:
-    return F.regexp_replace(text, r"[0-9]", "X")
+    n, count = F.char_length(text), lambda c: F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit("")))
+    hyphens = text.rlike(r"^[0-9]{16}$") | ((n == 19) & (count("-") == 3))
+    blanks = (n == 19) & (count(" ") == 3)
+    return F.when(hyphens, F.lit("XXXX-XXXX-XXXX-XXXX")).when(blanks, F.lit("XXXX XXXX XXXX XXXX")).otherwise(F.regexp_replace(text, r"[0-9]", "X"))
 
 
 def email_template(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\p{L}\p{Nd}]", "x")
+    """The lengths of the user's name and of the domain's parts stay; without an @ a fixed mark."""
+    user, domain = F.substring_index(text, "@", 1), F.regexp_replace(text, r"^[^@]*@", "")
+    return F.when(F.instr(text, "@") == 0, F.lit("[EMAIL]")).otherwise(F.concat(F.repeat(F.lit("x"), F.char_length(user)), F.lit("@"), F.regexp_replace(domain, r"[^.]", "x")))
 
 
 def structured_template(kind: Column, text: Column) -> Column:
-    return (
-        F.when(kind == "PHONE_NUMBER", phone_template(text)).when(kind == "US_SSN", ssn_template(text)).when(kind == "CREDIT_CARD", card_template(text)).when(kind == "EMAIL_ADDRESS", email_template(text)).otherwise(generic_template(text))
-    )
+    own = F.when(kind == "PHONE_NUMBER", phone_template(text)).when(kind == "US_SSN", ssn_template(text)).when(kind == "CREDIT_CARD", card_template(text)).when(kind == "EMAIL_ADDRESS", email_template(text)).otherwise(generic_template(text))
+    return F.when(F.char_length(text) == 0, F.lit("[REDACTED]")).otherwise(own)
 
 
 def detect_format(text: Column, path: Column) -> Column:

@@ -1,61 +1,230 @@
-"""Span detection by recognizers: a pattern, a score and an optional check, as array expressions."""
+"""Span detection by recognizers: a pattern, a score and an optional check, as array expressions.
+
+A pattern runs once over a text: its matches are put between marks, and one split at the marks gives gaps and matches in
+turn, whose lengths are the places.  Recognizers of the other form are Python functions, called over Arrow batches.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.functions.text import default_threshold
+
 SPAN = "struct<entity_type:string,start:int,end:int,confidence:double,text:string>"
+#: A character that is never in a Unicode text, set around matches; one that is there all the same becomes U+FFFD.
+MARK, INSTEAD = "\uffff", "\ufffd"
+
+
+#: Between an ASCII word character and anything else; the platform's own takes in letters of other alphabets.
+_BOUNDARY = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
 
 @dataclass(frozen=True)
 class Recognizer:
+    """pattern is read alike by other engines: no look-around.  fast, where given, finds the same and is quicker here.
+
+    A `\\b` is an ASCII word boundary in both."""
+
     entity_type: str
     pattern: str
     score: float
     check: Callable[[Column], Column] | None = None
+    fast: str | None = None
+
+    @property
+    def here(self) -> str:
+        return (self.fast or self.pattern).replace(r"\b", _BOUNDARY)
+
+
+@dataclass(frozen=True)
+class FunctionRecognizer:
+    """find(text) -> [(start, end, confidence)], for models and dictionaries that no pattern holds."""
+
+    entity_type: str
+    find: Callable[[str], list[tuple[int, int, float]]]
 
 
 def luhn(text: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(text, "[^0-9]", ""))
 
 
+def card(text: Column) -> Column:
+    """13 to 19 digits that pass Luhn's check."""
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    return F.char_length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+
+
 def octets(text: Column) -> Column:
     return F.forall(F.split(text, r"\."), lambda p: p.cast("int") <= 255)
 
 
-# Patterns without look-around, so that other engines read them alike.
+def phone(text: Column) -> Column:
+    """7 to 15 digits."""
+    return F.char_length(F.regexp_replace(text, "[^0-9]", "")).between(7, 15)
+
+
+# A run of the characters of an address's head is tried from its beginning alone, or where the last match ended, so that a
+# run without @ costs its length once.
+_HEAD = "[A-Za-z0-9._%+-]"
+# No repetition of a group is open: the platform's stack would grow with it.  A domain has 127 parts at most.
+EMAIL = Recognizer("EMAIL_ADDRESS", rf"{_HEAD}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{1,126}}", 0.95, fast=rf"(?:(?<!{_HEAD})|\G){_HEAD}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{1,126}}")
+_PHONES = (
+    r"(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{2,4}\)[ -]?|[0-9]{2,4}[ -])[0-9]{3,4}[ -][0-9]{3,4}\b",
+    r"\b[0-9]{3}\.[0-9]{3}\.[0-9]{4}\b",
+    r"\b[0-9]{10}\b",
+)
+_CARDS = (r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b", r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}\b", r"[0-9]{13,}")
 RECOGNIZERS = (
-    Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0.95),
-    Recognizer("PHONE_NUMBER", r"(?:\+[0-9]{1,2} )?\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}", 0.75),
-    Recognizer("CREDIT_CARD", r"[0-9]{16}", 0.9, luhn),
+    EMAIL,
+    Recognizer("PHONE_NUMBER", "|".join(_PHONES), 0.75, phone),
+    Recognizer("CREDIT_CARD", "|".join(_CARDS), 0.9, card),
     Recognizer("IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.85, octets),
     Recognizer("US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85),
     Recognizer("URL", r"https?://[^ \t\r\n]+", 0.8),
     Recognizer("DATE_TIME", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0.7),
-    Recognizer("IBAN_CODE", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 0.8),
+    Recognizer("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0.8),
 )
+OTHERS = (
+    Recognizer("US_PASSPORT", r"\b[A-Z][0-9]{8}\b", 0.6),
+    Recognizer("US_DRIVER_LICENSE", r"\b[A-Z][0-9]{3}-[0-9]{4}-[0-9]{4}\b", 0.6),
+    Recognizer("MEDICAL_LICENSE", r"\b[A-Z]{2}[0-9]{7}\b", 0.6),
+    Recognizer("NRP", r"\b[0-9]{6}-[0-9]{7}\b", 0.6),
+    Recognizer("CRYPTO", r"\b(?:bc1|[13])[A-HJ-NP-Za-km-z1-9]{25,39}\b", 0.6),
+    Recognizer("US_BANK_NUMBER", r"\b[0-9]{10,12}\b", 0.5),
+)
+# The sets of types that go by a name.
+ENABLED = ("PHONE_NUMBER", "EMAIL_ADDRESS", "CREDIT_CARD", "US_SSN", "PERSON", "URL", "IP_ADDRESS", "DATE_TIME", "LOCATION")
+ENGINE_ENABLED = (*ENABLED, "MEDICAL_LICENSE")
+SMART_ENABLED = ("EMAIL_ADDRESS", "PERSON", "PHONE_NUMBER", "CREDIT_CARD", "US_SSN", "LOCATION", "DATE_TIME", "MEDICAL_LICENSE", "URL", "IP_ADDRESS", "US_DRIVER_LICENSE", "US_PASSPORT", "IBAN_CODE", "NRP", "CRYPTO")
+KEPT_BY_DEFAULT = ("DATE_TIME", "URL")
+
+
+def phrases(entity_type: str, names, score: float = 0.7) -> FunctionRecognizer:
+    """Recognizes the given names as whole words, the longest first: PERSON or LOCATION from a list."""
+    pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b") if names else None
+    return FunctionRecognizer(entity_type, lambda text: [(m.start(), m.end(), score) for m in pattern.finditer(text)] if pattern else [])
+
+
+#: A title or a word such as Mr before capitalised words, or two or three of these where no model is given.
+_TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?")
+TITLED_PERSON = FunctionRecognizer("PERSON", lambda text: [(m.start(), m.end(), 0.7) for m in _TITLED.finditer(text)])
+
+
+@dataclass(frozen=True)
+class Analyzer:
+    """Which recognizers run, and from which confidence their spans count."""
+
+    recognizers: tuple = RECOGNIZERS
+    enabled: tuple[str, ...] | None = None  # all
+    threshold: float = 0.0
+    thresholds: dict[str, float] = field(default_factory=dict)
+    language: str = "en"
+    languages: tuple[str, ...] = ("en",)
+
+    def __post_init__(self) -> None:
+        if not re.fullmatch(r"[a-z]{2}(-[A-Z]{2})?", self.language):
+            raise ValueError("language is xx or xx-YY")
+        if not 0 <= self.threshold <= 1 or any(not 0 <= x <= 1 for x in self.thresholds.values()):
+            raise ValueError("a threshold is outside 0 to 1")
+
+    def active(self) -> tuple:
+        return tuple(r for r in self.recognizers if self.enabled is None or r.entity_type in self.enabled)
+
+    def supported(self) -> list[str]:
+        return sorted({r.entity_type for r in self.active()})
+
+    def enable(self, *types: str) -> Analyzer:
+        known = {r.entity_type for r in self.recognizers}
+        more = tuple(r for r in OTHERS if r.entity_type in types and r.entity_type not in known)
+        return replace(self, recognizers=(*self.recognizers, *more), enabled=None if self.enabled is None else (*self.enabled, *types))
+
+    def disable(self, *types: str) -> Analyzer:
+        return replace(self, recognizers=tuple(r for r in self.recognizers if r.entity_type not in types))
+
+    def add(self, recognizer) -> Analyzer:
+        return replace(self, recognizers=(*self.recognizers, recognizer))
+
+    def detect(self, nodes: DataFrame, text_col: str = "text", types: tuple[str, ...] | None = None, threshold: float | None = None, language: str | None = None) -> DataFrame:
+        """nodes with spans; types, threshold and language hold for this call."""
+        if language and language.split("-")[0] not in {x.split("-")[0] for x in (self.language, *self.languages)}:
+            raise ValueError(f"no recognizers for the language {language}")
+        chosen = tuple(r for r in self.active() if types is None or r.entity_type in types)
+        limit = self.threshold if threshold is None else threshold
+        found = detect(nodes, chosen, text_col)
+        least = F.lit(limit)
+        own = lambda s: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in self.thresholds.items() for x in p]), s["entity_type"]), least) if self.thresholds else least
+        return found.withColumn("spans", F.filter("spans", lambda s: s["confidence"] >= own(s)))
+
+    def diagnostics(self, spark) -> dict:
+        """What the analyzer supports, and whether it finds an address in a text of one."""
+        rows = self.detect(spark.createDataFrame([("write to test@example.com",)], "text string")).head()
+        return {"languages": [self.language, *self.languages], "entities": self.supported(), "threshold": self.threshold, "works": any(s["text"] == "test@example.com" for s in rows["spans"])}
+
+
+def from_policy(policy, recognizers=RECOGNIZERS) -> Analyzer:
+    """The language is the locale's, the confidence the least of the thresholds."""
+    return Analyzer(recognizers, threshold=min(policy.thresholds.values(), default=policy.min_confidence), language=policy.locale.split("-")[0])
+
+
+# The analyzers that go by a name.
+ANALYZERS = {
+    "default": Analyzer(threshold=0.7),
+    "high_precision": Analyzer(threshold=0.85),
+    "high_recall": Analyzer(threshold=0.5),
+    "multilingual": Analyzer(threshold=0.65, languages=("en", "de", "es", "fr")),
+}
+
+
+def analyzer(name: str) -> Analyzer:
+    if name not in ANALYZERS:
+        raise ValueError(f"no analyzer {name}; there are {sorted(ANALYZERS)}")
+    return ANALYZERS[name]
+
+
+def none_found() -> Column:
+    return F.array().cast(f"array<{SPAN}>")
 
 
 def spans_of(text: Column, r: Recognizer) -> Column:
     """The recognizer's spans of a text: code points, end exclusive, in order."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)), F.split(text, r.pattern, -1)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(INSTEAD)), f"({r.here})", f"{MARK}$1{MARK}")
+    parts = F.split(marked, MARK, -1)  # gap, match, gap, match, ..., gap
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), none_found().alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        at = a["pos"] + F.char_length(x["gap"])
-        span = F.struct(F.lit(r.entity_type).alias("entity_type"), at.alias("start"), (at + F.char_length(x["match"])).alias("end"), F.lit(r.score).alias("confidence"), x["match"].alias("text"))
-        return F.struct((at + F.char_length(x["match"])).alias("pos"), F.concat(a["out"], F.array(span)).alias("out"))
+        end = a["pos"] + F.char_length(x)
+        span = F.struct(F.lit(r.entity_type).alias("entity_type"), a["pos"].alias("start"), end.alias("end"), F.lit(r.score).alias("confidence"), x.alias("text"))
+        return F.struct(end.alias("pos"), (1 - a["i"]).alias("i"), F.when(a["i"] == 1, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    found = F.aggregate(pairs, start, step, lambda a: a["out"])
-    found = F.when(text.rlike(r.pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    found = F.when(F.contains(marked, F.lit(MARK)), F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(none_found())
     return F.filter(found, lambda s: r.check(s["text"])) if r.check else found
 
 
+def spans_by_functions(text: Column, recognizers: list[FunctionRecognizer]) -> Column:
+    """The spans of all recognizers that are functions, in one call a batch; one that fails gives none for that text."""
+
+    @F.pandas_udf(f"array<{SPAN}>")
+    def found(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            spans = []
+            for r in recognizers:
+                try:
+                    spans += [{"entity_type": r.entity_type, "start": int(a), "end": int(b), "confidence": float(c), "text": t[a:b]} for a, b, c in r.find(t or "")]
+                except Exception:  # a user's function; detection goes on without it
+                    continue
+            out.append(spans)
+        return pd.Series(out, dtype=object)
+
+    return found(text)
+
+
 def in_order(spans: Column) -> Column:
     """By start, end, falling confidence, type."""
     keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), (-s["confidence"]).alias("c"), s["entity_type"].alias("d"), s.alias("s"))))
@@ -65,8 +234,58 @@ def in_order(spans: Column) -> Column:
 def detect(nodes: DataFrame, recognizers=RECOGNIZERS, text_col: str = "text") -> DataFrame:
     """nodes with spans: array of SPAN; narrow, no shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return nodes.withColumn("spans", in_order(F.concat(*[spans_of(text, r) for r in recognizers])))
+    functions = [r for r in recognizers if isinstance(r, FunctionRecognizer)]
+    parts = [spans_of(text, r) for r in recognizers if isinstance(r, Recognizer)]
+    if functions:
+        nodes = nodes.withColumn("_by_functions", spans_by_functions(text, functions))
+        parts.append(F.coalesce("_by_functions", none_found()))
+    found = in_order(F.concat(*parts)) if parts else none_found()
+    return nodes.withColumn("spans", found).drop("_by_functions")
+
+
+def inside(spans: Column, text: Column, strict: bool = False) -> Column:
+    """The spans that lie within the text; strict: empty ones are left out too."""
+    n = F.char_length(text)
+    return F.filter(spans, lambda s: (s["start"] >= 0) & (s["start"] < s["end"] if strict else s["start"] <= s["end"]) & (s["end"] <= n))
+
+
+def analyze_segments(nodes: DataFrame, own: Analyzer, least_chars: int = 2, policy=None) -> DataFrame:
+    """nodes with spans and error: texts below least_chars have no spans; a text that cannot be read gives its error.
+
+    With a policy the spans that it does not mask are left out."""
+    bad = F.col("text").isNotNull() & ~F.expr("is_valid_utf8(text)") if _has_utf8_check(nodes) else F.lit(False)
+    text = F.when(bad | (F.char_length("text") < least_chars), F.lit("")).otherwise(F.col("text"))
+    rows = own.detect(nodes.withColumn("_t", text), "_t").drop("_t")
+    if policy is not None:
+        context = F.col("context") if "context" in nodes.columns else F.lit("paragraph")
+        rows = rows.withColumn("spans", F.filter("spans", lambda s: policy.masks(s, context)))
+    return rows.withColumn("error", F.when(bad, "the text is not UTF-8"))
+
+
+def _has_utf8_check(df: DataFrame) -> bool:
+    return df.sparkSession.catalog.functionExists("is_valid_utf8")
+
+
+def analysis(rows: DataFrame, *by: str) -> DataFrame:
+    """One row a document of analyze_segments(): segments, entities, errors and the share of segments without error."""
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("segments"),
+        F.sum(F.size("spans")).cast("long").alias("entities"),
+        F.count("error").alias("errors"),
+        (1 - F.count("error") / F.count(F.lit(1))).alias("success_rate"),
+    )
+
+
+def above_default_thresholds(entities_: DataFrame) -> DataFrame:
+    return entities_.filter(F.col("confidence") >= default_threshold(F.col("entity_type")))
 
 
 def entities(detected: DataFrame, *ids: str) -> DataFrame:
     return detected.select(*ids, F.explode("spans").alias("s")).select(*ids, "s.*")
+
+
+def paired(original: DataFrame, masked: DataFrame, *by: str) -> DataFrame:
+    """Full outer join of detected entities and masked ones on their places: what has no counterpart shows."""
+    a = original.select(*by, "start", "end", F.col("entity_type").alias("original_type"), F.col("text").alias("original_text"))
+    b = masked.select(*by, "start", "end", F.col("entity_type").alias("masked_type"), F.col("replacement").alias("masked_text"))
+    return a.join(b, [*by, "start", "end"], "full")

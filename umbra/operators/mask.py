@@ -5,30 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.functions.text import entity_type
+
 from .detect import RECOGNIZERS, detect
-from .policy import TEMPLATES, Policy
+from .policy import DEFAULT, Policy
 from .resolve import RESOLVERS
 
+#: Spans from which a text is cut as an array of its characters: its length once, and not once a span.
+MANY = 24
+# How far from its place a masked value is looked for, the steps of confidence, and the least that counts.
+WINDOW, REACH, SEARCHED, LEAST = 20, 100, 0.8, 0.5
+
 
 def splice(text: Column, spans: Column, new: str = "replacement") -> Column:
     """text with each span (sorted, disjoint; start, end) replaced by its field `new`."""
     end_before = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+    tail_at = F.try_element_at(spans, F.lit(-1))["end"]
     parts = F.transform(spans, lambda s, i: F.concat(F.substring(text, end_before(i) + 1, s["start"] - end_before(i)), s[new]))
-    tail = F.substring(text, F.try_element_at(spans, F.lit(-1))["end"] + 1, F.char_length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text)
+    few = F.concat(F.array_join(parts, ""), F.substring(text, tail_at + 1, F.char_length(text)))
+    chars = F.array(F.filter(F.split(text, ""), lambda c: c != ""))
+    cut = lambda a, at, n: F.array_join(F.slice(a, at + 1, F.greatest(n, F.lit(0))), "")
+
+    def of_chars(a: Column) -> Column:
+        pieces = F.transform(spans, lambda s, i: F.concat(cut(a, end_before(i), s["start"] - end_before(i)), s[new]))
+        return F.concat(F.array_join(pieces, ""), cut(a, tail_at, F.size(a) - tail_at))
+
+    many = F.transform(chars, of_chars)[0]  # the array of characters is made once
+    return F.when(F.size(spans) > MANY, many).when(F.size(spans) > 0, few).otherwise(text)
+
+
+MASKED_SPAN = "struct<entity_type:string,start:int,end:int,confidence:double,text:string,replacement:string,masked_start:int,masked_end:int>"
 
 
 def with_masked_places(spans: Column) -> Column:
     """spans with masked_start, masked_end: where the replacements lie in the masked text."""
-    shift = lambda i: F.aggregate(F.slice(spans, F.lit(1), i), F.lit(0), lambda a, s: a + F.char_length(s["replacement"]) - s["end"] + s["start"])
-    return F.transform(spans, lambda s, i: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["confidence"].alias("confidence"), s["text"].alias("text"), s["replacement"].alias("replacement"), (s["start"] + shift(i)).alias("masked_start"), (s["start"] + shift(i) + F.char_length(s["replacement"])).alias("masked_end")))
+    start = F.struct(F.lit(0).alias("shift"), F.array().cast(f"array<{MASKED_SPAN}>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        at, size = s["start"] + a["shift"], F.char_length(s["replacement"])
+        fields = [s[n].alias(n) for n in ("entity_type", "start", "end", "confidence", "text", "replacement")]
+        span = F.struct(*fields, at.alias("masked_start"), (at + size).alias("masked_end"))
+        return F.struct((a["shift"] + size - s["end"] + s["start"]).alias("shift"), F.concat(a["out"], F.array(span)).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda a: a["out"])
 
 
 def filtered(nodes: DataFrame, policy: Policy) -> DataFrame:
     return nodes.withColumn("spans", F.filter("spans", lambda s: policy.masks(s, F.col("context"))))
 
 
-def mask(nodes: DataFrame, policy: Policy = TEMPLATES, recognizers=RECOGNIZERS, resolution: str = "greedy", detected: bool = False) -> DataFrame:
+def replaced(nodes: DataFrame, policy: Policy) -> DataFrame:
+    """nodes whose spans carry their replacement: column expressions, and one Python call a row for the strategies that
+    need Python, if the policy has any.  An empty or missing replacement is an asterisk."""
+    context = F.col("context")
+    own = nodes.withColumn("spans", F.transform("spans", lambda s: F.struct(*[s[n].alias(n) for n in ("entity_type", "start", "end", "confidence", "text")], policy.replacement(s, context).alias("replacement"))))
+    if not policy.native:
+        own = own.withColumn("_python", policy.replacements_in_python(F.col("spans"), context))
+        joined = F.zip_with("spans", "_python", lambda s, r: s.withField("replacement", F.coalesce(s["replacement"], r)))
+        own = own.withColumn("spans", joined).drop("_python")
+    full = lambda r: F.when(F.char_length(r) > 0, r).otherwise(F.lit("*"))
+    return own.withColumn("spans", F.transform("spans", lambda s: s.withField("replacement", full(s["replacement"]))))
+
+
+def mask(nodes: DataFrame, policy: Policy = DEFAULT, recognizers=RECOGNIZERS, resolution: str = "greedy", detected: bool = False) -> DataFrame:
     """nodes (doc_id, node_id, text; context, else "paragraph") with masked_text and spans as they were masked.
 
     Null texts stay null; nodes without spans keep their text."""
@@ -36,49 +75,157 @@ def mask(nodes: DataFrame, policy: Policy = TEMPLATES, recognizers=RECOGNIZERS,
         nodes = nodes.withColumn("context", F.lit("paragraph"))
     found = nodes if detected else detect(nodes, recognizers)
     found = filtered(found, policy)
-    found = found.withColumn("spans", RESOLVERS[resolution](F.col("spans")))
-    found = found.withColumn("spans", F.transform("spans", lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["confidence"].alias("confidence"), s["text"].alias("text"), policy.replacement(s, F.col("context")).alias("replacement"))))
+    found = replaced(found.withColumn("spans", RESOLVERS[resolution](F.col("spans"))), policy)
     found = found.withColumn("spans", with_masked_places(F.col("spans")))
     return found.withColumn("masked_text", splice(F.col("text"), F.col("spans")))
 
 
-def anchors(masked: DataFrame, policy: Policy = TEMPLATES, salt: str = "", keep_original: bool = True) -> DataFrame:
+def replacements(masked: DataFrame) -> DataFrame:
+    """doc_id, node_id and the list of (start, end, text) that a node's masking made."""
+    return masked.select("doc_id", "node_id", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("text"))).alias("replacements"))
+
+
+def anchors(masked: DataFrame, policy: Policy = DEFAULT, salt: str = "", keep_original: bool = True) -> DataFrame:
     """One row a masked span: places before and after, ids and salted checksums, all derived from the row."""
-    rows = masked.select("doc_id", "node_id", F.posexplode("spans").alias("seq", "s")).select("doc_id", "node_id", "seq", "s.*")
+    context = [c for c in ("context",) if c in masked.columns]
+    rows = masked.select("doc_id", "node_id", *context, F.posexplode("spans").alias("seq", "s")).select("doc_id", "node_id", *context, "seq", "s.*")
     key = F.concat_ws(":", "doc_id", "node_id", "entity_type", F.col("start").cast("string"))
     own_salt = F.substring(F.sha2(F.concat(F.lit(salt + ":"), key), 256), 1, 16)
     return rows.select(
         "doc_id", "node_id", "seq", "start", "end", "entity_type", "confidence", F.col("replacement").alias("masked_value"), "masked_start", "masked_end",
         F.concat(F.lit("repl_"), F.substring(F.sha2(key, 256), 1, 16)).alias("replacement_id"), own_salt.alias("checksum_salt"), F.sha2(F.concat(own_salt, F.col("text")), 256).alias("original_checksum"),
-        policy.strategy_name(F.col("entity_type")).alias("strategy_used"), (F.col("text") if keep_original else F.lit(None).cast("string")).alias("original_text"),
+        policy.strategy_name(F.col("entity_type"), F.col("context") if context else None).alias("strategy_used"), (F.col("text") if keep_original else F.lit(None).cast("string")).alias("original_text"),
     )
 
 
-def unmask(masked: DataFrame, kept: DataFrame) -> DataFrame:
-    """masked (doc_id, node_id, masked_text) with restored_text, by the masked places of the anchors."""
-    at = F.array_sort(F.collect_list(F.struct(F.col("masked_start").alias("start"), F.col("masked_end").alias("end"), F.coalesce("original_text", F.concat(F.lit("["), "entity_type", F.lit("]"))).alias("original"))))
-    grouped = kept.groupBy("doc_id", "node_id").agg(at.alias("_a"))
+def numbered(found: DataFrame) -> DataFrame:
+    """Detected entities (doc_id, node_id, start, ...) as anchors to be masked: numbered ids within a document."""
+    w = Window.partitionBy("doc_id").orderBy("node_id", "start", "end", "entity_type")
+    return found.withColumn("replacement_id", F.concat(F.lit("repl_"), F.lpad(F.row_number().over(w).cast("string"), 6, "0"))).withColumn("masked_value", F.lit("[DETECTED]"))
+
+
+def placeholder(kind: Column) -> Column:
+    """What stands for an original that is not known."""
+    return F.concat(F.lit("["), kind, F.lit("]"))
+
+
+def originals(kept: DataFrame, vault: DataFrame | None = None) -> DataFrame:
+    """Anchors with original: their own, that of the vault (replacement_id, original), or a placeholder."""
+    if vault is not None:
+        kept = kept.join(vault.select("replacement_id", F.col("original").alias("_vault")), "replacement_id", "left")
+    known = [F.col("original_text"), *([F.col("_vault")] if vault is not None else []), placeholder(F.col("entity_type"))]
+    return kept.withColumn("original", F.coalesce(*known)).drop("_vault")
+
+
+def unmask(masked: DataFrame, kept: DataFrame, vault: DataFrame | None = None) -> DataFrame:
+    """masked (doc_id, node_id, masked_text) with restored_text, by the masked places of the anchors.
+
+    Nodes without anchors keep their text."""
+    rows = originals(kept, vault)
+    at = F.array_sort(F.collect_list(F.struct(F.col("masked_start").alias("start"), F.col("masked_end").alias("end"), "original")))
+    grouped = rows.groupBy("doc_id", "node_id").agg(at.alias("_a"))
     joined = masked.join(grouped, ["doc_id", "node_id"], "left")
     none = F.array().cast("array<struct<start:int,end:int,original:string>>")
     joined = joined.withColumn("_a", F.coalesce("_a", none))
     return joined.withColumn("restored_text", splice(F.col("masked_text"), F.col("_a"), "original")).drop("_a")
 
 
-def resolve_anchors(masked: DataFrame, kept: DataFrame, window: int = 20, reach: int = 100) -> DataFrame:
-    """Anchors with found (place in an edited masked text or null), delta, confidence and reason.
+def unmask_rows(masked: DataFrame) -> DataFrame:
+    """masked, whose rows still carry their spans, with restored_text; narrow: no join, nothing is detected again."""
+    at = F.transform("spans", lambda s: F.struct(s["masked_start"].alias("start"), s["masked_end"].alias("end"), s["text"].alias("original")))
+    return masked.withColumn("_a", at).withColumn("restored_text", splice(F.col("masked_text"), F.col("_a"), "original")).drop("_a")
+
 
-    The expected place; else the nearest within `window` (confidence 1 - delta / 100); else the nearest occurrence
-    within `reach` (0.8 of that); below 0.5 the anchor fails."""
-    shift = F.coalesce(F.sum(F.char_length("masked_value") - F.col("end") + F.col("start")).over(Window.partitionBy("doc_id", "node_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def resolve_anchors(masked: DataFrame, kept: DataFrame, window: int = WINDOW, reach: int = REACH, shifted: bool = True) -> DataFrame:
+    """Anchors with found (place in an edited masked text or null), delta, found_confidence and reason.
+
+    The expected place, 1.0; else the nearest within `window` (1 - delta / 100); else the nearest occurrence within
+    `reach` (0.8 of that); below 0.5 the anchor fails.  A value of asterisks is only found where the run of asterisks has
+    its length.  shifted: the expected place counts the masks before it; without, the anchors' own places hold."""
+    before = F.sum(F.char_length("masked_value") - F.col("end") + F.col("start")).over(Window.partitionBy("doc_id", "node_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    shift = F.coalesce(before, F.lit(0)) if shifted else F.lit(0)
     rows = kept.withColumn("expected", (F.col("start") + shift).cast("int")).join(masked.select("doc_id", "node_id", "masked_text"), ["doc_id", "node_id"], "left")
-    text, value, n = F.col("masked_text"), F.col("masked_value"), F.char_length("masked_value")
-    lo, hi = F.greatest(F.col("expected") - reach, F.lit(0)), F.least(F.col("expected") + reach, F.char_length(text) - n)
-    places = F.when((hi >= lo) & (n > 0), F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(places, lambda i: F.substring(text, i + 1, n) == value)
+    value, n, size = F.col("masked_value"), F.char_length("masked_value"), F.char_length("masked_text")
+    lo = F.greatest(F.col("expected") - reach, F.lit(0))
+    hi = F.least(F.col("expected") + reach, size - n)
+    # the part of the text in question is cut out once, with a character on either side
+    rows = rows.withColumns({"_n": n, "_lo": lo, "_hi": hi, "_pad": F.when(lo > 0, 1).otherwise(0), "_cut": F.substring("masked_text", F.greatest(lo - 1, F.lit(0)) + 1, hi - lo + n + 2)})
+    at = lambda i: i - F.col("_lo") + F.col("_pad")
+    char = lambda place: F.when(place >= 0, F.substring("_cut", place + 1, F.lit(1))).otherwise(F.lit(""))
+    isolated = lambda i: ~value.rlike(r"^\*+$") | ((char(at(i) - 1) != "*") & (char(at(i) + F.col("_n")) != "*"))
+    places = F.when((F.col("_hi") >= F.col("_lo")) & (F.col("_n") > 0), F.sequence("_lo", "_hi")).otherwise(F.array().cast("array<int>"))
+    hits = F.filter(places, lambda i: (F.substring("_cut", at(i) + 1, F.col("_n")) == value) & (isolated(i) | (i == F.col("expected"))))
     best = F.get(F.array_sort(F.transform(hits, lambda i: F.struct(F.abs(i - F.col("expected")).alias("delta"), i.alias("at")))), F.lit(0))
     rows = rows.withColumn("_b", best)
     delta = F.col("_b.delta")
-    confidence = F.when(delta == 0, 1.0).when(delta <= window, 1 - delta / 100).otherwise((1 - delta / 100) * 0.8)
-    rows = rows.withColumns({"delta": delta, "found_confidence": confidence, "found": F.when(confidence >= 0.5, F.col("_b.at"))})
-    reason = F.when(text.isNull(), "node not found").when(F.col("_b").isNull(), "value not found").when(confidence < 0.5, "confidence too low")
-    return rows.withColumn("reason", F.when(F.col("found").isNull(), reason)).drop("_b", "masked_text")
+    confidence = F.when(delta == 0, 1.0).when(delta <= window, 1 - delta / 100).otherwise((1 - delta / 100) * SEARCHED)
+    rows = rows.withColumns({"delta": delta, "found_confidence": confidence, "found": F.when(confidence >= LEAST, F.col("_b.at"))})
+    reason = F.when(F.col("masked_text").isNull(), "node not found").when(F.col("_b").isNull(), "value not found").when(confidence < LEAST, "confidence too low")
+    return rows.withColumn("reason", F.when(F.col("found").isNull(), reason)).drop("_b", "_n", "_lo", "_hi", "_pad", "_cut", "masked_text")
+
+
+def restore(masked: DataFrame, kept: DataFrame, vault: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(masked with restored_text, the resolved anchors): unmasking of texts that may have been edited since.
+
+    Each anchor is put back where resolve_anchors() finds it; of two that are found at one place the surer stays."""
+    found = originals(resolve_anchors(masked, kept, **options), vault)
+    spans = F.collect_list(F.when(F.col("found").isNotNull(), F.struct(F.col("entity_type"), F.col("found").alias("start"), (F.col("found") + F.char_length("masked_value")).alias("end"), F.col("found_confidence").alias("confidence"), F.col("original").alias("text"))))
+    grouped = found.groupBy("doc_id", "node_id").agg(spans.alias("_a"))
+    joined = masked.join(grouped, ["doc_id", "node_id"], "left").withColumn("_a", RESOLVERS["sure_and_long"](F.coalesce("_a", F.array().cast(grouped.schema["_a"].dataType))))
+    return joined.withColumn("restored_text", splice(F.col("masked_text"), F.col("_a"), "text")).drop("_a"), found
+
+
+def resolution_statistics(found: DataFrame, *by: str) -> DataFrame:
+    """Of resolved anchors: how many, found, by confidence, and how far they moved."""
+    c, moved = F.col("found_confidence"), F.when(F.col("found").isNotNull(), F.col("delta"))
+    share = F.count("found") / F.count(F.lit(1))
+    return found.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("anchors"), F.count("found").alias("found"), F.round(share, 10).alias("success_rate"),
+        F.count(F.when(F.col("found").isNotNull() & (c >= 0.9), 1)).alias("sure"), F.count(F.when(F.col("found").isNotNull() & (c >= 0.7) & (c < 0.9), 1)).alias("likely"), F.count(F.when(F.col("found").isNotNull() & (c < 0.7), 1)).alias("weak"),
+        F.round(F.avg(moved), 10).alias("avg_delta"), F.max(moved).alias("max_delta"),
+    )
+
+
+def restoration_statistics(found: DataFrame, *by: str) -> DataFrame:
+    """Of resolved anchors: restored, verified by their checksums, the change of length, and failures by reason."""
+    ok = F.col("found").isNotNull()
+    plain, salted = F.sha2("original_text", 256), F.sha2(F.concat("checksum_salt", "original_text"), 256)
+    verified = ok & F.coalesce(F.col("original_checksum").isin(plain, salted), F.lit(False))
+    failed = lambda why: F.count(F.when(F.col("reason") == why, 1))
+    return found.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("anchors"), F.count(F.when(ok, 1)).alias("restored"), F.round(100 * F.count(F.when(ok, 1)) / F.count(F.lit(1)), 10).alias("success_percent"),
+        F.count(F.when(verified, 1)).alias("verified"), F.sum(F.when(ok, F.char_length("original_text") - F.char_length("masked_value")).otherwise(0)).cast("long").alias("length_delta"),
+        failed("node not found").alias("no_node"), failed("value not found").alias("no_value"), failed("confidence too low").alias("unsure"),
+    )
+
+
+def integrity(found: DataFrame, *by: str) -> DataFrame:
+    """One row of `by`: valid, if every anchor was found, and how many were not."""
+    return found.groupBy(*by).agg((F.count("found") == F.count(F.lit(1))).alias("valid"), (F.count(F.lit(1)) - F.count("found")).alias("failed"))
+
+
+def clamped(spans: Column, text: Column, segments: Column) -> Column:
+    """Spans of a joined text, cut so that none leaves its segment (segments: array of start, end, in order).
+
+    A span ends before the first empty line in it, and with the segment that holds its start; a span that starts in no
+    segment, or is blank then, is left out."""
+    own = lambda s: F.try_element_at(F.filter(segments, lambda g: (g["start"] <= s["start"]) & (s["start"] < g["end"])), F.lit(1))
+    inner = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    line = lambda s: F.instr(inner(s), "\n\n")
+    end = lambda s: F.least(F.when(line(s) > 0, s["start"] + line(s) - 1).otherwise(s["end"]), own(s)["end"])
+    cut = F.transform(F.filter(spans, lambda s: own(s).isNotNull()), lambda s: s.withField("end", end(s).cast("int")))
+    cut = F.transform(cut, lambda s: s.withField("text", inner(s)))
+    return F.filter(cut, lambda s: s["text"].rlike(r"\S"))
+
+
+def of_segment(kept: DataFrame, segments: DataFrame) -> DataFrame:
+    """Anchors of a whole text (doc_id, start, end) with the segment (node_id, start_offset, end_offset) that holds their
+    start, and their places in it; an end beyond the segment is its end."""
+    s = segments.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("segment_id"), "start_offset", "end_offset")
+    rows = kept.join(s, (F.col("doc_id") == F.col("_d")) & (F.col("start") >= F.col("start_offset")) & (F.col("start") < F.col("end_offset")))
+    local = (F.col("start") - F.col("start_offset")).alias("local_start")
+    return rows.select(*kept.columns, "segment_id", local, (F.least("end", "end_offset") - F.col("start_offset")).alias("local_end"))
+
+
+def normalised_types(found: DataFrame) -> DataFrame:
+    return found.withColumn("entity_type", entity_type(F.col("entity_type")))

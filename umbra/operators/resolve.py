@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from .detect import SPAN, in_order
 
-PRIORITY = {"US_SSN": 1, "CREDIT_CARD": 1, "IBAN_CODE": 1, "US_PASSPORT": 1, "EMAIL_ADDRESS": 2, "PHONE_NUMBER": 2, "IP_ADDRESS": 2, "PERSON": 3, "LOCATION": 4, "DATE_TIME": 4}
+# How specific the types are.
+CRITICAL = ("US_SSN", "CREDIT_CARD", "US_PASSPORT", "US_DRIVER_LICENSE")
+HIGH = ("PHONE_NUMBER", "EMAIL_ADDRESS", "IBAN_CODE", "US_BANK_NUMBER")
+MEDIUM = ("PERSON", "LOCATION", "ORGANIZATION", "NRP")
+LOW = ("URL", "IP_ADDRESS", "DATE_TIME", "MEDICAL_LICENSE")
+PRIORITY = {name: rank for rank, names in enumerate((CRITICAL, HIGH, MEDIUM, LOW), 1) for name in names}
+DEFAULT_PRIORITY = 3
+#: Distance up to which entities belong together, and the confidence from which all are kept.
+GAP, SURE = 4, 0.95
 
 
 def sorted_by(spans: Column, *keys) -> Column:
@@ -22,11 +30,20 @@ def kept_in_turn(spans: Column) -> Column:
     return in_order(F.aggregate(spans, empty, lambda a, x: F.when(apart(a, x), F.concat(a, F.array(x))).otherwise(a)))
 
 
-def greedy(spans: Column) -> Column:
-    """By start, then score, then length: kept if it starts at or after the last kept end."""
-    first = sorted_by(spans, lambda s: s["start"], lambda s: -s["confidence"], lambda s: s["start"] - s["end"])
+def swept(spans: Column) -> Column:
+    """Spans in the order given, each kept if it starts at or after the end of the last one kept."""
     empty = F.array().cast(f"array<{SPAN}>")
-    return F.aggregate(first, empty, lambda a, x: F.when((F.size(a) == 0) | (x["start"] >= F.try_element_at(a, F.lit(-1))["end"]), F.concat(a, F.array(x))).otherwise(a))
+    return F.aggregate(spans, empty, lambda a, x: F.when((F.size(a) == 0) | (x["start"] >= F.try_element_at(a, F.lit(-1))["end"]), F.concat(a, F.array(x))).otherwise(a))
+
+
+def greedy(spans: Column) -> Column:
+    """By start, then score, then length, swept."""
+    return swept(sorted_by(spans, lambda s: s["start"], lambda s: -s["confidence"], lambda s: s["start"] - s["end"]))
+
+
+def start_and_score(spans: Column) -> Column:
+    """By start, then score, swept."""
+    return swept(sorted_by(spans, lambda s: s["start"], lambda s: -s["confidence"]))
 
 
 def score_first(spans: Column) -> Column:
@@ -37,19 +54,40 @@ def longest_first(spans: Column) -> Column:
     return kept_in_turn(sorted_by(spans, lambda s: s["start"] - s["end"], lambda s: s["start"]))
 
 
+def priority(kind: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p]), kind), F.lit(DEFAULT_PRIORITY))
+
+
 def most_specific(spans: Column) -> Column:
-    rank = F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p])
-    return kept_in_turn(sorted_by(spans, lambda s: F.coalesce(F.try_element_at(rank, s["entity_type"]), F.lit(3)), lambda s: -s["confidence"], lambda s: s["start"]))
+    return kept_in_turn(sorted_by(spans, lambda s: priority(s["entity_type"]), lambda s: -s["confidence"], lambda s: s["start"]))
 
 
 def first_detected(spans: Column) -> Column:
     return kept_in_turn(sorted_by(spans, lambda s: s["start"], lambda s: s["end"]))
 
 
-RESOLVERS = {"greedy": greedy, "score_first": score_first, "longest": longest_first, "most_specific": most_specific, "first": first_detected}
+def sure_and_long(spans: Column) -> Column:
+    """By score, length, start: how conflicts of anchors are settled."""
+    return kept_in_turn(sorted_by(spans, lambda s: -s["confidence"], lambda s: s["start"] - s["end"], lambda s: s["start"]))
+
+
+RESOLVERS = {"greedy": greedy, "start_and_score": start_and_score, "score_first": score_first, "longest": longest_first, "most_specific": most_specific, "first": first_detected, "sure_and_long": sure_and_long}
+
+
+def conflicting(spans: Column) -> Column:
+    """Whether any two spans of a row overlap."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    start = F.struct(F.lit(-1).alias("end"), F.lit(False).alias("bad"))
+    return F.aggregate(ordered, start, lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["bad"] | (s["start"] < a["end"])).alias("bad")), lambda a: a["bad"])
+
+
+def rejecting(nodes: DataFrame) -> DataFrame:
+    """nodes; a row whose spans overlap raises, for callers that resolve nothing."""
+    fault = F.raise_error(F.lit("entities overlap"))
+    return nodes.withColumn("spans", F.when(conflicting(F.col("spans")), fault.cast(f"array<{SPAN}>")).otherwise(F.col("spans")))
 
 
-def islands(entities: DataFrame, *by: str, gap: int = 4) -> DataFrame:
+def islands(entities: DataFrame, *by: str, gap: int = GAP) -> DataFrame:
     """entities with island: groups that overlap or lie at most `gap` apart, numbered from 0."""
     w = Window.partitionBy(*by).orderBy("start", "end", "entity_type")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -57,14 +95,47 @@ def islands(entities: DataFrame, *by: str, gap: int = 4) -> DataFrame:
     return entities.withColumn("_o", opened).withColumn("island", F.sum("_o").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_o")
 
 
-def highest_confidence(entities: DataFrame, *by: str, keep: float = 0.95) -> DataFrame:
+def highest_confidence(entities: DataFrame, *by: str, keep: float = SURE) -> DataFrame:
     """Of each island all entities of at least `keep`, else the best one."""
     w = Window.partitionBy(*by, "island")
     ranked = islands(entities, *by).withColumn("_n", F.count(F.when(F.col("confidence") >= keep, 1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("confidence"), "start", "end", "entity_type")))
     return ranked.filter(F.when(F.col("_n") > 0, F.col("confidence") >= keep).otherwise(F.col("_r") == 1)).drop("_n", "_r")
 
 
-def merge_adjacent(entities: DataFrame, *by: str, gap: int = 4) -> DataFrame:
-    """One entity for each island of a type: outer bounds and the highest confidence."""
+def merge_adjacent(entities: DataFrame, *by: str, gap: int = GAP) -> DataFrame:
+    """One entity for each island of a type: outer bounds, the highest confidence, and the texts in order."""
     keys = (*by, "entity_type")
-    return islands(entities, *keys, gap=gap).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("parts"))
+    text = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "text"))), lambda x: x["text"]), "").alias("text")] if "text" in entities.columns else []
+    return islands(entities, *keys, gap=gap).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("parts"), *text)
+
+
+def normalised(entities: DataFrame, *by: str, how: str = "highest_confidence", gap: int = GAP) -> tuple[DataFrame, DataFrame]:
+    """(entities after conflicts are settled island by island, counts: entities, groups, conflicts, kept).
+
+    how: highest_confidence, merge_adjacent, or a name of RESOLVERS."""
+    if how == "highest_confidence":
+        out = highest_confidence(entities, *by).drop("island")
+    elif how == "merge_adjacent":
+        out = merge_adjacent(entities, *by, gap=gap).drop("island", "parts")
+    else:
+        spans = F.collect_list(F.struct("entity_type", "start", "end", "confidence", "text").cast(SPAN))
+        grouped = islands(entities, *by, gap=gap).groupBy(*by, "island").agg(spans.alias("s"))
+        out = grouped.select(*by, F.explode(RESOLVERS[how](F.col("s"))).alias("s")).select(*by, "s.*")
+    sizes = islands(entities, *by, gap=gap).groupBy(*by, "island").agg(F.count(F.lit(1)).alias("n"))
+    both = sizes.select("n", F.lit(0).alias("kept")).unionByName(out.select(F.lit(0).alias("n"), F.lit(1).alias("kept")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    counts = both.agg(total("n").alias("entities"), F.count(F.when(F.col("n") > 0, 1)).alias("groups"), F.count(F.when(F.col("n") > 1, 1)).alias("conflicts"), total("kept").alias("kept"))
+    return out, counts
+
+
+def normalisation_faults(before: DataFrame, after: DataFrame, *by: str, keep: float = SURE) -> DataFrame:
+    """Rows that break what normalisation promises: by, start, end, fault ("overlap", or "lost": a sure entity that no
+    kept one covers)."""
+    w = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    overlap = after.withColumn("_r", F.max("end").over(w)).filter(F.col("start") < F.col("_r")).select(*by, "start", "end", F.lit("overlap").alias("fault"))
+    # of the kept entities that start no later, the farthest end
+    kept = after.select(*by, "start", "end", F.lit(0).alias("_sure"))
+    both = kept.unionByName(before.filter(F.col("confidence") >= keep).select(*by, "start", "end", F.lit(1).alias("_sure")))
+    reach = F.max(F.when(F.col("_sure") == 0, F.col("end"))).over(Window.partitionBy(*by).orderBy("start", "_sure").rowsBetween(Window.unboundedPreceding, 0))
+    lost = both.withColumn("_r", reach).filter((F.col("_sure") == 1) & ~F.coalesce(F.col("_r") >= F.col("end"), F.lit(False)))
+    return overlap.unionByName(lost.select(*by, "start", "end", F.lit("lost").alias("fault")).distinct())

@@ -1,10 +1,11 @@
-"""The registered queries over the driver's tables, each with the SQL that another engine runs for the same rows."""
+"""The registered queries over the driver's tables; oracles.py has the SQL that another engine runs for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions import strategies as S
@@ -12,8 +13,11 @@ from umbra.functions import text as T
 from umbra.operators import cloakmap, detect, mask, policy, resolve
 from umbra.sources import documents as D
 
-PATTERNS = {r.entity_type: r for r in detect.RECOGNIZERS}
-SHORT = {"email": "EMAIL_ADDRESS", "phone": "PHONE_NUMBER", "card": "CREDIT_CARD", "ip": "IP_ADDRESS"}
+from .oracles import CROSSING, FOUR, PATTERNS, SHORT
+from .oracles import sql as oracle_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+MAIN = [PATTERNS[SHORT[n]] for n in FOUR]
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,80 +29,124 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entities(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    found = detect.detect(_docs(spark, sf_dir), [PATTERNS[SHORT[n]] for n in names or SHORT])
+    found = detect.detect(_docs(spark, sf_dir), [PATTERNS[SHORT[n]] for n in names or FOUR])
     return detect.entities(found, "doc_id", "lang")
 
 
-def _checked(name: str) -> str:
-    """SQL for the recognizer's check on m."""
-    if name == "card":
-        digit = "CAST(substr(m, i, 1) AS INTEGER)"
-        return f"list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN 2 * {digit} > 9 THEN 2 * {digit} - 9 ELSE 2 * {digit} END ELSE {digit} END)) % 10 = 0"
-    if name == "ip":
-        return "len(list_filter(str_split(m, '.'), lambda p: CAST(p AS INTEGER) > 255)) = 0"
-    return "TRUE"
+def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir, *SHORT)
+
+
+def _crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.entities(detect.detect(_docs(spark, sf_dir), [*detect.RECOGNIZERS, *CROSSING]), "doc_id")
+
+
+# Strategies by the name of their query.
 
 
-def _detect_sql(name: str) -> str:
-    r = PATTERNS[SHORT[name]]
-    return f"""SELECT doc_id, lang, entity_type, "start", "end", confidence, m AS text FROM (
-  SELECT doc_id, lang, '{r.entity_type}' AS entity_type, CAST({r.score} AS DOUBLE) AS confidence, m,
-    CAST(sum(length(g) + length(m)) OVER w - length(m) AS INTEGER) AS "start", CAST(sum(length(g) + length(m)) OVER w AS INTEGER) AS "end"
-  FROM (SELECT doc_id, lang, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM (
-    SELECT doc_id, lang, regexp_extract_all(text, '{r.pattern}') AS ms, regexp_split_to_array(text, '{r.pattern}') AS gs FROM documents))
-  WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {_checked(name)}"""
+def _native(kind: str, **parameters) -> Callable[[Column, Column], Column]:
+    strategy = S.Strategy(kind, parameters)
+    return lambda k, t: S.native(strategy, k, t)
 
 
-ALL_SQL = " UNION ALL ".join(f"({_detect_sql(n)})" for n in SHORT)
+def _operator(kind: str, **parameters) -> Callable[[Column, Column], Column]:
+    strategy = S.Strategy(kind, parameters)
+    return lambda k, t: S.operator_form(strategy, k, t)
+
 
-# Replacements by strategy: (Spark expression of the entity's type and text, SQL of entity_type and text).
 STRATEGIES = {
-    "redact": (S.Strategy("redact"), "repeat('*', CAST(length(text) AS INTEGER))"),
-    "redact_fixed": (S.Strategy("redact", {"preserve_length": False, "redact_char": "#"}), "'########'"),
-    "template": (S.Strategy("template", {"template": "[{entity_type}:{length}]"}), "'[' || entity_type || ':' || CAST(length(text) AS VARCHAR) || ']'"),
-    "hash_sha256": (S.Strategy("hash"), "sha256(text)"),
-    "hash_salted": (S.Strategy("hash", {"salt": "pepper", "truncate": 16, "prefix": "h_"}), "'h_' || substr(sha256(text || 'pepper'), 1, 16)"),
-    "hash_md5": (S.Strategy("hash", {"algorithm": "md5"}), "md5(text)"),
-    "partial_end": (S.Strategy("partial", {"format_aware": False}), "CASE WHEN length(text) > 4 THEN repeat('*', CAST(length(text) - 4 AS INTEGER)) || substr(text, length(text) - 3) ELSE repeat('*', CAST(length(text) AS INTEGER)) END"),
-    "partial_start": (S.Strategy("partial", {"format_aware": False, "position": "start", "visible_chars": 3, "mask_char": "X"}), "CASE WHEN length(text) > 3 THEN substr(text, 1, 3) || repeat('X', CAST(length(text) - 3 AS INTEGER)) ELSE repeat('X', CAST(length(text) AS INTEGER)) END"),
-    "partial_middle": (S.Strategy("partial", {"format_aware": False, "position": "middle"}), "CASE WHEN length(text) > 4 THEN substr(text, 1, 2) || repeat('*', CAST(length(text) - 4 AS INTEGER)) || substr(text, length(text) - 1) ELSE repeat('*', CAST(length(text) AS INTEGER)) END"),
-    "partial_format": (S.Strategy("partial"), None),
-    "template_format": (S.Strategy("template"), None),
+    "redact": _native("redact"),
+    "redact_fixed": _native("redact", preserve_length=False, redact_char="#"),
+    "template": _native("template", template="[{entity_type}:{length}]"),
+    "template_form": _native("template", template="<{original_format}>"),
+    "template_format": _native("template", auto_generate=True),
+    "template_merge_mark": _native("template", template="[PII]", preserve_format=True),
+    "template_merge_format": _native("template", template="~{format}", preserve_format=True),
+    "hash_sha256": _native("hash"),
+    "hash_salted": _native("hash", salt="pepper", truncate=16, prefix="h_"),
+    "hash_prefix": _native("hash", salt="pepper", truncate=12, consistent_length=False),
+    "hash_entity_salt": _native("hash", per_entity_salt={"EMAIL_ADDRESS": "e1", "default": "d1"}),
+    "hash_md5": _native("hash", algorithm="md5"),
+    "hash_sha1": _native("hash", algorithm="sha1"),
+    "hash_base64": _native("hash", format_output="base64"),
+    "hash_structure": _native("hash", preserve_format_structure=True),
+    "operator_hash": _operator("hash", salt="x", prefix="op_", truncate=20),
+    "operator_partial": _operator("partial"),
+    "partial_end": _native("partial", format_aware=False),
+    "partial_start": _native("partial", format_aware=False, position="start", visible_chars=3, mask_char="X"),
+    "partial_middle": _native("partial", format_aware=False, position="middle"),
+    "partial_long": _native("partial", format_aware=False, visible_chars=30),
+    "partial_short": _native("partial", format_aware=False, min_length=12),
+    "partial_format": _native("partial"),
+    "partial_format_start": _native("partial", position="start"),
+    "partial_format_middle": _native("partial", position="middle"),
+    "compose": lambda k, t: S.compose(t, k, S.REDACT, S.Strategy("hash", {"algorithm": "md5"})),
 }
 
 
-def _strategy(name: str) -> Callable[[SparkSession, str], DataFrame]:
+def _strategy(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _entities(spark, sf_dir)
-        return rows.select("doc_id", "entity_type", "start", S.native(STRATEGIES[name][0], F.col("entity_type"), F.col("text")).alias("masked"))
+        return rows.select("doc_id", "entity_type", "start", STRATEGIES[name](F.col("entity_type"), F.col("text")).alias("masked"))
 
     return query
 
 
-def _resolved(how: str) -> Callable[[SparkSession, str], DataFrame]:
+def _resolved(how: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = detect.detect(_docs(spark, sf_dir))
+        found = detect.detect(_docs(spark, sf_dir), [*detect.RECOGNIZERS, *CROSSING])
         return detect.entities(found.withColumn("spans", resolve.RESOLVERS[how](F.col("spans"))), "doc_id").drop("text")
 
     return query
 
 
-def _filtered(p: policy.Policy) -> Callable[[SparkSession, str], DataFrame]:
+def _filtered(p: policy.Policy) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _entities(spark, sf_dir).withColumn("s", F.struct("entity_type", "start", "end", "confidence", "text")).filter(p.masks(F.col("s"), F.lit("paragraph"))).drop("s", "lang")
 
     return query
 
 
-def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask.mask(_nodes(spark, sf_dir), policy.TEMPLATES, [PATTERNS[t] for t in SHORT.values()])
+def _masked(spark: SparkSession, sf_dir: str, p: policy.Policy = policy.DEFAULT) -> DataFrame:
+    return mask.mask(_nodes(spark, sf_dir), p, MAIN)
+
+
+def _masked_hash(p: policy.Policy) -> Query:
+    return lambda spark, sf_dir: _masked(spark, sf_dir, p).select("doc_id", F.sha2("masked_text", 256).alias("masked_sha256"))
 
 
 def mask_documents_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _masked(spark, sf_dir).select("doc_id", F.size("spans").alias("n_spans"), F.sha2("masked_text", 256).alias("masked_sha256"), F.char_length("masked_text").cast("long").alias("masked_chars"))
 
 
+def shout(original_text: str, entity_type: str, confidence: float) -> str:
+    return f"<{entity_type.lower()} {len(original_text)}>"
+
+
+CUSTOM = policy.Policy(S.Strategy("custom", {"callback": shout}))
+SURROGATE = policy.Policy(S.Strategy("surrogate", {"seed": "catalogue"}))
+
+
+def mask_surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each surrogate against what its kind must look like, its original, and the places in the masked text."""
+    rows = _masked(spark, sf_dir, SURROGATE).select("doc_id", "masked_text", F.explode("spans").alias("s")).select("doc_id", "masked_text", "s.*")
+    new = F.col("replacement")
+    digits = F.regexp_replace("text", "[^0-9]", "")
+    form = (
+        F.when(F.col("entity_type") == "EMAIL_ADDRESS", new.rlike(r"^[^@]+@[^@]+\.[^@]+$"))
+        .when(F.col("entity_type") == "CREDIT_CARD", new.rlike(r"^(4000|4111|4444|5000|5555)[0-9 -]{12,}$"))
+        .when(F.col("entity_type") == "PHONE_NUMBER", F.col("text").startswith("+") & new.rlike(r"^\+1 20[0-9]|^\+1 210") | ~F.col("text").startswith("+") & (F.char_length(F.regexp_replace(new, "[^0-9]", "")) == F.char_length(digits)) | F.col("text").contains("("))
+        .otherwise(T.format_pattern(new) == T.format_pattern(F.col("text")))
+    )
+    again = F.substring("masked_text", F.col("masked_start") + 1, F.col("masked_end") - F.col("masked_start")) == new
+    return rows.select("doc_id", "entity_type", "start", form.alias("keeps_form"), (new != F.col("text")).alias("differs"), again.alias("found_again"))
+
+
 def unmask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.unmask_rows(_masked(spark, sf_dir)).select("doc_id", (F.col("restored_text") == F.col("text")).alias("same"))
+
+
+def unmask_by_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _masked(spark, sf_dir)
     back = mask.unmask(done.select("doc_id", "node_id", "text", "masked_text"), mask.anchors(done))
     return back.select("doc_id", (F.col("restored_text") == F.col("text")).alias("same"))
@@ -108,24 +156,70 @@ def anchors_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask.anchors(_masked(spark, sf_dir)).select("doc_id", "node_id", "start", "end", "entity_type", "masked_value", "replacement_id", "original_checksum")
 
 
+def replacements_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mask.replacements(_masked(spark, sf_dir))
+    return rows.select("doc_id", F.array_join(F.transform("replacements", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"), r["text"])), ",").alias("replacements"))
+
+
 def cloakmap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloakmap.statistics(mask.anchors(_masked(spark, sf_dir)), "entity_type")
 
 
+def _maps(spark: SparkSession, sf_dir: str, version: str = "2.0") -> DataFrame:
+    done = _masked(spark, sf_dir)
+    maps = cloakmap.build(mask.anchors(done), done.select("doc_id", "text"), policy.DEFAULT, version, "2026-01-01T00:00:00Z")
+    return maps.withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
+def cloakmap_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _maps(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "version", "doc_hash", F.size("anchors").alias("n_anchors"))
+
+
+def cloakmap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = cloakmap.migrated(_maps(spark, sf_dir, "1.0"))
+    said = cloakmap.validated(maps).select("doc_id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+    return cloakmap.flags(maps).join(said, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def cloakmap_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = cloakmap.to_json(_maps(spark, sf_dir))
+    back = cloakmap.loaded(lines.select("value"), strict=True)
+    again = cloakmap.to_json(back.drop("error", "metadata", "operator_metadata", "encrypted_content", "signature"))
+    joined = lines.join(again.withColumnRenamed("value", "_v"), "doc_id").join(back.select("doc_id", F.size("anchors").alias("n_anchors")), "doc_id")
+    fields = "version string, doc_id string, doc_hash string, anchors string, policy_snapshot string, created_at string"
+    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "n_anchors", (F.from_json("value", fields) == F.from_json("_v", fields)).alias("same"))
+
+
+def cloakmap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloakmap.counts_by_type(_maps(spark, sf_dir)).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def checksum_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloakmap.verified(mask.anchors(_masked(spark, sf_dir))).groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
 
 
-def anchor_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _masked(spark, sf_dir)
-    found = mask.resolve_anchors(done, mask.anchors(done))
-    return found.select("doc_id", "start", "masked_start", "found", "delta", F.col("found_confidence").alias("confidence"))
+    return mask.resolve_anchors(done, mask.anchors(done))
 
 
-def cloakmap_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+def anchor_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir).select("doc_id", "start", "masked_start", "found", "delta", F.col("found_confidence").alias("confidence"))
+
+
+def anchor_resolve_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.resolution_statistics(_found(spark, sf_dir), "entity_type")
+
+
+def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.integrity(_found(spark, sf_dir), "doc_id")
+
+
+def restore_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that were edited after masking, by a word at their beginning."""
     done = _masked(spark, sf_dir)
-    maps = cloakmap.build(mask.anchors(done), done.select("doc_id", "text"), policy.TEMPLATES)
-    return maps.select("doc_id", "version", "doc_hash", F.size("anchors").alias("n_anchors"))
+    edited = done.select("doc_id", "node_id", F.concat(F.lit("new "), "masked_text").alias("masked_text"))
+    return mask.restore(edited, mask.anchors(done))[0].select("doc_id", F.sha2("restored_text", 256).alias("sha256"))
 
 
 def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +230,35 @@ def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.full_text(D.lines(_docs(spark, sf_dir))).select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+def document_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.document_hash(D.lines(_docs(spark, sf_dir)), "")
+
+
+def extraction_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.extraction_statistics(D.lines(_docs(spark, sf_dir)))
+
+
+def place_in_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the full text, from the second character of each line, with their node, if one holds them."""
+    rows = D.lines(_docs(spark, sf_dir))
+    return D.to_node(rows.select("doc_id", (F.col("start_offset") + 1).alias("start"), (F.col("start_offset") + 6).alias("end")), rows)
+
+
+def place_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.lines(_docs(spark, sf_dir))
+    places = rows.select("doc_id", "node_id", "ordinal", F.lit(1).alias("node_start"), F.lit(3).alias("node_end"))
+    return D.to_global(places, rows).select("doc_id", "ordinal", "start", "end")
+
+
+def clamped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that begin with a line and reach far beyond it, cut to the line."""
+    whole = D.segments(D.lines(_docs(spark, sf_dir)))
+    far = F.transform("segments", lambda g: F.struct(F.lit("X").alias("entity_type"), g["start"].alias("start"), (g["end"] + 50).alias("end"), F.lit(1.0).alias("confidence"), F.lit("").alias("text")))
+    cut = whole.select("doc_id", F.explode(mask.clamped(far, F.col("text"), F.col("segments"))).alias("s"))
+    rows = D.lines(_docs(spark, sf_dir)).select("doc_id", "ordinal", F.col("start_offset").cast("int").alias("start"))
+    return cut.select("doc_id", "s.start", "s.end").join(rows, ["doc_id", "start"]).select("doc_id", "ordinal", "start", "end")
+
+
 def entity_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entities(spark, sf_dir).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_texts"))
 
@@ -148,23 +271,81 @@ def entity_counts_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entities(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def entity_type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.normalised_types(_all(spark, sf_dir)).select("doc_id", "start", "entity_type")
+
+
+def above_default_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.above_default_thresholds(_all(spark, sf_dir)).select("doc_id", "entity_type", "start")
+
+
+def entities_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _entities(spark, sf_dir).withColumn("node_id", F.lit("#/texts/0"))
+    return mask.numbered(rows).select("doc_id", "start", "entity_type", "replacement_id")
+
+
+def analysis_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.analysis(detect.analyze_segments(_docs(spark, sf_dir), replace(detect.ANALYZERS["default"], threshold=0.8)), "doc_id")
+
+
+def entities_by_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ips = _entities(spark, sf_dir, "ip").select("text")
+    return detect_lists(_entities(spark, sf_dir), ips, ips.filter(F.col("text").startswith("1")))
+
+
+def detect_lists(entities: DataFrame, allow: DataFrame, deny: DataFrame) -> DataFrame:
+    return policy.by_lists(entities, allow, deny).select("doc_id", "start", "listed")
+
+
+def entities_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _entities(spark, sf_dir)
+    done = _masked(spark, sf_dir).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    return detect.paired(found, done, "doc_id").drop("original_text")
+
+
 def overlap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = resolve.islands(_entities(spark, sf_dir), "doc_id", gap=200)
     return rows.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
 
 
 def resolve_highest_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.highest_confidence(_entities(spark, sf_dir), "doc_id").select("doc_id", "entity_type", "start", "end")
+    return resolve.highest_confidence(_crossing(spark, sf_dir), "doc_id").select("doc_id", "entity_type", "start", "end")
 
 
 def resolve_merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.merge_adjacent(_entities(spark, sf_dir), "doc_id", gap=200).select("doc_id", "entity_type", "start", "end", "parts")
+    return resolve.merge_adjacent(_entities(spark, sf_dir), "doc_id", gap=200).select("doc_id", "entity_type", "start", "end", "parts", "text")
+
+
+def normalise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.normalised(_crossing(spark, sf_dir), "doc_id")[1]
+
+
+def normalisation_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What resolution by length breaks of the promise to keep sure entities."""
+    after = _resolved("longest")(spark, sf_dir)
+    return resolve.normalisation_faults(_crossing(spark, sf_dir), after, "doc_id")
+
 
+def policy_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = policy.Rule
+    p = policy.Policy(
+        per_entity={"EMAIL_ADDRESS": S.Strategy("template", {"template": "[E]"})},
+        contexts={"heading": rule(strategy=S.Strategy("template", {"template": "[HEAD]"}), threshold=0.88, threshold_overrides={"PHONE_NUMBER": 0.7}), "table": rule(enabled=False)},
+        min_confidence=0.8,
+    )
+    rows = _entities(spark, sf_dir).withColumn("context", F.when(F.col("doc_id") % 3 == 0, "heading").when(F.col("doc_id") % 3 == 1, "table").otherwise("paragraph"))
+    rows = rows.withColumn("s", F.struct("entity_type", "start", "end", "confidence", "text")).filter(p.masks(F.col("s"), F.col("context")))
+    return rows.select("doc_id", "entity_type", "start", "context", p.replacement(F.col("s"), F.col("context")).alias("masked"))
 
-def _scalar(make) -> Callable[[SparkSession, str], DataFrame]:
+
+def _scalar(make) -> Query:
     return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", F.sha2(make(F.col("text")), 256).alias("sha256"))
 
 
+def _rendered(make) -> Query:
+    return lambda spark, sf_dir: make(D.lines(_docs(spark, sf_dir))).select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
 def surrogate_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _entities(spark, sf_dir).withColumn("fake", S.surrogate("seed")(F.col("entity_type"), F.col("text")))
     kept = (T.format_pattern(F.col("fake")) == T.format_pattern(F.col("text"))).cast("int")
@@ -176,11 +357,31 @@ def mask_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "node_id", S.partial(F.col("text"), 3, format_aware=False).alias("masked"))
 
 
+def rebuild_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one text and one table cell, masked by their nodes and put together again."""
+    cell = F.struct(F.lit("a@b.co").alias("text"))
+    table = F.struct(F.lit("#/tables/0").alias("self_ref"), F.struct(F.lit(1).alias("num_rows"), F.lit(1).alias("num_cols"), F.array(cell).alias("table_cells"), F.array(F.array(cell)).alias("grid")).alias("data"))
+    text = F.struct(F.lit("#/texts/0").alias("self_ref"), F.lit("text").alias("label"), F.col("text"), F.col("text").alias("orig"))
+    side = F.struct(F.lit("").alias("text"))
+    pair = F.struct(F.lit("#/kv/0").alias("self_ref"), side.alias("key"), side.alias("value"))
+    docs = _docs(spark, sf_dir).select("doc_id", F.array(text).alias("texts"), F.array(table).alias("tables"), F.array(pair).alias("key_value_items"))
+    done = D.rebuild(docs, mask.mask(D.nodes(docs), policy.DEFAULT, MAIN))
+    return done.select("doc_id", F.sha2(F.col("texts")[0]["text"], 256).alias("text_sha256"), F.sha2(F.col("texts")[0]["orig"], 256).alias("orig_sha256"), F.sha2(F.col("tables")[0]["data"]["grid"][0][0]["text"], 256).alias("cell_sha256"))
+
+
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", T.detect_format(F.col("html"), F.col("url")).alias("format"))
 
 
+def detect_format_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without telling content by their names, and others by their content."""
+    cases = [("x", "a.json"), ("x", "a.md"), ("x", "a.HTM"), ("x", "a.xml"), ("# head\n", "a"), ("<?xml version='1.0'?>", "a.txt"), (" [1]", "a.md"), ("x", "a.pdf")]
+    pick = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in cases]), (F.col("page_id") % 8 + 1).cast("int"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", T.detect_format(pick(0), pick(1)).alias("format"))
+
+
 def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", F.sha2(D.mark_html(F.replace("html", F.lit("<p>"), F.lit("<p>[REDACTED]"))), 256).alias("sha256"))
@@ -188,44 +389,24 @@ def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STRICT = policy.Policy(thresholds={"PHONE_NUMBER": 0.8, "EMAIL_ADDRESS": 0.5}, min_confidence=0.86)
 LISTS = policy.Policy(allow=frozenset({"4952935900253052"}), deny=frozenset({"1.1.1.1"}), min_length=15)
+QUERIES = (
+    mask_documents_default, mask_surrogate, unmask_roundtrip, unmask_by_anchors, anchors_build, replacements_list, cloakmap_stats, cloakmap_build, cloakmap_flags, cloakmap_round_trip, cloakmap_counts, checksum_verify, anchor_resolve,
+    anchor_resolve_statistics, integrity, restore_edited, segment_offsets, full_text, document_hash, extraction_statistics, place_in_node, place_in_text, clamped_spans, entity_counts_by_type, entity_counts_by_lang, entity_counts_by_doc,
+    entity_type_names, above_default_thresholds, entities_numbered, analysis_by_document, entities_by_lists, entities_paired, overlap_islands, resolve_highest_confidence, resolve_merge_adjacent, normalise_counts, normalisation_lost,
+    policy_contexts, surrogate_quality, mask_columns, rebuild_documents, detect_format, detect_format_by_name, render_html,
+)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (mask_documents_default, unmask_roundtrip, anchors_build, cloakmap_stats, cloakmap_build, checksum_verify, anchor_resolve, segment_offsets, full_text, entity_counts_by_type, entity_counts_by_lang, entity_counts_by_doc, overlap_islands, resolve_highest_confidence, resolve_merge_adjacent, surrogate_quality, mask_columns, detect_format, render_html)}
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {f.__name__: f for f in QUERIES}
     out |= {f"detect_{n}": (lambda spark, sf_dir, n=n: _entities(spark, sf_dir, n)) for n in SHORT}
     out |= {f"mask_{n}": _strategy(n) for n in STRATEGIES}
     out |= {f"overlap_{n}": _resolved(n) for n in resolve.RESOLVERS}
     out |= {"policy_threshold": _filtered(STRICT), "policy_lists_and_length": _filtered(LISTS)}
+    out |= {"mask_custom": _masked_hash(CUSTOM), "mask_mixed_policy": _masked_hash(policy.MIXED_STRATEGY_POLICY)}
     out |= {"format_pattern": _scalar(T.format_pattern), "format_template": _scalar(T.generic_template), "normalise_whitespace": _scalar(T.normalise_whitespace), "normalise_whitespace_aggressive": _scalar(lambda c: T.normalise_whitespace(c, True))}
+    out |= {"render_markdown": _rendered(D.to_markdown), "render_xml": _rendered(D.to_xml), "render_html_document": _rendered(D.to_html)}
     return out
 
 
-def oracle_sql() -> dict[str, str]:
-    e = f"(SELECT * FROM ({ALL_SQL}))"
-    out = {f"detect_{n}": _detect_sql(n) for n in SHORT}
-    out |= {f"mask_{n}": f'SELECT doc_id, entity_type, "start", {sql} AS masked FROM {e}' for n, (_, sql) in STRATEGIES.items() if sql}
-    marked = "text"
-    out["entity_counts_by_type"] = f"SELECT entity_type, count(*) AS n, count(DISTINCT text) AS n_texts FROM {e} GROUP BY entity_type"
-    out["entity_counts_by_lang"] = f"SELECT lang, entity_type, count(*) AS n FROM {e} GROUP BY lang, entity_type"
-    out["entity_counts_by_doc"] = f"SELECT doc_id, count(*) AS n FROM {e} GROUP BY doc_id"
-    opened = lambda by, gap: f"""SELECT *, sum(o) OVER (PARTITION BY {by} ORDER BY "start", "end", entity_type ROWS UNBOUNDED PRECEDING) AS island FROM (
-      SELECT *, CASE WHEN "start" > max("end") OVER (PARTITION BY {by} ORDER BY "start", "end", entity_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 1 ELSE 0 END AS o FROM {e})"""
-    out["overlap_islands"] = f'SELECT doc_id, CAST(island AS BIGINT) AS island, min("start") AS "start", max("end") AS "end", count(*) AS n FROM ({opened("doc_id", 200)}) GROUP BY doc_id, island'
-    out["resolve_merge_adjacent"] = f'SELECT doc_id, entity_type, min("start") AS "start", max("end") AS "end", count(*) AS parts FROM ({opened("doc_id, entity_type", 200)}) GROUP BY doc_id, entity_type, island'
-    out["resolve_highest_confidence"] = f"""SELECT doc_id, entity_type, "start", "end" FROM (SELECT *, count(*) FILTER (WHERE confidence >= 0.95) OVER (PARTITION BY doc_id, island) AS n,
-      row_number() OVER (PARTITION BY doc_id, island ORDER BY confidence DESC, "start", "end", entity_type) AS r FROM ({opened("doc_id", 4)})) WHERE CASE WHEN n > 0 THEN confidence >= 0.95 ELSE r = 1 END"""
-    out["policy_threshold"] = f"""SELECT doc_id, entity_type, "start", "end", confidence, text FROM {e} WHERE confidence >= CASE entity_type WHEN 'PHONE_NUMBER' THEN 0.8 WHEN 'EMAIL_ADDRESS' THEN 0.5 ELSE 0.86 END"""
-    out["policy_lists_and_length"] = f"""SELECT doc_id, entity_type, "start", "end", confidence, text FROM {e} WHERE text = '1.1.1.1' OR (text <> '4952935900253052' AND length(text) >= 15)"""
-    out["format_template"] = "SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\\p{L}', 'X', 'g'), '\\p{Nd}', '#', 'g')) AS sha256 FROM documents"
-    out["format_pattern"] = "SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\p{L}', 'L', 'g'), '\\p{Nd}', 'D', 'g'), '[ \\t\\n\\f\\r]', 'S', 'g'), '[^LDS]', 'P', 'g')) AS sha256 FROM documents"
-    out["normalise_whitespace_aggressive"] = "SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g'))) AS sha256 FROM documents"
-    out["normalise_whitespace"] = "SELECT doc_id, sha256(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' {3,}', '  ', 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g')) AS sha256 FROM documents"
-    rows = f"""SELECT doc_id, ordinal, t, CAST(coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset FROM (
-      SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS ordinal, unnest(l) AS t FROM (SELECT doc_id, str_split({marked}, chr(10)) AS l FROM documents)) WHERE regexp_matches(t, '\\S')"""
-    out["segment_offsets"] = f"SELECT doc_id, ordinal, start_offset, start_offset + length(t) AS end_offset FROM ({rows})"
-    out["full_text"] = f"SELECT doc_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY ordinal)) AS sha256 FROM ({rows}) GROUP BY doc_id"
-    out["unmask_roundtrip"] = "SELECT doc_id, TRUE AS same FROM documents"
-    out["mask_columns"] = "SELECT c_custkey AS doc_id, unnest(['c_name', 'c_mktsegment']) AS node_id, unnest([CASE WHEN length(c_name) > 3 THEN repeat('*', CAST(length(c_name) - 3 AS INTEGER)) || substr(c_name, length(c_name) - 2) ELSE repeat('*', CAST(length(c_name) AS INTEGER)) END, CASE WHEN length(c_mktsegment) > 3 THEN repeat('*', CAST(length(c_mktsegment) - 3 AS INTEGER)) || substr(c_mktsegment, length(c_mktsegment) - 2) ELSE repeat('*', CAST(length(c_mktsegment) AS INTEGER)) END]) AS masked FROM customer"
-    out["detect_format"] = "SELECT page_id, CASE WHEN ltrim(html) LIKE '{%' OR ltrim(html) LIKE '[%' THEN 'json' WHEN lower(ltrim(html)) LIKE '<!doctype html%' OR lower(ltrim(html)) LIKE '<html%' THEN 'html' ELSE 'text' END AS format FROM pages"
-    out["render_html"] = "SELECT page_id, sha256(replace(replace(replace(replace(html, '<p>', '<p>[REDACTED]'), '[REDACTED]', '<span class=\"masked\">[REDACTED]</span>'), '[MASKED]', '<span class=\"masked\">[MASKED]</span>'), '[***]', '<span class=\"masked\">[***]</span>')) AS sha256 FROM pages"
-    return out
+__all__ = ["oracle_sql", "queries"]
