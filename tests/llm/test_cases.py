@@ -166,8 +166,8 @@ def test_score_by_brute_force(spark):
     for i, f, w in docs:
         total = sum(math.log10(weights[bucket(c)] @ [1 / (whole[3] + 1), f1, f2]) for f1, f2, c in estimates(whole, w))
         want.append((i, f == 2, len(w) - 1, round(total, 6)))
-    for block_bytes in (500, 8_000_000):
-        got = [(r.doc_id, r.held_out, r.n_tokens, round(r.score, 6)) for r in lm_scoring.score(spark.createDataFrame(rows, DOCS), block_bytes=block_bytes).collect()]
+    for options in ({"block_bytes": 500}, {}, {"block_bytes": 700, "range_bytes": 900, "fan": 2}):
+        got = [(r.doc_id, r.held_out, r.n_tokens, round(r.score, 6)) for r in lm_scoring.score(spark.createDataFrame(rows, DOCS), **options).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
 
 

@@ -8,8 +8,10 @@ counts are deleted for that purpose.
 How the counts reach the documents.  Counts of all n-grams of a large corpus fit no broadcast, and a row per token is
 a shuffle many times the input.  So documents are dealt into blocks of bounded size; a block asks for the counts of
 its distinct n-grams only, as compressed sorted hashes, one request for each hash range; the task of a range adds up
-what all blocks counted and sends each block its totals in the order asked.  Two more passes over the blocks learn the
-weights and score.  Unigrams are held by 64-bit hashes; longer n-grams by 32 bits within a range, and the number of
+what all blocks counted and sends each block its totals in the order asked.  Beyond 2**FAN ranges requests go in two steps:
+a block asks collectors, one for each of 2**FAN coarse ranges and its lane; a collector merges what the blocks of its lane
+ask and asks the ranges; the answers go back the same way.  So no task sends or gets more than some 2**FAN messages, and
+their number grows with the corpus and not with its square.  Two more passes over the blocks learn the weights and score.  Unigrams are held by 64-bit hashes; longer n-grams by 32 bits within a range, and the number of
 ranges follows the corpus, so that a few n-grams in ten thousand share a count at any size.
 
 Cases: null or empty text: the end token alone.  Repeated rows are separate documents.  A null doc_id belongs to the
@@ -30,6 +32,7 @@ from .common import Cache, crc_mod, words, written
 END, BOS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 STEPS = 4  # cells an octave in which EM holds the estimates
 BUCKETS = 44
+FAN = 10  # bits of hash ranges that a task sends to
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -90,13 +93,32 @@ class Grams:
         return np.bincount(self.at[k][mark], minlength=len(self.keys[k])).astype(np.uint32)
 
 
-def _ranges(keys: np.ndarray, k: int, bits: int) -> list[tuple[int, int, int]]:
-    """(range, from, to) of the sorted keys that lie in each range that has any."""
-    top = (keys >> np.uint64(64 - bits if k == 0 else 32)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+def _ranges(keys: np.ndarray, k: int, bits: int, first: int | None = None) -> list[tuple[int, int, int]]:
+    """(range, from, to) of the sorted keys that lie in each of 2**first ranges that has any; keys of longer n-grams have
+    32 + bits bits."""
+    first = bits if first is None else first
+    top = (keys >> np.uint64(64 - first if k == 0 else 32 + bits - first)).astype(np.int64) if first else np.zeros(len(keys), np.int64)
     found, start = np.unique(top, return_index=True)
     return list(zip(found.tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True))
 
 
+def _packed_keys(keys: np.ndarray, whole: bool) -> bytes:
+    """Sorted keys of a range by their differences; not whole: their last 32 bits alone."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)) if whole else np.diff((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), prepend=np.uint32(0)))
+
+
+def _whole_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(b, np.uint64), dtype=np.uint64)
+
+
+REQUEST = "rng long, ord int, block long, keys binary, counts binary"
+_REQUEST = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def _requests(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([x[i] for x in rows], ty) for i, ty in enumerate(_REQUEST)], ["rng", "ord", "block", "keys", "counts"])
+
+
 def _word_cache() -> Cache:
     return Cache(xxhash.xxh3_64_intdigest, 150_000)
 
@@ -180,13 +202,14 @@ def column_of(t: pa.Table, name: str) -> list:
     return t.column(name).to_pylist()
 
 
-def score(docs: DataFrame, order: int = 2, folds: int = 7, test_fold: int = 2, em_fold: int = 5, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, order: int = 2, folds: int = 7, test_fold: int = 2, em_fold: int = 5, block_bytes: int = 8_000_000, range_bytes: int = 6_000_000, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCORES, one row for each row of docs."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).head()
     total = size["b"] + 16 * size["n"]
     blocks = max(1, -(-total // block_bytes))
-    bits = max(0, (total // 6_000_000).bit_length())
+    bits = max(0, (total // range_bytes).bit_length())
+    first, lanes = min(bits, fan), 1 << max(0, bits - fan)
     fold = F.coalesce(crc_mod(F.col("doc_id"), folds), F.lit(-1))
     h = F.xxhash64("doc_id", "text")
     em_blocks = max(1, -(-blocks // folds))
@@ -199,18 +222,39 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, test_fold: int = 2, e
         for k in range(order):
             kept = grams.counted(k, (fold_of != test_fold) & (fold_of != em_fold))
             deleted = grams.counted(k, fold_of == em_fold)
-            for r, a, b in _ranges(grams.keys[k], k, bits):
-                keys = grams.keys[k][a:b]
-                keys = np.diff(keys, prepend=np.uint64(0)) if k == 0 else np.diff((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), prepend=np.uint32(0))
-                rows.append((r, k, t.column("block")[0].as_py(), _planes(keys), _planes(np.concatenate([kept[a:b], deleted[a:b]]))))
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array([x[i] for x in rows], ty) for i, ty in enumerate(types)], ["rng", "ord", "block", "keys", "counts"])
+            block = t.column("block")[0].as_py()
+            for r, a, b in _ranges(grams.keys[k], k, bits, first):
+                rows.append((r * lanes + block % lanes, k, block, _packed_keys(grams.keys[k][a:b], k == 0 or lanes > 1), _planes(np.concatenate([kept[a:b], deleted[a:b]]))))
+        return _requests(rows)
+
+    def collect(key, t):
+        """What the blocks of a lane ask of a coarse range, as one request for each range in it."""
+        collector, k = key[0].as_py(), key[1].as_py()
+        asked = [_whole_keys(b) for b in column_of(t, "keys")]
+        both = np.concatenate([_unplanes(b, np.uint32).reshape(2, -1) for b in column_of(t, "counts")], 1)
+        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+        kept, deleted = (_sums(at, both[i], len(keys)) for i in (0, 1))
+        return _requests([(r, k, collector, _packed_keys(keys[a:b], k == 0), _planes(np.concatenate([kept[a:b], deleted[a:b]]))) for r, a, b in _ranges(keys, k, bits)])
+
+    def share(key, left, right):
+        """The answers to a collector, for each block that asked it."""
+        asked = [_whole_keys(b) for b in column_of(left, "keys")]
+        if not asked:
+            return pa.table({"block": pa.array([], pa.int64()), "ord": pa.array([], pa.int32()), "rng": pa.array([], pa.int64()), "counts": pa.array([], pa.binary())})
+        keys = np.unique(np.concatenate(asked))
+        got = sorted(zip(column_of(right, "rng"), column_of(right, "counts"), strict=True))
+        both = np.concatenate([_unplanes(c, np.uint64).reshape(2, -1) for _, c in got], 1)
+        if both.shape[1] != len(keys):
+            raise RuntimeError("a collector was sent other counts than it asked for")
+        counts = [_planes(both[:, np.searchsorted(keys, mine)].reshape(-1)) for mine in asked]
+        n = len(asked)
+        return pa.Table.from_arrays([left.column("block").combine_chunks(), pa.array([key[1].as_py()] * n, pa.int32()), pa.array([key[0].as_py() // lanes] * n, pa.int64()), pa.array(counts, pa.binary())], ["block", "ord", "rng", "counts"])
 
     def answer(key, t):
         rng, k = key[0].as_py(), key[1].as_py()
         dtype = np.uint64 if k == 0 else np.uint32
         asked = [np.cumsum(_unplanes(b, dtype), dtype=dtype) for b in column_of(t, "keys")]
-        counts = [_unplanes(b, np.uint32).reshape(2, -1) for b in column_of(t, "counts")]
+        counts = [_unplanes(b, np.uint32 if lanes == 1 else np.uint64).reshape(2, -1) for b in column_of(t, "counts")]
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
         both = np.concatenate(counts, 1)
         kept, deleted = (_sums(at, both[i], len(keys)) for i in (0, 1))
@@ -227,10 +271,16 @@ def score(docs: DataFrame, order: int = 2, folds: int = 7, test_fold: int = 2, e
         names = ["block", "ord", "rng", "counts", "kept", "deleted", "kept_v", "all_v"]
         return pa.Table.from_arrays([pa.array([x[i] for x in rows], ty) for i, ty in enumerate(types)], names)
 
-    asked = dealt.groupBy("block").applyInArrow(request, "rng long, ord int, block long, keys binary, counts binary")
+    asked = dealt.groupBy("block").applyInArrow(request, REQUEST)
+    if lanes > 1:
+        of_blocks = written(asked)
+        asked = of_blocks.groupBy("rng", "ord").applyInArrow(collect, REQUEST)
     replies = written(asked.groupBy("rng", "ord").applyInArrow(answer, "block long, ord int, rng long, counts binary, kept long, deleted long, kept_v long, all_v long"))
     sums = replies.filter("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("kept", "deleted", "kept_v", "all_v")]).head()
     answers = replies.filter("block >= 0").select("block", "ord", "rng", "counts")
+    if lanes > 1:
+        to_collectors = answers.withColumnRenamed("block", "collector").groupBy("collector", "ord")
+        answers = written(of_blocks.withColumnRenamed("rng", "collector").groupBy("collector", "ord").cogroup(to_collectors).applyInArrow(share, "block long, ord int, rng long, counts binary"))
     part, whole = Model(order, sums["kept"], sums["kept_v"]), Model(order, sums["kept"] + sums["deleted"], sums["all_v"])
 
     def cells(left, right):
