@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from umbra import cli, errors
-from umbra.engine import Engine, mask_pii
+from umbra.engine import Engine, batch_summary, mask_pii
 from umbra.functions import strategies as S
 from umbra.operators import cloakmap, detect, mask, models, policy, resolve, validate
 from umbra.sources import documents as D
@@ -390,3 +390,18 @@ def test_facade_and_models(spark):
     with pytest.raises(ValueError):
         validate.columns(df, doc_id="string")
     assert validate.policy_faults({"thresholds": {"X": 3}, "allow_list": "a"}) == ["allow_list is no list", "the threshold of X is outside 0 to 1"]
+
+
+def test_other_files_and_settings(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one a@b.co\r\n\r\ntwo")
+    (tmp_path / "b.txt").write_bytes(b"\xff\xfe")
+    docs = D.read_with(spark, str(tmp_path), D.plain_text, "*.txt")
+    assert {r.doc_id.rsplit("/", 1)[1]: (r._corrupt_record or "")[:18] for r in docs.collect()} == {"a.txt": "", "b.txt": "UnicodeDecodeError"}
+    assert [r.text for r in D.nodes(docs).orderBy("ordinal").collect()] == ["one a@b.co", "two"]
+    (tmp_path / "a.yaml").write_text("language: de\nconfidence_threshold: 0.8\nenabled: [EMAIL_ADDRESS, TICKET, MEDICAL_LICENSE]\nrecognizers: [{name: TICKET, pattern: 'T-[0-9]+', score: 0.9}]\n")
+    own = detect.load_config(str(tmp_path / "a.yaml"), {"UMBRA_CONFIDENCE": "0.85"})
+    assert own.threshold == 0.85 and own.language == "de" and own.supported() == ["EMAIL_ADDRESS", "MEDICAL_LICENSE", "TICKET"]
+    rows = spark.createDataFrame([(1, "n", "T-12 a@b.co 10.0.0.1"), (2, "n", "x")], "doc_id long, node_id string, text string")
+    done, anchors = Engine(analyzer=own).mask(rows)
+    said = batch_summary(done, anchors).head()
+    assert (said.documents, said.nodes, said.masked_nodes, said.masks, said.types) == (2, 2, 1, 2, ["EMAIL_ADDRESS", "TICKET"])

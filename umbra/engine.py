@@ -95,6 +95,14 @@ class Engine:
         return sources.rebuild(documents, restored, "restored_text"), found
 
 
+def batch_summary(masked: DataFrame, anchors: DataFrame) -> DataFrame:
+    """One row about a masked table: documents, nodes, nodes with masks, masks, types, and characters before and after."""
+    size = lambda c: F.coalesce(F.sum(F.char_length(c)), F.lit(0)).cast("long")
+    nodes = masked.agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("nodes"), size("text").alias("chars"), size("masked_text").alias("masked_chars")).withColumn("_k", F.lit(1))
+    made = anchors.agg(F.countDistinct("doc_id", "node_id").alias("masked_nodes"), F.count(F.lit(1)).alias("masks"), F.array_sort(F.collect_set("entity_type")).alias("types")).withColumn("_k", F.lit(1))
+    return nodes.join(made, "_k").drop("_k")
+
+
 def mask_pii(text_col: str = "text", id_col: str = "doc_id", policy: Policy | str = "default") -> Callable[[DataFrame], DataFrame]:
     """For DataFrame.transform(): the same rows and columns with one text column masked."""
     engine = Engine().with_policy(policy)
@@ -109,4 +117,4 @@ def mask_pii(text_col: str = "text", id_col: str = "doc_id", policy: Policy | st
     return apply
 
 
-__all__ = ["ANALYZERS", "Cloaked", "Engine", "mask_pii"]
+__all__ = ["ANALYZERS", "Cloaked", "Engine", "batch_summary", "mask_pii"]

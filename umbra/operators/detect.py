@@ -6,9 +6,11 @@ turn, whose lengths are the places.  Recognizers of the other form are Python fu
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -172,6 +174,31 @@ def from_policy(policy, recognizers=RECOGNIZERS) -> Analyzer:
     return Analyzer(recognizers, threshold=min(policy.thresholds.values(), default=policy.min_confidence), language=policy.locale.split("-")[0])
 
 
+def from_config(d: dict, recognizers=RECOGNIZERS) -> Analyzer:
+    """An analyzer of a map: language, languages, confidence_threshold, thresholds, enabled, disabled, and recognizers
+    (name, pattern, score)."""
+    own = tuple(Recognizer(r["name"], r["pattern"], float(r.get("score", 0.5))) for r in d.get("recognizers") or ())
+    languages = tuple(d.get("languages") or (d.get("language") or "en",))
+    made = Analyzer((*recognizers, *own), threshold=float(d.get("confidence_threshold", 0.0)), thresholds=d.get("thresholds") or {}, language=d.get("language") or languages[0], languages=languages)
+    if d.get("enabled"):
+        made = replace(made, enabled=()).enable(*d["enabled"])
+    return made.disable(*(d.get("disabled") or ()))
+
+
+def load_config(path: str, environment: dict[str, str] | None = None) -> Analyzer:
+    """from_config() of a YAML or JSON file; UMBRA_LANGUAGE and UMBRA_CONFIDENCE in the environment go before the file."""
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith(".json"):
+        d = json.loads(text)
+    else:
+        import yaml
+
+        d = yaml.safe_load(text) or {}
+    env = environment or {}
+    d |= {k: env[name] for k, name in (("language", "UMBRA_LANGUAGE"), ("confidence_threshold", "UMBRA_CONFIDENCE")) if name in env}
+    return from_config(d)
+
+
 # The analyzers that go by a name.
 ANALYZERS = {
     "default": Analyzer(threshold=0.7),

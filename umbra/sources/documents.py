@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,33 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("doc_id", "d.*")
 
 
+def read_with(spark: SparkSession, path: str, convert, pattern: str = "*") -> DataFrame:
+    """Documents of other files, as read_json() gives them: convert(bytes) -> JSON text of a document, over Arrow batches.
+
+    A file that cannot be converted is a row with its message in _corrupt_record."""
+
+    @F.pandas_udf("struct<value:string,error:string>")
+    def made(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in content:
+            try:
+                rows.append((convert(bytes(raw)), None))
+            except Exception as e:  # a user's converter; the other files go on
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["value", "error"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("doc_id"), made("content").alias("m"))
+    parsed = F.from_json("m.value", SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"})
+    rows = files.select("doc_id", "m.error", parsed.alias("d")).select("doc_id", "error", "d.*")
+    return rows.withColumn("_corrupt_record", F.coalesce("error", "_corrupt_record")).drop("error")
+
+
+def plain_text(content: bytes) -> str:
+    """A converter for files of plain text: paragraphs between empty lines."""
+    parts = [p for p in content.decode("utf-8").replace("\r\n", "\n").split("\n\n") if p.strip()]
+    return json.dumps({"schema_name": "text", "version": "1", "name": "text", "texts": [{"self_ref": f"#/texts/{i}", "label": "text", "text": p, "orig": p} for i, p in enumerate(parts)]})
+
+
 def node_id(ref: Column, kind: Column, text: Column) -> Column:
     """The reference, or where there is none a name by type and the text's beginning."""
     own = F.concat(F.lit("#"), kind, F.lit("_"), F.hex(F.xxhash64(F.substring(text, 1, 50))))
