@@ -170,7 +170,7 @@ def dictionary(samples: list[tuple[bytes, int]], size: int) -> bytes:
     return widened(text)[-size * WIDTH :]
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 2000, folds: int = 4, test_fold: int = 2, widths: tuple[int, ...] = (1, 2, 3), least: int = 3, ratio: float = 10.0, toxic_bytes: int = 32_768, ordinary_bytes: int = 8192, dictionary_windows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 3000, folds: int = 4, test_fold: int = 2, widths: tuple[int, ...] = (1, 2, 3), least: int = 3, ratio: float = 10.0, toxic_bytes: int = 32_768, ordinary_bytes: int = 8192, dictionary_windows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     chosen = sample_of(labels, label, sample, folds, test_fold)  # at most 2 * sample rows, so it is broadcast
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
 
