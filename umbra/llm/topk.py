@@ -3,8 +3,9 @@
 Components are quantised to integers, so scores are exact.  Rows are ordered in space (by the nearest of a few centroids
 fitted on a bounded sample) and cut into blocks, each with its forward index (the block's matrix of components by row)
 and its terms' maxima and minima.  For a query a block's bound is the sum over its terms of the largest product that the
-block allows; blocks are visited by falling bound, and the visit ends when the next bound falls below the k-th score so
-far (equal bounds are still visited, as ties go to the smaller id).  A block is scored through its forward index term by
+block allows; blocks are visited by falling bound, first each query's own best, then the others for all queries at once,
+and a block whose bound lies below a query's k-th score so far is not visited for it (equal bounds are, as ties go to the
+smaller id).  A block is scored through its forward index term by
 term in two steps: after the first terms a row's bound is its score so far and the product of the norms of what is left,
 and rows, often all of a block, whose bound lies below the k-th score are left.  The k-th score starts from the k best of
 a bounded sample of the candidates.  pruning() tells how much of the blocks was left out.
@@ -39,6 +40,8 @@ EXACT = float(1 << 53)
 LONG_LIMIT = (1 << 63) - 1
 #: Bounds are sums of doubles; they are widened by this share.
 SLACK = 1e-9
+#: Blocks that each query visits in its own order, before it shares the visits of the others.
+LEAD = 4
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -120,40 +123,48 @@ def search(queries: np.ndarray, own: np.ndarray, floors: np.ndarray, blocks: lis
     terms = np.argsort(-weight, kind="stable")
     head, tail = terms[: max(1, 3 * width // 4)], terms[max(1, 3 * width // 4) :]
     q_head, q_tail, q_rest = queries[:, head], queries[:, tail], np.sqrt((queries[:, tail] ** 2).sum(1))
-    least = lambda q: max(floors[q], -kept[q][-1][0] if len(kept[q]) == k else -np.inf)
-    active = np.arange(n)
-    halves = {}
-    for step in range(len(plain)):
-        floor = np.array([least(q) for q in active])
-        open_ = bounds[active, order[active, step]] >= floor
-        for q in active[~open_]:
-            rest = order[q, step:]
-            told[q, 1] += len(rest)
-            told[q, 3] += sum(len(plain[b].ids) for b in rest)
-        active, floor = active[open_], floor[open_]
-        if not len(active):
-            break
-        visit = order[active, step]
-        for b in np.unique(visit):
-            block, at = plain[b], visit == b
-            mine, floors_of = active[at], floor[at]
-            if b not in halves:
-                halves[b] = block.rows[:, head], block.rows[:, tail], np.sqrt((block.rows[:, tail] ** 2).sum(1))
-            x_head, x_tail, x_rest = halves[b]
-            part = q_head[mine] @ x_head.T
-            reach = part + np.outer(q_rest[mine], x_rest) * (1 + SLACK) + 1e-6 >= floors_of[:, None]
-            reach &= block.ids[None] != own[mine][:, None]
-            told[mine, 3] += len(block.ids) - reach.sum(1)
-            told[mine, 1] += ~reach.any(1)
-            for i in np.flatnonzero(reach.any(1)):
-                rows, q = np.flatnonzero(reach[i]), mine[i]
-                scores = part[i, rows] + x_tail[rows] @ q_tail[q]
-                rows, scores = rows[scores >= floors_of[i]], scores[scores >= floors_of[i]]
-                if len(rows) > k:
-                    best = np.lexsort((block.ids[rows], -scores))[:k]
-                    rows, scores = rows[best], scores[best]
-                if len(rows):
-                    kept[q] = sorted(kept[q] + [(-int(s), int(v)) for s, v in zip(scores, block.ids[rows], strict=True)])[:k]
+    floor = np.where(np.isnan(floors), -np.inf, floors).astype(float)  # of each query: no score below it is among its best
+    for q, best in enumerate(kept):
+        if len(best) == k:
+            floor[q] = max(floor[q], -best[-1][0])
+    sizes = np.array([len(b.ids) for b in plain])
+    halves = [(b.rows[:, head], b.rows[:, tail], np.sqrt((b.rows[:, tail] ** 2).sum(1))) for b in plain]
+    seen = np.zeros((n, len(plain)), bool)
+
+    def visit(b: int, mine: np.ndarray) -> None:
+        """Score a block for the queries `mine`; their floors rise."""
+        block, (x_head, x_tail, x_rest) = plain[b], halves[b]
+        seen[mine, b] = True
+        part = q_head[mine] @ x_head.T
+        reach = part + np.outer(q_rest[mine], x_rest) * (1 + SLACK) + 1e-6 >= floor[mine, None]
+        reach &= block.ids[None] != own[mine][:, None]
+        alive = reach.any(1)
+        told[mine, 3] += len(block.ids) - reach.sum(1)
+        told[mine, 1] += ~alive
+        for i in np.flatnonzero(alive):
+            rows, q = np.flatnonzero(reach[i]), mine[i]
+            scores = part[i, rows] + x_tail[rows] @ q_tail[q]
+            up = scores >= floor[q]
+            rows, scores = rows[up], scores[up]
+            if len(rows) > k:
+                best = np.lexsort((block.ids[rows], -scores))[:k]
+                rows, scores = rows[best], scores[best]
+            if len(rows):
+                kept[q] = sorted(kept[q] + [(-int(s), int(v)) for s, v in zip(scores, block.ids[rows], strict=True)])[:k]
+                if len(kept[q]) == k:
+                    floor[q] = max(floor[q], -kept[q][-1][0])
+
+    # each query's best blocks first, in its own order; then the blocks that are left, each for all queries that it can serve
+    for step in range(min(LEAD, len(plain))):
+        active = np.flatnonzero(bounds[np.arange(n), order[:, step]] >= floor)
+        for b in np.unique(order[active, step]):
+            visit(b, active[order[active, step] == b])
+    for b in np.argsort(-bounds.max(0), kind="stable"):
+        mine = np.flatnonzero(~seen[:, b] & (bounds[:, b] >= floor))
+        if len(mine):
+            visit(b, mine)
+    told[:, 1] += (~seen).sum(1)
+    told[:, 3] += (~seen) @ sizes
     return kept, told
 
 
@@ -214,14 +225,14 @@ def hits(vectors: DataFrame, k: int, every: int, block_rows: int, chunk: int, la
     return left.groupBy("chunk", "lane").cogroup(right.groupBy("chunk", "lane")).applyInArrow(meet, HITS)
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block_rows: int = 256, chunk: int = 4096, lane_rows: int = 16_384, sample: int = 4096, clusters: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block_rows: int = 64, chunk: int = 4096, lane_rows: int = 16_384, sample: int = 4096, clusters: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """RESULT: queries are the rows whose id is divisible by `every`, candidates all rows."""
     found = hits(vectors, k, every, block_rows, chunk, lane_rows, sample, clusters, id_col, vector_col).filter("vec_id is not null")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def pruning(vectors: DataFrame, k: int = 5, every: int = 50, block_rows: int = 256, chunk: int = 4096, lane_rows: int = 16_384, sample: int = 4096, clusters: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def pruning(vectors: DataFrame, k: int = 5, every: int = 50, block_rows: int = 64, chunk: int = 4096, lane_rows: int = 16_384, sample: int = 4096, clusters: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row: blocks_left, rows_left: the shares of (query, block) and (query, row) left out, or left before their last terms."""
     found = hits(vectors, k, every, block_rows, chunk, lane_rows, sample, clusters, id_col, vector_col)
     share = lambda a, b: (F.sum(a) / F.sum(b)).alias(a if a == "rows_left" else "blocks_left")
