@@ -31,17 +31,21 @@ _BOUNDARY = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z
 class Recognizer:
     """pattern is read alike by other engines: no look-around.  fast, where given, finds the same and is quicker here.
 
-    A `\\b` is an ASCII word boundary in both."""
+    first: the characters that a match can begin with, so that other places cost one look.  needs: a text that every match
+    holds; texts without it are not searched.  A `\\b` is an ASCII word boundary in both."""
 
     entity_type: str
     pattern: str
     score: float
     check: Callable[[Column], Column] | None = None
     fast: str | None = None
+    first: str | None = None
+    needs: str | None = None
 
     @property
     def here(self) -> str:
-        return (self.fast or self.pattern).replace(r"\b", _BOUNDARY)
+        own = (self.fast or self.pattern).replace(r"\b", _BOUNDARY)
+        return f"(?=[{self.first}])(?:{own})" if self.first else own
 
 
 @dataclass(frozen=True)
@@ -75,7 +79,7 @@ def phone(text: Column) -> Column:
 # run without @ costs its length once.
 _HEAD = "[A-Za-z0-9._%+-]"
 # No repetition of a group is open: the platform's stack would grow with it.  A domain has 127 parts at most.
-EMAIL = Recognizer("EMAIL_ADDRESS", rf"{_HEAD}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{1,126}}", 0.95, fast=rf"(?:(?<!{_HEAD})|\G){_HEAD}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{1,126}}")
+EMAIL = Recognizer("EMAIL_ADDRESS", rf"{_HEAD}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{1,126}}", 0.95, fast=rf"(?:(?<!{_HEAD})|\G){_HEAD}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{1,126}}", needs="@")
 _PHONES = (
     r"(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{2,4}\)[ -]?|[0-9]{2,4}[ -])[0-9]{3,4}[ -][0-9]{3,4}\b",
     r"\b[0-9]{3}\.[0-9]{3}\.[0-9]{4}\b",
@@ -84,20 +88,20 @@ _PHONES = (
 _CARDS = (r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b", r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}\b", r"[0-9]{13,}")
 RECOGNIZERS = (
     EMAIL,
-    Recognizer("PHONE_NUMBER", "|".join(_PHONES), 0.75, phone),
-    Recognizer("CREDIT_CARD", "|".join(_CARDS), 0.9, card),
-    Recognizer("IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.85, octets),
-    Recognizer("US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85),
-    Recognizer("URL", r"https?://[^ \t\r\n]+", 0.8),
-    Recognizer("DATE_TIME", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0.7),
-    Recognizer("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0.8),
+    Recognizer("PHONE_NUMBER", "|".join(_PHONES), 0.75, phone, first="0-9+("),
+    Recognizer("CREDIT_CARD", "|".join(_CARDS), 0.9, card, first="0-9"),
+    Recognizer("IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.85, octets, first="0-9"),
+    Recognizer("US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85, first="0-9"),
+    Recognizer("URL", r"https?://[^ \t\r\n]+", 0.8, needs="://"),
+    Recognizer("DATE_TIME", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0.7, first="0-9"),
+    Recognizer("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0.8, first="A-Z"),
 )
 OTHERS = (
-    Recognizer("US_PASSPORT", r"\b[A-Z][0-9]{8}\b", 0.6),
-    Recognizer("US_DRIVER_LICENSE", r"\b[A-Z][0-9]{3}-[0-9]{4}-[0-9]{4}\b", 0.6),
-    Recognizer("MEDICAL_LICENSE", r"\b[A-Z]{2}[0-9]{7}\b", 0.6),
-    Recognizer("NRP", r"\b[0-9]{6}-[0-9]{7}\b", 0.6),
-    Recognizer("CRYPTO", r"\b(?:bc1|[13])[A-HJ-NP-Za-km-z1-9]{25,39}\b", 0.6),
+    Recognizer("US_PASSPORT", r"\b[A-Z][0-9]{8}\b", 0.6, first="A-Z"),
+    Recognizer("US_DRIVER_LICENSE", r"\b[A-Z][0-9]{3}-[0-9]{4}-[0-9]{4}\b", 0.6, first="A-Z"),
+    Recognizer("MEDICAL_LICENSE", r"\b[A-Z]{2}[0-9]{7}\b", 0.6, first="A-Z"),
+    Recognizer("NRP", r"\b[0-9]{6}-[0-9]{7}\b", 0.6, first="0-9"),
+    Recognizer("CRYPTO", r"\b(?:bc1|[13])[A-HJ-NP-Za-km-z1-9]{25,39}\b", 0.6, first="b13"),
     Recognizer("US_BANK_NUMBER", r"\b[0-9]{10,12}\b", 0.5),
 )
 # The sets of types that go by a name.
@@ -221,7 +225,6 @@ def none_found() -> Column:
 def spans_of(text: Column, r: Recognizer) -> Column:
     """The recognizer's spans of a text: code points, end exclusive, in order."""
     marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(INSTEAD)), f"({r.here})", f"{MARK}$1{MARK}")
-    parts = F.split(marked, MARK, -1)  # gap, match, gap, match, ..., gap
     start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), none_found().alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -229,7 +232,12 @@ def spans_of(text: Column, r: Recognizer) -> Column:
         span = F.struct(F.lit(r.entity_type).alias("entity_type"), a["pos"].alias("start"), end.alias("end"), F.lit(r.score).alias("confidence"), x.alias("text"))
         return F.struct(end.alias("pos"), (1 - a["i"]).alias("i"), F.when(a["i"] == 1, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-    found = F.when(F.contains(marked, F.lit(MARK)), F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(none_found())
+    def of(m: Column) -> Column:
+        """The spans of a text with marks: gap, match, gap, match, ..., gap."""
+        return F.when(F.contains(m, F.lit(MARK)), F.aggregate(F.split(m, MARK, -1), start, step, lambda a: a["out"])).otherwise(none_found())
+
+    found = F.transform(F.array(marked), of)[0]  # the pattern runs once, whatever asks for its result
+    found = F.when(F.contains(text, F.lit(r.needs)), found).otherwise(none_found()) if r.needs else found
     return F.filter(found, lambda s: r.check(s["text"])) if r.check else found
 
 
