@@ -88,6 +88,17 @@ def forget(*tables: DataFrame) -> None:
                 at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+#: Bytes up to which one side of a join is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def checked_side(side: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table as one side of a join: broadcast if its rows, of `size` bytes each and some for the row, take at most
+    `most` bytes; a larger one is joined by a shuffle, in which Spark splits hot keys."""
+    total = side.agg(F.coalesce(F.sum(size + F.lit(64)), F.lit(0)).alias("b")).head()["b"]
+    return F.broadcast(side) if total <= most else side.hint("merge")
+
+
 class Places:
     """A filter that lets pass the rows whose id is among ids (column name), and few others.
 

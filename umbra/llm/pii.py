@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, column, forget, slices, written
+from .common import WORD, checked_side, column, forget, slices, written
 
 # The kinds, in the order of ties, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -296,10 +296,14 @@ def learned_additions(docs: DataFrame, rounds: int = 2, min_confidence: float =
     return found, added
 
 
+def side_of(added: DataFrame) -> DataFrame:
+    return checked_side(added, F.lit(16) * F.size("added"))
+
+
 def find(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_email .. n_phone (of the base spans), base and spans: arrays of (kind number, start, end)."""
     found, added = learned_additions(docs, **options)
-    rows = found.select("doc_id", "key", *[f"n_{k}" for k in KINDS], "base").join(added, "key", "left").drop("key")
+    rows = found.select("doc_id", "key", *[f"n_{k}" for k in KINDS], "base").join(side_of(added), "key", "left").drop("key")
     span = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     order = lambda a: F.transform(F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), span)
     return rows.withColumn("spans", F.when(F.col("added").isNull(), F.col("base")).otherwise(order(F.concat("base", "added")))).drop("added")
@@ -321,7 +325,8 @@ def masked(docs: DataFrame, added: DataFrame, id_col: str = "doc_id", text_col:
     """docs with each base span and each added one replaced by its kind in brackets; overlapping spans as one."""
     names = docs.columns
     place = names.index(text_col)
-    rows = docs.withColumn("_key", row_key(id_col, text_col)).join(added.select(F.col("key").alias("_key"), F.col("added").alias("_added")), "_key", "left").select(*names, "_added")
+    side = side_of(added).select(F.col("key").alias("_key"), F.col("added").alias("_added"))
+    rows = docs.withColumn("_key", row_key(id_col, text_col)).join(side, "_key", "left").select(*names, "_added")
 
     def mask(text: str | None, more: list | None) -> str | None:
         spans = sorted(((a, k, b) for k, a, b in [*base_spans(text), *((s["kind"], s["start"], s["end"]) for s in more or ())]))

@@ -21,7 +21,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import checked_side, forget, written
 
 #: (verdict, host, path prefix)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -139,7 +139,8 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, min_support: fl
     best = written(match(open_urls, learned)).withColumnRenamed("url", "_url")
     forget(learned)
     open_rows = judged["_given"].isNull() & judged[url].isNotNull()
-    joined = judged.filter(open_rows).join(best, F.col(url) == F.col("_url"), "left").drop("_url")
+    side = checked_side(best, F.octet_length("_url") + F.octet_length("learned.rule"))
+    joined = judged.filter(open_rows).join(side, F.col(url) == F.col("_url"), "left").drop("_url")
     out = joined.unionByName(judged.filter(~open_rows).withColumn("learned", F.lit(None).cast(best.schema["learned"].dataType)))
     return out.select(
         *[c for c in base.columns], "host", "path", "rule",
