@@ -10,9 +10,9 @@ term in two steps: after the first terms a row's bound is its score so far and t
 and rows, often all of a block, whose bound lies below the k-th score are left.  The k-th score starts from the k best of
 a bounded sample of the candidates.  pruning() tells how much of the blocks was left out.
 
-Queries are cut into chunks of bounded size, blocks dealt into lanes; a lane of blocks meets a chunk of queries in a
-cogroup, so both sides of a task are bounded and nothing but the sample and the centroids is broadcast.  A block goes
-to those chunks alone that hold a query whose bound reaches the query's floor.
+Queries are cut into chunks of bounded size, candidates dealt into lanes; each lane meets each chunk in a cogroup, so both
+sides of a task are bounded, and nothing but the sample and the centroids is broadcast.  Candidates are sent once a chunk
+of `chunk` queries.
 
 Numbers: quantised components are whole doubles at any size.  A block where a sum of products could pass 2**53 is scored
 with Python's integers and not pruned; a score beyond a long counts as the nearest long.
