@@ -117,7 +117,7 @@ def phrases(entity_type: str, names, score: float = 0.7) -> FunctionRecognizer:
     return FunctionRecognizer(entity_type, lambda text: [(m.start(), m.end(), score) for m in pattern.finditer(text)] if pattern else [])
 
 
-#: A title or a word such as Mr before capitalised words, or two or three of these where no model is given.
+#: A title before one or two capitalised words.
 _TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?")
 TITLED_PERSON = FunctionRecognizer("PERSON", lambda text: [(m.start(), m.end(), 0.7) for m in _TITLED.finditer(text)])
 
