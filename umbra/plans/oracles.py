@@ -6,9 +6,9 @@ from umbra.operators import detect
 
 #: Recognizers whose spans lie across those of the others, so that there is something to resolve.
 CROSSING = (
-    detect.Recognizer("LOCATION", "[0-9.]{2,}", 0.6),
-    detect.Recognizer("PERSON", "[0-9]+@[a-z0-9]+", 0.97),
-    detect.Recognizer("ORGANIZATION", "[a-z]+ [a-z.0-9]+@[a-z0-9.]+ [a-z]+", 0.5),
+    detect.Recognizer("LOCATION", "[0-9.]{2,}", 0.6, first="0-9."),
+    detect.Recognizer("PERSON", "[0-9]+@[a-z0-9]+", 0.97, first="0-9", needs="@"),
+    detect.Recognizer("ORGANIZATION", "[a-z]+ [a-z.0-9]+@[a-z0-9.]+ [a-z]+", 0.5, first="a-z", needs="@"),
 )
 PATTERNS = {r.entity_type: r for r in (*detect.RECOGNIZERS, *CROSSING)}
 SHORT = {"email": "EMAIL_ADDRESS", "phone": "PHONE_NUMBER", "card": "CREDIT_CARD", "ip": "IP_ADDRESS", "ssn": "US_SSN", "url": "URL", "date": "DATE_TIME", "iban": "IBAN_CODE"}
