@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm_scoring, media, mixing, packing, pii, quality, topk, toxicity, url_filters
+from . import jaccard_join, lm_scoring, media, mixing, oracles, packing, pii, quality, secrets, topk, toxicity, url_filters
 from .common import table
 
 #: A file name below the public tokenizers' folder.
@@ -62,20 +62,15 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filters, op2_best_fit_packing, op3_lm_scoring, op4_mixing_sources, op5_quality_classifier, op6_exact_topk, op7_ngram_jaccard_join, op8_toxicity, op9_pii, op10_media_columns)
+    found = (op1_url_filters, op2_best_fit_packing, op3_lm_scoring, op4_mixing_sources, op5_quality_classifier, op6_exact_topk, op7_ngram_jaccard_join, op8_toxicity, op9_pii, op10_media_columns, op11_secret_scans)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express an operator's whole result at the size of the driver's tables."""
-    return {
-        "op6_exact_topk": """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-      FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
-    }
+    return {"op6_exact_topk": oracles.TOPK, "op11_secret_scans": oracles.secrets()}
