@@ -47,3 +47,20 @@ told AS (SELECT r, count(*) FILTER (WHERE base AND k = 0) AS n_assign, count(*)
   count(*) FILTER (WHERE NOT base) AS n_added, count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example FROM spans WHERE k IS NOT NULL GROUP BY r)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(x.base, '')) AS base_sha256, coalesce(x.spans, '') AS spans,
   coalesce(n_added, 0) AS n_added, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN told x ON x.r = d.r"""
+
+
+def clusters(k: int = 16, rounds: int = 3, width: int = 64, scale: int = 64) -> str:
+    """Each round assigns all vectors and takes exact means; every step is a materialised table."""
+    steps = [f"""WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS i, v FROM e WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || vec_id), v LIMIT {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (SELECT r, i, d FROM (SELECT r, i, d, row_number() OVER (PARTITION BY r ORDER BY d, i) AS place FROM (
+  SELECT e.r, c.i, list_sum(list_transform(range(1, {width + 1}), lambda j: (e.v[j] - c.v[j]) * (e.v[j] - c.v[j]))) AS d FROM e, c{n} c)) WHERE place = 1)""")
+        if n < rounds:
+            means = ", ".join(f"CAST(floor(CAST(sum(e.v[{j}]) AS DOUBLE) / count(*)) AS BIGINT)" for j in range(1, width + 1))
+            steps.append(f"m{n} AS MATERIALIZED (SELECT a.i, [{means}] AS v FROM a{n} a JOIN e ON e.r = a.r GROUP BY a.i)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c.i, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN m{n} m ON m.i = c.i)")
+    return ",\n".join(steps) + f"""
+SELECT e.vec_id, CAST(a.i AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.i) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN e ON e.r = a.r JOIN c{rounds} c ON c.i = a.i"""
