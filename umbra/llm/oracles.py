@@ -64,3 +64,23 @@ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v
     return ",\n".join(steps) + f"""
 SELECT e.vec_id, CAST(a.i AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.i) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
   sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN e ON e.r = a.r JOIN c{rounds} c ON c.i = a.i"""
+
+
+def _share(count: str, total: str) -> str:
+    return f"CAST(1 + (CAST(1000000000 AS HUGEINT) * ({count} + 5)) // ({total} + 5 * v.kept) AS BIGINT)"
+
+
+DIVERGENCE = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT r, lang, source, translate(m, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM (SELECT r, lang, source, unnest(regexp_extract_all(t, '[A-Za-z\x{{80}}-\x{{10FFFF}}]+')) AS m FROM d)),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS MATERIALIZED (SELECT lang, count(*) AS kept, sum(n) AS total FROM kept GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY w.lang, w.source, w.term),
+s AS MATERIALIZED (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+p AS MATERIALIZED (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, {_share('coalesce(c.n, 0)', 's.total')} AS p, {_share('k.n', 'v.total')} AS q
+  FROM s JOIN v ON v.lang = s.lang JOIN kept k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+far AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+both_ AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM both_) WHERE part = 'pair' OR rank <= 50"""

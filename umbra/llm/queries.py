@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm_scoring, media, mixing, oracles, packing, pii, quality, secrets, topk, toxicity, url_filters, yinyang
+from . import divergence, jaccard_join, lm_scoring, media, mixing, oracles, packing, pii, quality, secrets, topk, toxicity, url_filters, yinyang
 from .common import table
 
 #: A file name below the public tokenizers' folder.
@@ -71,11 +71,15 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.digest(rows, centroids, sums)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filters, op2_best_fit_packing, op3_lm_scoring, op4_mixing_sources, op5_quality_classifier, op6_exact_topk, op7_ngram_jaccard_join, op8_toxicity, op9_pii, op10_media_columns, op11_secret_scans, op12_centroid_clustering)
+    found = (op1_url_filters, op2_best_fit_packing, op3_lm_scoring, op4_mixing_sources, op5_quality_classifier, op6_exact_topk, op7_ngram_jaccard_join, op8_toxicity, op9_pii, op10_media_columns, op11_secret_scans, op12_centroid_clustering, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express an operator's whole result at the size of the driver's tables."""
-    return {"op6_exact_topk": oracles.TOPK, "op11_secret_scans": oracles.secrets(), "op12_centroid_clustering": oracles.clusters()}
+    return {"op6_exact_topk": oracles.TOPK, "op11_secret_scans": oracles.secrets(), "op12_centroid_clustering": oracles.clusters(), "op13_source_divergence": oracles.DIVERGENCE}
