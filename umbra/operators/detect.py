@@ -56,6 +56,24 @@ class FunctionRecognizer:
     find: Callable[[str], list[tuple[int, int, float]]]
 
 
+@dataclass(frozen=True)
+class BatchRecognizer:
+    """A model with find_all(texts) -> for each text [(start, end, type, confidence)]: one call an Arrow batch.
+
+    The model is broadcast, so each worker unpacks it once."""
+
+    entity_types: tuple[str, ...]
+    model: object
+
+    @property
+    def entity_type(self) -> str:
+        return self.entity_types[0]
+
+
+def types_of(r) -> tuple[str, ...]:
+    return r.entity_types if isinstance(r, BatchRecognizer) else (r.entity_type,)
+
+
 def luhn(text: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(text, "[^0-9]", ""))
 
@@ -122,6 +140,16 @@ _TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z
 TITLED_PERSON = FunctionRecognizer("PERSON", lambda text: [(m.start(), m.end(), 0.7) for m in _TITLED.finditer(text)])
 
 
+def _limited(recognizers, types) -> tuple:
+    """Recognizers of these types (None: of all); a model of several keeps those that are wanted."""
+    out = []
+    for r in recognizers:
+        own = tuple(t for t in types_of(r) if types is None or t in types)
+        if own:
+            out.append(replace(r, entity_types=own) if isinstance(r, BatchRecognizer) else r)
+    return tuple(out)
+
+
 @dataclass(frozen=True)
 class Analyzer:
     """Which recognizers run, and from which confidence their spans count."""
@@ -140,18 +168,18 @@ class Analyzer:
             raise ValueError("a threshold is outside 0 to 1")
 
     def active(self) -> tuple:
-        return tuple(r for r in self.recognizers if self.enabled is None or r.entity_type in self.enabled)
+        return _limited(self.recognizers, self.enabled)
 
     def supported(self) -> list[str]:
-        return sorted({r.entity_type for r in self.active()})
+        return sorted({t for r in self.active() for t in types_of(r)})
 
     def enable(self, *types: str) -> Analyzer:
-        known = {r.entity_type for r in self.recognizers}
+        known = {t for r in self.recognizers for t in types_of(r)}
         more = tuple(r for r in OTHERS if r.entity_type in types and r.entity_type not in known)
         return replace(self, recognizers=(*self.recognizers, *more), enabled=None if self.enabled is None else (*self.enabled, *types))
 
     def disable(self, *types: str) -> Analyzer:
-        return replace(self, recognizers=tuple(r for r in self.recognizers if r.entity_type not in types))
+        return replace(self, recognizers=_limited(self.recognizers, {t for r in self.recognizers for t in types_of(r)} - set(types)))
 
     def add(self, recognizer) -> Analyzer:
         return replace(self, recognizers=(*self.recognizers, recognizer))
@@ -160,7 +188,7 @@ class Analyzer:
         """nodes with spans; types, threshold and language hold for this call."""
         if language and language.split("-")[0] not in {x.split("-")[0] for x in (self.language, *self.languages)}:
             raise ValueError(f"no recognizers for the language {language}")
-        chosen = tuple(r for r in self.active() if types is None or r.entity_type in types)
+        chosen = _limited(self.active(), types)
         limit = self.threshold if threshold is None else threshold
         found = detect(nodes, chosen, text_col)
         least = F.lit(limit)
@@ -260,6 +288,22 @@ def spans_by_functions(text: Column, recognizers: list[FunctionRecognizer]) -> C
     return found(text)
 
 
+def spans_by_models(text: Column, models: list[BatchRecognizer], spark) -> Column:
+    """The spans of all models, each called once a batch."""
+    shared = [(spark.sparkContext.broadcast(m.model), frozenset(m.entity_types)) for m in models]
+
+    @F.pandas_udf(f"array<{SPAN}>")
+    def found(texts: pd.Series) -> pd.Series:
+        plain = [t or "" for t in texts]
+        out: list[list[dict]] = [[] for _ in plain]
+        for model, wanted in shared:
+            for t, own, spans in zip(plain, out, model.value.find_all(plain), strict=True):
+                own += [{"entity_type": kind, "start": a, "end": b, "confidence": c, "text": t[a:b]} for a, b, kind, c in spans if kind in wanted]
+        return pd.Series(out, dtype=object)
+
+    return found(text)
+
+
 def in_order(spans: Column) -> Column:
     """By start, end, falling confidence, type."""
     keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), (-s["confidence"]).alias("c"), s["entity_type"].alias("d"), s.alias("s"))))
@@ -274,8 +318,12 @@ def detect(nodes: DataFrame, recognizers=RECOGNIZERS, text_col: str = "text") ->
     if functions:
         nodes = nodes.withColumn("_by_functions", spans_by_functions(text, functions))
         parts.append(F.coalesce("_by_functions", none_found()))
+    models = [r for r in recognizers if isinstance(r, BatchRecognizer)]
+    if models:
+        nodes = nodes.withColumn("_by_models", spans_by_models(text, models, nodes.sparkSession))
+        parts.append(F.coalesce("_by_models", none_found()))
     found = in_order(F.concat(*parts)) if parts else none_found()
-    return nodes.withColumn("spans", found).drop("_by_functions")
+    return nodes.withColumn("spans", found).drop("_by_functions", "_by_models")
 
 
 def inside(spans: Column, text: Column, strict: bool = False) -> Column:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from umbra.functions import strategies as S
 from umbra.functions import text as T
-from umbra.operators import cloakmap, detect, mask, policy, resolve
+from umbra.operators import cloakmap, detect, mask, policy, resolve, tagger
 from umbra.sources import documents as D
 
+from . import names
 from .oracles import CROSSING, FOUR, PATTERNS, SHORT
 from .oracles import sql as oracle_sql
 
@@ -338,6 +339,17 @@ def policy_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "entity_type", "start", "context", p.replacement(F.col("s"), F.col("context")).alias("masked"))
 
 
+def names_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tagger trained on the sentences of four fifths of the customers, measured on the others'."""
+    texts = names.corpus(spark, sf_dir)
+    model, _ = tagger.fit(texts.filter("c_custkey % 5 <> 0"))
+    held = texts.filter("c_custkey % 5 = 0")
+    gold = held.select("id", F.explode("spans").alias("s")).select("id", "s.*")
+    found = detect.entities(detect.detect(held.drop("spans"), [model.recognizer()]), "id")
+    rows = tagger.accuracy(found, gold, "id")
+    return rows.select("entity_type", "gold", (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("precision") >= 0.9).alias("precision_reached"))
+
+
 def _scalar(make) -> Query:
     return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", F.sha2(make(F.col("text")), 256).alias("sha256"))
 
@@ -393,7 +405,7 @@ QUERIES = (
     mask_documents_default, mask_surrogate, unmask_roundtrip, unmask_by_anchors, anchors_build, replacements_list, cloakmap_stats, cloakmap_build, cloakmap_flags, cloakmap_round_trip, cloakmap_counts, checksum_verify, anchor_resolve,
     anchor_resolve_statistics, integrity, restore_edited, segment_offsets, full_text, document_hash, extraction_statistics, place_in_node, place_in_text, clamped_spans, entity_counts_by_type, entity_counts_by_lang, entity_counts_by_doc,
     entity_type_names, above_default_thresholds, entities_numbered, analysis_by_document, entities_by_lists, entities_paired, overlap_islands, resolve_highest_confidence, resolve_merge_adjacent, normalise_counts, normalisation_lost,
-    policy_contexts, surrogate_quality, mask_columns, rebuild_documents, detect_format, detect_format_by_name, render_html,
+    policy_contexts, names_held_out, surrogate_quality, mask_columns, rebuild_documents, detect_format, detect_format_by_name, render_html,
 )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from umbra.operators import detect
 
+from .names import SENTENCES
+
 #: Recognizers whose spans lie across those of the others, so that there is something to resolve.
 CROSSING = (
     detect.Recognizer("LOCATION", "[0-9.]{2,}", 0.6, first="0-9."),
@@ -253,6 +255,8 @@ def sql() -> dict[str, str]:
     style = "<style>.masked{background:#eee;border:1px solid #999;padding:0 2px}</style>"
     marked = f"replace(replace(replace(string_agg('<p>' || {ESCAPED} || '</p>', chr(10) ORDER BY ordinal), '[REDACTED]', '<span class=\"masked\">[REDACTED]</span>'), '[MASKED]', '<span class=\"masked\">[MASKED]</span>'), '[***]', '<span class=\"masked\">[***]</span>')"
     out["render_html_document"] = f"SELECT doc_id, sha256('<!DOCTYPE html><html><head>{style}</head><body>' || {marked} || '</body></html>') AS sha256 FROM {LINES} GROUP BY doc_id"
+    forms = lambda mark: ", ".join(str(i) for i, t in enumerate(SENTENCES) if mark in t)
+    out["names_held_out"] = " UNION ALL ".join(f"SELECT '{kind}' AS entity_type, count(*) AS gold, TRUE AS recall_reached, TRUE AS precision_reached FROM customer, (VALUES (0), (1)) v(n) WHERE c_custkey % 5 = 0 AND (c_custkey * 2 + n) % {len(SENTENCES)} IN ({forms(mark)})" for kind, mark in (("PERSON", "{p}"), ("LOCATION", "{l}")))
     names = "['c_name', 'c_mktsegment']"
     out["mask_columns"] = f"SELECT c_custkey AS doc_id, unnest({names}) AS node_id, unnest([{COLUMN.format(c='c_name')}, {COLUMN.format(c='c_mktsegment')}]) AS masked FROM customer"
     out["rebuild_documents"] = f"{MASKED} SELECT doc_id, sha256(masked) AS text_sha256, sha256(masked) AS orig_sha256, sha256('[EMAIL]') AS cell_sha256 FROM done"
