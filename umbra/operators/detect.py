@@ -129,10 +129,11 @@ SMART_ENABLED = ("EMAIL_ADDRESS", "PERSON", "PHONE_NUMBER", "CREDIT_CARD", "US_S
 KEPT_BY_DEFAULT = ("DATE_TIME", "URL")
 
 
-def phrases(entity_type: str, names, score: float = 0.7) -> FunctionRecognizer:
-    """Recognizes the given names as whole words, the longest first: PERSON or LOCATION from a list."""
-    pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b") if names else None
-    return FunctionRecognizer(entity_type, lambda text: [(m.start(), m.end(), score) for m in pattern.finditer(text)] if pattern else [])
+def phrases(entity_type: str, names, score: float = 0.7) -> BatchRecognizer:
+    """Recognizes the given names as whole words, the longest first: PERSON or LOCATION from a list, however long."""
+    from .phrases import phrases as automaton  # that module needs this one
+
+    return automaton(entity_type, names, score)
 
 
 #: A title before one or two capitalised words.

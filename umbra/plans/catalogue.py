@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import strategies as S
 from umbra.functions import text as T
-from umbra.operators import cloakmap, detect, mask, policy, resolve, tagger
+from umbra.operators import cloakmap, detect, mask, phrases, policy, resolve, tagger
 from umbra.sources import documents as D
 
 from . import names
@@ -350,6 +350,25 @@ def names_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("entity_type", "gold", (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("precision") >= 0.9).alias("precision_reached"))
 
 
+def _listed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two and three words from the texts of `benchmark`."""
+    w = F.split("text", " ")
+    some = F.array(*[F.array_join(F.slice(w, a, n), " ") for a, n in ((1, 2), (1, 3), (4, 2), (5, 3), (9, 2))])
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(some).alias("text"))
+    return rows.filter(F.col("text").rlike("^[A-Za-z0-9]+( [A-Za-z0-9]+)+$")).distinct()
+
+
+def phrases_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the automaton."""
+    own = phrases.of_table("LISTED", _listed_phrases(spark, sf_dir))
+    return detect.entities(detect.detect(_docs(spark, sf_dir), [own]), "doc_id").select("doc_id", "start", "end", "text")
+
+
+def phrases_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the join."""
+    return phrases.joined(_docs(spark, sf_dir), _listed_phrases(spark, sf_dir), "doc_id")
+
+
 def _scalar(make) -> Query:
     return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", F.sha2(make(F.col("text")), 256).alias("sha256"))
 
@@ -405,7 +424,7 @@ QUERIES = (
     mask_documents_default, mask_surrogate, unmask_roundtrip, unmask_by_anchors, anchors_build, replacements_list, cloakmap_stats, cloakmap_build, cloakmap_flags, cloakmap_round_trip, cloakmap_counts, checksum_verify, anchor_resolve,
     anchor_resolve_statistics, integrity, restore_edited, segment_offsets, full_text, document_hash, extraction_statistics, place_in_node, place_in_text, clamped_spans, entity_counts_by_type, entity_counts_by_lang, entity_counts_by_doc,
     entity_type_names, above_default_thresholds, entities_numbered, analysis_by_document, entities_by_lists, entities_paired, overlap_islands, resolve_highest_confidence, resolve_merge_adjacent, normalise_counts, normalisation_lost,
-    policy_contexts, names_held_out, surrogate_quality, mask_columns, rebuild_documents, detect_format, detect_format_by_name, render_html,
+    policy_contexts, names_held_out, phrases_found, phrases_joined, surrogate_quality, mask_columns, rebuild_documents, detect_format, detect_format_by_name, render_html,
 )
 
 

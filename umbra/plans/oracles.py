@@ -255,6 +255,13 @@ def sql() -> dict[str, str]:
     style = "<style>.masked{background:#eee;border:1px solid #999;padding:0 2px}</style>"
     marked = f"replace(replace(replace(string_agg('<p>' || {ESCAPED} || '</p>', chr(10) ORDER BY ordinal), '[REDACTED]', '<span class=\"masked\">[REDACTED]</span>'), '[MASKED]', '<span class=\"masked\">[MASKED]</span>'), '[***]', '<span class=\"masked\">[***]</span>')"
     out["render_html_document"] = f"SELECT doc_id, sha256('<!DOCTYPE html><html><head>{style}</head><body>' || {marked} || '</body></html>') AS sha256 FROM {LINES} GROUP BY doc_id"
+    listed = " UNION ".join(f"SELECT array_to_string(w[{a}:{a + n - 1}], ' ') AS phrase FROM (SELECT str_split(text, ' ') AS w FROM benchmark)" for a, n in ((1, 2), (1, 3), (4, 2), (5, 3), (9, 2)))
+    token = r"[\p{L}\p{N}_]+|[ \t\n\f\r]+|[^\p{L}\p{N}_ \t\n\f\r]"
+    prefix = f"""phrases AS MATERIALIZED (SELECT phrase FROM ({listed}) WHERE regexp_full_match(phrase, '[A-Za-z0-9]+( [A-Za-z0-9]+)+')),
+ tok AS MATERIALIZED (SELECT doc_id, t, i, CAST(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) - length(t) AS INTEGER) AS "start" FROM (SELECT doc_id, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{token}') AS ts FROM documents))),
+ wide AS (SELECT doc_id, "start", t || lead(t, 1, '') OVER w || lead(t, 2, '') OVER w AS three, t || lead(t, 1, '') OVER w || lead(t, 2, '') OVER w || lead(t, 3, '') OVER w || lead(t, 4, '') OVER w AS five FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY i)),"""
+    hits = """(SELECT doc_id, "start", "start" + CAST(length(text) AS INTEGER) AS "end", text FROM (SELECT doc_id, "start", three AS text FROM wide UNION SELECT doc_id, "start", five FROM wide) WHERE text IN (SELECT phrase FROM phrases))"""
+    out["phrases_found"] = out["phrases_joined"] = swept(hits, order='"start", "start" - "end"', prefix=prefix) + ' SELECT doc_id, "start", "end", text FROM kept'
     forms = lambda mark: ", ".join(str(i) for i, t in enumerate(SENTENCES) if mark in t)
     out["names_held_out"] = " UNION ALL ".join(f"SELECT '{kind}' AS entity_type, count(*) AS gold, TRUE AS recall_reached, TRUE AS precision_reached FROM customer, (VALUES (0), (1)) v(n) WHERE c_custkey % 5 = 0 AND (c_custkey * 2 + n) % {len(SENTENCES)} IN ({forms(mark)})" for kind, mark in (("PERSON", "{p}"), ("LOCATION", "{l}")))
     names = "['c_name', 'c_mktsegment']"
