@@ -57,3 +57,16 @@ def kept_in_order(spans: Column, start: str = "start", end: str = "end") -> Colu
         return F.when(F.size(a) == 0, a).otherwise(kept)
 
     return let(spans, of)
+
+
+def last_at_most(size: Column, key: Callable[[Column], Column], x: Column) -> Column:
+    """The index of the last of `size` ascending keys that is at most x, or -1: a binary search, key(i) gives the key at i."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+
+    def step(a: Column, _: Column) -> Column:
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        open_ = a["hi"] - a["lo"] > 1
+        below = key(middle) <= x
+        return F.struct(F.when(open_ & below, middle).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~below, middle).otherwise(a["hi"]).alias("hi"))
+
+    return F.aggregate(steps, F.struct(F.lit(-1).alias("lo"), size.cast("int").alias("hi")), step, lambda a: a["lo"])

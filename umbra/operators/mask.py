@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.functions.arrays import last_at_most, let
 from umbra.functions.text import entity_type
 
 from .detect import RECOGNIZERS, detect
+from .intervals import holding
 from .policy import DEFAULT, Policy
 from .resolve import RESOLVERS
 
@@ -209,7 +211,8 @@ def clamped(spans: Column, text: Column, segments: Column) -> Column:
 
     A span ends before the first empty line in it, and with the segment that holds its start; a span that starts in no
     segment, or is blank then, is left out."""
-    own = lambda s: F.try_element_at(F.filter(segments, lambda g: (g["start"] <= s["start"]) & (s["start"] < g["end"])), F.lit(1))
+    begun = lambda s: F.get(segments, last_at_most(F.size(segments), lambda i: F.get(segments, i)["start"], s["start"]))
+    own = lambda s: let(begun(s), lambda g: F.when(s["start"] < g["end"], g))
     inner = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
     line = lambda s: F.instr(inner(s), "\n\n")
     end = lambda s: F.least(F.when(line(s) > 0, s["start"] + line(s) - 1).otherwise(s["end"]), own(s)["end"])
@@ -221,8 +224,8 @@ def clamped(spans: Column, text: Column, segments: Column) -> Column:
 def of_segment(kept: DataFrame, segments: DataFrame) -> DataFrame:
     """Anchors of a whole text (doc_id, start, end) with the segment (node_id, start_offset, end_offset) that holds their
     start, and their places in it; an end beyond the segment is its end."""
-    s = segments.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("segment_id"), "start_offset", "end_offset")
-    rows = kept.join(s, (F.col("doc_id") == F.col("_d")) & (F.col("start") >= F.col("start_offset")) & (F.col("start") < F.col("end_offset")))
+    s = segments.select("doc_id", F.col("node_id").alias("segment_id"), "start_offset", "end_offset")
+    rows = holding(kept, s, "doc_id", keep=("segment_id",)).filter(F.col("start") < F.col("end_offset"))
     local = (F.col("start") - F.col("start_offset")).alias("local_start")
     return rows.select(*kept.columns, "segment_id", local, (F.least("end", "end_offset") - F.col("start_offset")).alias("local_end"))
 

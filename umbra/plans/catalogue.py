@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import strategies as S
 from umbra.functions import text as T
-from umbra.operators import cloakmap, detect, mask, phrases, policy, resolve, tagger
+from umbra.operators import cloakmap, detect, intervals, mask, phrases, policy, resolve, tagger
 from umbra.sources import documents as D
 
 from . import names
@@ -251,6 +251,30 @@ def place_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.to_global(places, rows).select("doc_id", "ordinal", "start", "end")
 
 
+def _in_full_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(addresses and numbers of the full texts, their lines as nodes)."""
+    rows = D.lines(_docs(spark, sf_dir))
+    return detect.entities(detect.detect(D.full_text(rows), MAIN), "doc_id").select("doc_id", "entity_type", "start", "end"), rows
+
+
+def entities_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of the full text with the line that holds them."""
+    return D.to_node(*_in_full_texts(spark, sf_dir))
+
+
+def anchors_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of the full text with the line that their beginning is in, widened so that some end beyond it."""
+    found, rows = _in_full_texts(spark, sf_dir)
+    return mask.of_segment(found.withColumn("end", F.col("end") + 30), rows)
+
+
+def spans_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a recognizer's span and a crossing one's that overlap."""
+    a = _all(spark, sf_dir).select("doc_id", "entity_type", "start", "end")
+    b = detect.entities(detect.detect(_docs(spark, sf_dir), list(CROSSING)), "doc_id").select("doc_id", "entity_type", "start", "end")
+    return intervals.overlapping(a, b, "doc_id")
+
+
 def clamped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that begin with a line and reach far beyond it, cut to the line."""
     whole = D.segments(D.lines(_docs(spark, sf_dir)))
@@ -422,7 +446,7 @@ STRICT = policy.Policy(thresholds={"PHONE_NUMBER": 0.8, "EMAIL_ADDRESS": 0.5}, m
 LISTS = policy.Policy(allow=frozenset({"4952935900253052"}), deny=frozenset({"1.1.1.1"}), min_length=15)
 QUERIES = (
     mask_documents_default, mask_surrogate, unmask_roundtrip, unmask_by_anchors, anchors_build, replacements_list, cloakmap_stats, cloakmap_build, cloakmap_flags, cloakmap_round_trip, cloakmap_counts, checksum_verify, anchor_resolve,
-    anchor_resolve_statistics, integrity, restore_edited, segment_offsets, full_text, document_hash, extraction_statistics, place_in_node, place_in_text, clamped_spans, entity_counts_by_type, entity_counts_by_lang, entity_counts_by_doc,
+    anchor_resolve_statistics, integrity, restore_edited, segment_offsets, full_text, document_hash, extraction_statistics, place_in_node, place_in_text, entities_in_lines, anchors_of_lines, spans_overlapping, clamped_spans, entity_counts_by_type, entity_counts_by_lang, entity_counts_by_doc,
     entity_type_names, above_default_thresholds, entities_numbered, analysis_by_document, entities_by_lists, entities_paired, overlap_islands, resolve_highest_confidence, resolve_merge_adjacent, normalise_counts, normalisation_lost,
     policy_contexts, names_held_out, phrases_found, phrases_joined, surrogate_quality, mask_columns, rebuild_documents, detect_format, detect_format_by_name, render_html,
 )

@@ -250,6 +250,11 @@ def sql() -> dict[str, str]:
     out["place_in_node"] = f"""SELECT doc_id, "start", "end", CASE WHEN "end" <= end_offset THEN '#/texts/' || ordinal END AS node_id, CASE WHEN "end" <= end_offset THEN "start" - start_offset END AS node_start, CASE WHEN "end" <= end_offset THEN "end" - start_offset END AS node_end FROM {spans}"""
     out["place_in_text"] = f"SELECT doc_id, ordinal, start_offset + 1 AS start, start_offset + 3 AS \"end\" FROM {LINES}"
     out["clamped_spans"] = f"""SELECT doc_id, ordinal, CAST(start_offset AS INTEGER) AS "start", CAST(start_offset + length(t) AS INTEGER) AS "end" FROM {LINES}"""
+    joined = entities(*FOUR).replace("FROM documents", f"FROM (SELECT doc_id, '' AS lang, string_agg(t, chr(10) || chr(10) ORDER BY ordinal) AS text FROM {LINES} GROUP BY doc_id)")
+    lines = f"""(SELECT doc_id, '#/texts/' || ordinal AS node_id, start_offset, start_offset + length(t) AS end_offset FROM {LINES})"""
+    out["entities_in_lines"] = f"""SELECT e.doc_id, e.entity_type, e."start", e."end", l.node_id, e."start" - l.start_offset AS node_start, e."end" - l.start_offset AS node_end FROM {joined} e LEFT JOIN {lines} l ON l.doc_id = e.doc_id AND e."start" >= l.start_offset AND e."end" <= l.end_offset"""
+    out["anchors_of_lines"] = f"""SELECT e.doc_id, e.entity_type, e."start", e."end" + 30 AS "end", l.node_id AS segment_id, e."start" - l.start_offset AS local_start, least(e."end" + 30, l.end_offset) - l.start_offset AS local_end FROM {joined} e JOIN {lines} l ON l.doc_id = e.doc_id AND e."start" >= l.start_offset AND e."start" < l.end_offset"""
+    out["spans_overlapping"] = f"""SELECT a.doc_id, a.entity_type, a."start", a."end", b.entity_type AS entity_type_b, b."start" AS start_b, b."end" AS end_b FROM {ALL} a JOIN {entities(*OTHERS)} b ON b.doc_id = a.doc_id AND greatest(a."start", b."start") < least(a."end", b."end")"""
     out["render_markdown"] = f"SELECT doc_id, sha256(string_agg(replace(replace(replace(t, '[***]', '\\[***\\]'), '[___]', '\\[___\\]'), '[###]', '\\[###\\]'), chr(10) || chr(10) ORDER BY ordinal)) AS sha256 FROM {LINES} GROUP BY doc_id"
     out["render_xml"] = f"SELECT doc_id, sha256('<?xml version=\"1.0\" encoding=\"UTF-8\"?><document>' || string_agg('<node id=\"#/texts/' || ordinal || '\" type=\"Text\">' || {ESCAPED} || '</node>', '' ORDER BY ordinal) || '</document>') AS sha256 FROM {LINES} GROUP BY doc_id"
     style = "<style>.masked{background:#eee;border:1px solid #999;padding:0 2px}</style>"

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from umbra.functions.arrays import last_at_most
 from umbra.functions.text import context_of
+from umbra.operators.intervals import holding
 
 CELL = "struct<text:string>"
 SCHEMA = f"schema_name string, version string, name string, texts array<struct<self_ref:string,label:string,text:string,orig:string,level:int,formatting:string,code_language:string>>, tables array<struct<self_ref:string,data:struct<num_rows:int,num_cols:int,table_cells:array<{CELL}>,grid:array<array<{CELL}>>>>>, key_value_items array<struct<self_ref:string,key:struct<text:string>,value:struct<text:string>>>, _corrupt_record string"
@@ -105,11 +107,10 @@ def full_text(rows: DataFrame, text_col: str = "text") -> DataFrame:
 
 def to_node(places: DataFrame, rows: DataFrame) -> DataFrame:
     """Global places (doc_id, start, end) with the node that holds them and their local places; null across nodes."""
-    n = rows.select("doc_id", "node_id", "start_offset", "end_offset")
-    n = n.withColumnRenamed("doc_id", "_d")
+    held = holding(places, rows, "doc_id", keep=("node_id",))
     inside = (F.col("start") >= F.col("start_offset")) & (F.col("end") <= F.col("end_offset"))
-    joined = places.join(n, (F.col("doc_id") == F.col("_d")) & inside, "left")
-    return joined.select(*places.columns, "node_id", (F.col("start") - F.col("start_offset")).alias("node_start"), (F.col("end") - F.col("start_offset")).alias("node_end"))
+    own = lambda c: F.when(inside, c)
+    return held.select(*places.columns, own(F.col("node_id")).alias("node_id"), own(F.col("start") - F.col("start_offset")).alias("node_start"), own(F.col("end") - F.col("start_offset")).alias("node_end"))
 
 
 def to_global(places: DataFrame, rows: DataFrame) -> DataFrame:
@@ -128,8 +129,8 @@ def segments(rows: DataFrame) -> DataFrame:
 
 def segment_at(segments_: Column, place: Column) -> Column:
     """The segment that holds a place; before the first the first, beyond the last, or between two, the one before."""
-    begun = F.filter(segments_, lambda g: g["start"] <= place)
-    return F.coalesce(F.try_element_at(begun, F.lit(-1)), F.try_element_at(segments_, F.lit(1)))
+    at = last_at_most(F.size(segments_), lambda i: F.get(segments_, i)["start"], place)
+    return F.get(segments_, F.greatest(at, F.lit(0)))
 
 
 def document_hash(rows: DataFrame, separator: str = "\n\n") -> DataFrame:
