@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .permute import permuted
 from .text import format_pattern, structured_template
 
 # The kinds of strategies, their options, and what counts as a delimiter.
-KINDS = ("redact", "template", "hash", "partial", "surrogate", "custom")
+KINDS = ("redact", "template", "hash", "partial", "surrogate", "custom", "permute")
 DELIMITERS = "-_.@ ()+"
 ALGORITHMS = ("md5", "sha1", "sha256", "sha384", "sha512")
 ENCODINGS = ("hex", "base64", "base32")
@@ -93,6 +94,7 @@ _CHECKS: dict[str, Callable[[dict], str | None]] = {
     "hash": _of_hash,
     "partial": _of_partial,
     "surrogate": lambda p: None if isinstance(p.get("seed", ""), str) and isinstance(p.get("pattern", ""), str) else "seed and pattern are strings",
+    "permute": lambda p: None if isinstance(p.get("key"), str) and p["key"] else "permute needs a key",
     "custom": lambda p: None if callable(p.get("callback")) else "custom needs a callback",
 }
 
@@ -391,6 +393,8 @@ def native(strategy: Strategy, kind: Column, text: Column) -> Column:
         return hashed(kind, text, p.get("algorithm", "sha256"), p.get("salt", ""), p.get("per_entity_salt"), p.get("truncate"), p.get("prefix", ""), p.get("format_output", "hex"), p.get("consistent_length", True), p.get("preserve_format_structure", False))
     if strategy.kind == "partial":
         return partial(text, p.get("visible_chars", 4), p.get("position", "end"), p.get("mask_char", "*"), p.get("format_aware", True), p.get("preserve_delimiters", True), p.get("min_length", 1))
+    if strategy.kind == "permute":
+        return permuted(kind, text, p["key"])
     raise ValueError(f"{strategy.kind} is not native")
 
 

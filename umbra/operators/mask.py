@@ -111,19 +111,21 @@ def placeholder(kind: Column) -> Column:
     return F.concat(F.lit("["), kind, F.lit("]"))
 
 
-def originals(kept: DataFrame, vault: DataFrame | None = None) -> DataFrame:
-    """Anchors with original: their own, that of the vault (replacement_id, original), or a placeholder."""
+def originals(kept: DataFrame, vault: DataFrame | None = None, policy: Policy | None = None) -> DataFrame:
+    """Anchors with original: their own, that of the vault (replacement_id, original), what the policy's keys turn back, or a
+    placeholder."""
     if vault is not None:
         kept = kept.join(vault.select("replacement_id", F.col("original").alias("_vault")), "replacement_id", "left")
-    known = [F.col("original_text"), *([F.col("_vault")] if vault is not None else []), placeholder(F.col("entity_type"))]
+    turned = [policy.turned_back(F.col("entity_type"), F.col("masked_value"), F.col("context") if "context" in kept.columns else F.lit("paragraph"))] if policy is not None else []
+    known = [F.col("original_text"), *([F.col("_vault")] if vault is not None else []), *turned, placeholder(F.col("entity_type"))]
     return kept.withColumn("original", F.coalesce(*known)).drop("_vault")
 
 
-def unmask(masked: DataFrame, kept: DataFrame, vault: DataFrame | None = None) -> DataFrame:
+def unmask(masked: DataFrame, kept: DataFrame, vault: DataFrame | None = None, policy: Policy | None = None) -> DataFrame:
     """masked (doc_id, node_id, masked_text) with restored_text, by the masked places of the anchors.
 
-    Nodes without anchors keep their text."""
-    rows = originals(kept, vault)
+    Nodes without anchors keep their text.  policy: that of the masking, for strategies that a key turns back."""
+    rows = originals(kept, vault, policy)
     at = F.array_sort(F.collect_list(F.struct(F.col("masked_start").alias("start"), F.col("masked_end").alias("end"), "original")))
     grouped = rows.groupBy("doc_id", "node_id").agg(at.alias("_a"))
     joined = masked.join(grouped, ["doc_id", "node_id"], "left")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.functions.permute import permuted
 from umbra.functions.strategies import REDACT, REDACT_FIXED, Strategy, in_python, native
 from umbra.functions.text import literal_map
 
@@ -128,6 +129,10 @@ class Policy:
         kind, text = span["entity_type"], span["text"]
         return self._by_strategy(kind, context, lambda s: native(s, kind, text) if s.native else F.lit(None).cast("string"))
 
+    def turned_back(self, kind: Column, masked: Column, context: Column) -> Column:
+        """The original of a replacement whose strategy has a key; null for other strategies."""
+        return self._by_strategy(kind, context, lambda s: permuted(kind, masked, s.get("key"), back=True) if s.kind == "permute" else F.lit(None).cast("string"))
+
     def replacements_in_python(self, spans: Column, context: Column) -> Column:
         """For each span the replacement by a strategy that runs in Python, else null: one call for a whole row's spans,
         which gives different texts of a row different surrogates."""
