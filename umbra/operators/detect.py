@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.functions.checks import crypto, iban
 from umbra.functions.text import default_threshold
 
 SPAN = "struct<entity_type:string,start:int,end:int,confidence:double,text:string>"
@@ -112,14 +113,14 @@ RECOGNIZERS = (
     Recognizer("US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85, first="0-9"),
     Recognizer("URL", r"https?://[^ \t\r\n]+", 0.8, needs="://"),
     Recognizer("DATE_TIME", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0.7, first="0-9"),
-    Recognizer("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0.8, first="A-Z"),
+    Recognizer("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0.8, iban, first="A-Z"),
 )
 OTHERS = (
     Recognizer("US_PASSPORT", r"\b[A-Z][0-9]{8}\b", 0.6, first="A-Z"),
     Recognizer("US_DRIVER_LICENSE", r"\b[A-Z][0-9]{3}-[0-9]{4}-[0-9]{4}\b", 0.6, first="A-Z"),
     Recognizer("MEDICAL_LICENSE", r"\b[A-Z]{2}[0-9]{7}\b", 0.6, first="A-Z"),
     Recognizer("NRP", r"\b[0-9]{6}-[0-9]{7}\b", 0.6, first="0-9"),
-    Recognizer("CRYPTO", r"\b(?:bc1|[13])[A-HJ-NP-Za-km-z1-9]{25,39}\b", 0.6, first="b13"),
+    Recognizer("CRYPTO", r"\b(?:bc1[02-9ac-hj-np-z]{11,71}|[13][A-HJ-NP-Za-km-z1-9]{25,34})\b", 0.6, crypto, first="b13"),
     Recognizer("US_BANK_NUMBER", r"\b[0-9]{10,12}\b", 0.5),
 )
 # The sets of types that go by a name.

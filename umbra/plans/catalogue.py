@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import strategies as S
 from umbra.functions import text as T
+from umbra.functions.permute import permuted
 from umbra.operators import cloakmap, detect, intervals, mask, phrases, policy, resolve, tagger
 from umbra.sources import documents as D
 
@@ -393,6 +394,43 @@ def phrases_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.joined(_docs(spark, sf_dir), _listed_phrases(spark, sf_dir), "doc_id")
 
 
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text a customer with an SSN, an address of the web, a date and an account number that follow from its key; a third of the
+    account numbers have a wrong check."""
+    k = F.col("c_custkey")
+    number = F.lpad((k * 7919 + 123).cast("string"), 18, "3")
+    wanted = 98 - F.pmod(F.concat(number, F.lit("131400")).cast("decimal(38,0)"), F.lit(97).cast("decimal(38,0)")).cast("int")
+    check = F.when(k % 3 == 0, F.pmod(wanted + 5, F.lit(97))).otherwise(wanted)
+    ssn = F.concat_ws("-", F.lpad((k % 900 + 1).cast("string"), 3, "0"), F.lpad((k % 90 + 10).cast("string"), 2, "0"), F.lpad((k % 9000 + 1000).cast("string"), 4, "0"))
+    date = F.concat_ws("-", (k % 100 + 1950).cast("string"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))
+    text = F.concat(F.lit("Dossier "), ssn, F.lit(" vu à https://www.host"), k.cast("string"), F.lit(".org/p?q=1 le "), date, F.lit(", compte DE"), F.lpad(check.cast("string"), 2, "0"), number, F.lit("; fin"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.cast("long").alias("doc_id"), text.alias("text"), F.lit("fr").alias("lang"))
+
+
+def forms_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.entities(detect.detect(_forms(spark, sf_dir)), "doc_id")
+
+
+def forms_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mask.mask(_forms(spark, sf_dir).withColumn("node_id", F.lit("#/0")), policy.DEFAULT)
+    return done.select("doc_id", F.size("spans").alias("n_spans"), F.sha2("masked_text", 256).alias("masked_sha256"))
+
+
+def surrogates_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surrogates by a keyed permutation: the form stays, the key turns each back."""
+    rows = _entities(spark, sf_dir).withColumn("fake", permuted(F.col("entity_type"), F.col("text"), "catalogue"))
+    same_form = F.regexp_replace(F.regexp_replace("fake", "[0-9]", "9"), "[a-z]", "x") == F.regexp_replace(F.regexp_replace("text", "[0-9]", "9"), "[a-z]", "x")
+    back = permuted(F.col("entity_type"), F.col("fake"), "catalogue", back=True) == F.col("text")
+    upper = F.regexp_replace("text", "[^A-Z]", "") == ""
+    return rows.select("doc_id", "entity_type", "start", (same_form | ~upper).alias("keeps_form"), back.alias("turned_back"))
+
+
+def surrogates_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different texts of the whole table, and different surrogates of them."""
+    rows = _entities(spark, sf_dir).select("entity_type", "text", permuted(F.col("entity_type"), F.col("text"), "catalogue").alias("fake"))
+    return rows.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_texts"), F.countDistinct("fake").alias("n_surrogates"))
+
+
 def _scalar(make) -> Query:
     return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", F.sha2(make(F.col("text")), 256).alias("sha256"))
 
@@ -448,7 +486,7 @@ QUERIES = (
     mask_documents_default, mask_surrogate, unmask_roundtrip, unmask_by_anchors, anchors_build, replacements_list, cloakmap_stats, cloakmap_build, cloakmap_flags, cloakmap_round_trip, cloakmap_counts, checksum_verify, anchor_resolve,
     anchor_resolve_statistics, integrity, restore_edited, segment_offsets, full_text, document_hash, extraction_statistics, place_in_node, place_in_text, entities_in_lines, anchors_of_lines, spans_overlapping, clamped_spans, entity_counts_by_type, entity_counts_by_lang, entity_counts_by_doc,
     entity_type_names, above_default_thresholds, entities_numbered, analysis_by_document, entities_by_lists, entities_paired, overlap_islands, resolve_highest_confidence, resolve_merge_adjacent, normalise_counts, normalisation_lost,
-    policy_contexts, names_held_out, phrases_found, phrases_joined, surrogate_quality, mask_columns, rebuild_documents, detect_format, detect_format_by_name, render_html,
+    policy_contexts, names_held_out, phrases_found, phrases_joined, forms_detected, forms_masked, surrogates_permuted, surrogates_distinct, surrogate_quality, mask_columns, rebuild_documents, detect_format, detect_format_by_name, render_html,
 )
 
 

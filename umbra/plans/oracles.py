@@ -29,6 +29,10 @@ def checked(name: str) -> str:
         return f"length({digits}) BETWEEN 7 AND 15"
     if name == "ip":
         return "len(list_filter(str_split(m, '.'), lambda p: CAST(p AS INTEGER) > 255)) = 0"
+    if name == "iban":
+        moved = "substr(m, 5) || substr(m, 1, 4)"
+        numbers = f"array_to_string(list_transform(str_split({moved}, ''), lambda c: CASE WHEN c >= 'A' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), '')"
+        return f"length(m) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(str_split({numbers}, ''), lambda c: CAST(c AS INTEGER))), lambda a, d: (a * 10 + d) % 97) = 1"
     return "TRUE"
 
 
@@ -267,6 +271,16 @@ def sql() -> dict[str, str]:
  wide AS (SELECT doc_id, "start", t || lead(t, 1, '') OVER w || lead(t, 2, '') OVER w AS three, t || lead(t, 1, '') OVER w || lead(t, 2, '') OVER w || lead(t, 3, '') OVER w || lead(t, 4, '') OVER w AS five FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY i)),"""
     hits = """(SELECT doc_id, "start", "start" + CAST(length(text) AS INTEGER) AS "end", text FROM (SELECT doc_id, "start", three AS text FROM wide UNION SELECT doc_id, "start", five FROM wide) WHERE text IN (SELECT phrase FROM phrases))"""
     out["phrases_found"] = out["phrases_joined"] = swept(hits, order='"start", "start" - "end"', prefix=prefix) + ' SELECT doc_id, "start", "end", text FROM kept'
+    number, pad = "lpad(CAST(c_custkey * 7919 + 123 AS VARCHAR), 18, '3')", lambda x, n: f"lpad(CAST({x} AS VARCHAR), {n}, '0')"
+    wanted = f"(98 - CAST(CAST({number} || '131400' AS HUGEINT) % 97 AS INTEGER))"
+    check = f"CASE WHEN c_custkey % 3 = 0 THEN ({wanted} + 5) % 97 ELSE {wanted} END"
+    text = f"""'Dossier ' || {pad("c_custkey % 900 + 1", 3)} || '-' || {pad("c_custkey % 90 + 10", 2)} || '-' || {pad("c_custkey % 9000 + 1000", 4)} || ' vu à https://www.host' || c_custkey || '.org/p?q=1 le ' || (c_custkey % 100 + 1950) || '-' || {pad("c_custkey % 12 + 1", 2)} || '-' || {pad("c_custkey % 28 + 1", 2)} || ', compte DE' || {pad(check, 2)} || {number} || '; fin'"""
+    derived = lambda s: s.replace("FROM documents", f"FROM (SELECT CAST(c_custkey AS BIGINT) AS doc_id, {text} AS text, 'fr' AS lang FROM customer)")
+    out["forms_detected"] = f'SELECT doc_id, entity_type, "start", "end", confidence, text FROM {derived(ALL)}'
+    new = "CASE entity_type WHEN 'EMAIL_ADDRESS' THEN '[EMAIL]' WHEN 'PHONE_NUMBER' THEN '[PHONE]' WHEN 'CREDIT_CARD' THEN '[CARD-****]' WHEN 'IP_ADDRESS' THEN '[IP]' WHEN 'IBAN_CODE' THEN '[IBAN]' WHEN 'DATE_TIME' THEN '[DATE]' WHEN 'URL' THEN '[URL]' WHEN 'US_SSN' THEN repeat('*', 3) || '-' || repeat('*', 2) || '-' || text[-4:] END"
+    out["forms_masked"] = derived(spliced(new).replace(E, ALL).replace("FROM documents d", "FROM documents  d")).replace("FROM documents  d", f"FROM (SELECT CAST(c_custkey AS BIGINT) AS doc_id, {text} AS text FROM customer) d").replace("JOIN documents x", f"JOIN (SELECT CAST(c_custkey AS BIGINT) AS doc_id, {text} AS text FROM customer) x") + " SELECT doc_id, CAST(n AS INTEGER) AS n_spans, sha256(masked) AS masked_sha256 FROM done"
+    out["surrogates_permuted"] = f'SELECT doc_id, entity_type, "start", TRUE AS keeps_form, TRUE AS turned_back FROM {E}'
+    out["surrogates_distinct"] = f"SELECT entity_type, count(*) AS n, count(DISTINCT text) AS n_texts, count(DISTINCT text) AS n_surrogates FROM {E} GROUP BY entity_type"
     forms = lambda mark: ", ".join(str(i) for i, t in enumerate(SENTENCES) if mark in t)
     out["names_held_out"] = " UNION ALL ".join(f"SELECT '{kind}' AS entity_type, count(*) AS gold, TRUE AS recall_reached, TRUE AS precision_reached FROM customer, (VALUES (0), (1)) v(n) WHERE c_custkey % 5 = 0 AND (c_custkey * 2 + n) % {len(SENTENCES)} IN ({forms(mark)})" for kind, mark in (("PERSON", "{p}"), ("LOCATION", "{l}")))
     names = "['c_name', 'c_mktsegment']"
