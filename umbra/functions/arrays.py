@@ -16,29 +16,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _from(start: Column, numbers: Column) -> Column:
-    """start, start + n0, start + n0 + n1, ...: one entry for each number, before it is added."""
-    begin = F.struct(start.alias("s"), F.array().cast("array<long>").alias("out"))
-    return F.aggregate(numbers, begin, lambda a, n: F.struct((a["s"] + n).alias("s"), F.concat(a["out"], F.array(a["s"])).alias("out")), lambda a: a["out"])
+def running(numbers: Column, start: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """array<long>: for each of the numbers what add() makes of start and all before it; add is associative.
 
-
-def running_sums(numbers: Column) -> Column:
-    """array<long>: for each of the numbers the sum of those before it.
-
-    Sums of parts of PART numbers first, of those the running sums, then the parts from where they begin: PART copies a
+    Parts of PART numbers are added up first, those in turn, and then the parts from where they begin: PART copies a
     number, and one for each pair of parts."""
+    begin = start.cast("long")
+
+    def each(a: Column, first: Column) -> Column:
+        held = F.struct(first.alias("s"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(a, held, lambda h, n: F.struct(add(h["s"], n).alias("s"), F.concat(h["out"], F.array(h["s"])).alias("out")), lambda h: h["out"])
 
     def of(a: Column) -> Column:
         part = lambda k: F.slice(a, k * PART + 1, F.lit(PART))
         parts = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / PART).cast("int"))
-        totals = F.transform(parts, lambda k: F.aggregate(part(k), F.lit(0).cast("long"), lambda s, n: s + n))
-        begins = F.when(F.size(a) <= PART, F.array(F.lit(0).cast("long"))).otherwise(_from(F.lit(0).cast("long"), totals))
-        many = let(begins, lambda b: F.flatten(F.transform(b, lambda s, k: _from(s, part(k)))))
-        return F.when(F.size(a) == 0, F.array().cast("array<long>")).otherwise(many)
+        totals = F.transform(parts, lambda k: F.aggregate(part(k), begin, add))
+        many = let(each(totals, begin), lambda b: F.flatten(F.transform(b, lambda s, k: each(part(k), s))))
+        return F.when(F.size(a) == 0, F.array().cast("array<long>")).when(F.size(a) <= PART, each(a, begin)).otherwise(many)
 
     return let(F.transform(numbers, lambda n: n.cast("long")), of)
 
 
+def running_sums(numbers: Column) -> Column:
+    """For each of the numbers the sum of those before it."""
+    return running(numbers, F.lit(0), lambda a, b: a + b)
+
+
+def running_max(numbers: Column) -> Column:
+    """For each of the numbers the largest before it; for the first one below all that are met."""
+    return running(numbers, F.lit(-(1 << 62)), lambda a, b: F.greatest(a, b))
+
+
 def kept_in_order(spans: Column, start: str = "start", end: str = "end") -> Column:
     """Of spans in order those that begin at or after the end of the last that was kept.
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.functions.arrays import let, running_sums
 from umbra.functions.checks import crypto, iban
 from umbra.functions.text import default_threshold
 
@@ -255,16 +256,15 @@ def none_found() -> Column:
 def spans_of(text: Column, r: Recognizer) -> Column:
     """The recognizer's spans of a text: code points, end exclusive, in order."""
     marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(INSTEAD)), f"({r.here})", f"{MARK}$1{MARK}")
-    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), none_found().alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        end = a["pos"] + F.char_length(x)
-        span = F.struct(F.lit(r.entity_type).alias("entity_type"), a["pos"].alias("start"), end.alias("end"), F.lit(r.score).alias("confidence"), x.alias("text"))
-        return F.struct(end.alias("pos"), (1 - a["i"]).alias("i"), F.when(a["i"] == 1, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+    def spans(parts: Column, starts: Column) -> Column:
+        """Gap, match, gap, match, ..., gap, and where each begins."""
+        end = lambda i: F.get(starts, i) + F.char_length(F.get(parts, i))
+        one = lambda i: F.struct(F.lit(r.entity_type).alias("entity_type"), F.get(starts, i).cast("int").alias("start"), end(i).cast("int").alias("end"), F.lit(r.score).alias("confidence"), F.get(parts, i).alias("text"))
+        return F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), one)
 
     def of(m: Column) -> Column:
-        """The spans of a text with marks: gap, match, gap, match, ..., gap."""
-        return F.when(F.contains(m, F.lit(MARK)), F.aggregate(F.split(m, MARK, -1), start, step, lambda a: a["out"])).otherwise(none_found())
+        cut = let(F.split(m, MARK, -1), lambda p: let(running_sums(F.transform(p, F.char_length)), lambda s: spans(p, s)))
+        return F.when(F.contains(m, F.lit(MARK)), cut).otherwise(none_found())
 
     found = F.transform(F.array(marked), of)[0]  # the pattern runs once, whatever asks for its result
     found = F.when(F.contains(text, F.lit(r.needs)), found).otherwise(none_found()) if r.needs else found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.functions.arrays import last_at_most, let
+from umbra.functions.arrays import last_at_most, let, running_sums
 from umbra.functions.text import entity_type
 
 from .detect import RECOGNIZERS, detect
@@ -36,20 +36,16 @@ def splice(text: Column, spans: Column, new: str = "replacement") -> Column:
     return F.when(F.size(spans) > MANY, many).when(F.size(spans) > 0, few).otherwise(text)
 
 
-MASKED_SPAN = "struct<entity_type:string,start:int,end:int,confidence:double,text:string,replacement:string,masked_start:int,masked_end:int>"
-
-
 def with_masked_places(spans: Column) -> Column:
     """spans with masked_start, masked_end: where the replacements lie in the masked text."""
-    start = F.struct(F.lit(0).alias("shift"), F.array().cast(f"array<{MASKED_SPAN}>").alias("out"))
+    grown = F.transform(spans, lambda s: F.char_length(s["replacement"]) - s["end"] + s["start"])
 
-    def step(a: Column, s: Column) -> Column:
-        at, size = s["start"] + a["shift"], F.char_length(s["replacement"])
+    def place(s: Column, shift: Column) -> Column:
+        at = (s["start"] + shift).cast("int")
         fields = [s[n].alias(n) for n in ("entity_type", "start", "end", "confidence", "text", "replacement")]
-        span = F.struct(*fields, at.alias("masked_start"), (at + size).alias("masked_end"))
-        return F.struct((a["shift"] + size - s["end"] + s["start"]).alias("shift"), F.concat(a["out"], F.array(span)).alias("out"))
+        return F.struct(*fields, at.alias("masked_start"), (at + F.char_length(s["replacement"])).alias("masked_end"))
 
-    return F.aggregate(spans, start, step, lambda a: a["out"])
+    return F.zip_with(spans, running_sums(grown), place)
 
 
 def filtered(nodes: DataFrame, policy: Policy) -> DataFrame:

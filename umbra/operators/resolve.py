@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.functions.arrays import kept_in_order, let, running_max
+
 from .detect import SPAN, in_order
 
 # How specific the types are.
@@ -24,16 +26,30 @@ def sorted_by(spans: Column, *keys) -> Column:
 
 
 def kept_in_turn(spans: Column) -> Column:
-    """Spans in the order given, each kept if it is disjoint from all kept before; by start."""
+    """Spans in the order given, each kept if it is disjoint from all kept before; by start.
+
+    Spans are cut into islands, which no span of another one overlaps, and settled island by island: the cost grows with the
+    spans, and with the square of an island's only."""
     empty = F.array().cast(f"array<{SPAN}>")
     apart = lambda a, x: ~F.exists(a, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    return in_order(F.aggregate(spans, empty, lambda a, x: F.when(apart(a, x), F.concat(a, F.array(x))).otherwise(a)))
+    ranked = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("rank"), s.alias("s"))))
+
+    def settled(island: Column) -> Column:
+        turns = F.array_sort(F.transform(island, lambda x: F.struct(x["rank"].alias("rank"), x["s"].alias("s"))))
+        kept = F.aggregate(turns, empty, lambda a, x: F.when(apart(a, x["s"]), F.concat(a, F.array(x["s"]))).otherwise(a))
+        return F.when(F.size(island) == 1, F.transform(island, lambda x: x["s"])).otherwise(kept)
+
+    def of(a: Column) -> Column:
+        heads = let(running_max(F.transform(a, lambda x: x["end"])), lambda reach: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.get(a, i)["start"] >= F.get(reach, i)))
+        cut = let(heads, lambda h: F.transform(h, lambda x, k: F.slice(a, x + 1, F.coalesce(F.get(h, k + 1), F.size(a)) - x)))
+        return F.when(F.size(a) == 0, empty).otherwise(F.flatten(F.transform(cut, settled)))
+
+    return in_order(let(ranked, of))
 
 
 def swept(spans: Column) -> Column:
     """Spans in the order given, each kept if it starts at or after the end of the last one kept."""
-    empty = F.array().cast(f"array<{SPAN}>")
-    return F.aggregate(spans, empty, lambda a, x: F.when((F.size(a) == 0) | (x["start"] >= F.try_element_at(a, F.lit(-1))["end"]), F.concat(a, F.array(x))).otherwise(a))
+    return kept_in_order(spans)
 
 
 def greedy(spans: Column) -> Column:
