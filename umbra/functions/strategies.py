@@ -346,13 +346,18 @@ def distinct_surrogate(kind: str | None, text: str, seed: str, taken: dict[str,
     return free
 
 
-def called(callback: Callable, kind: str, text: str, confidence: float) -> str:
-    """callback(original_text=, entity_type=, confidence=), or asterisks where it fails or gives no text."""
+def attempted(callback: Callable, kind: str, text: str, confidence: float) -> str | None:
+    """callback(original_text=, entity_type=, confidence=), or None where it fails or gives no text."""
     try:
         out = callback(original_text=text, entity_type=kind, confidence=confidence)
     except Exception:  # a user's function; the mask must still hide the text
-        out = None
-    return out if isinstance(out, str) else "*" * max(1, len(text))
+        return None
+    return out if isinstance(out, str) and out else None
+
+
+def called(callback: Callable, kind: str, text: str, confidence: float) -> str:
+    """attempted(), or asterisks."""
+    return attempted(callback, kind, text, confidence) or "*" * max(1, len(text))
 
 
 def in_python(strategy: Strategy, kind: str, text: str, confidence: float, seed: str = "", taken: dict[str, str] | None = None) -> str:
@@ -420,6 +425,12 @@ def fallback_chain(strategy: Strategy, kind: str) -> list[Strategy]:
     return [Strategy("hash", {"algorithm": "sha256", "truncate": 8}), *rest] if strategy.kind == "surrogate" else rest
 
 
+def fallback(strategy: Strategy, kind: Column, text: Column) -> Column:
+    """What stands in where a strategy gave nothing: the first of its fallbacks that gives a text, at last asterisks."""
+    tried = [F.nullif(native(s, kind, text), F.lit("")) for s in fallback_chain(strategy, "{entity_type}")]
+    return F.coalesce(*tried, F.repeat(F.lit("*"), F.greatest(F.char_length(text), F.lit(1))))
+
+
 def with_fallback(value: Column, strategy: Strategy, kind_name: str, kind: Column, text: Column) -> Column:
     """value, or where it is null the first of the fallbacks, at last asterisks."""
     return F.coalesce(value, *[native(s, kind, text) for s in fallback_chain(strategy, kind_name)], F.repeat(F.lit("*"), F.greatest(F.char_length(text), F.lit(1))))

@@ -54,15 +54,17 @@ def filtered(nodes: DataFrame, policy: Policy) -> DataFrame:
 
 def replaced(nodes: DataFrame, policy: Policy) -> DataFrame:
     """nodes whose spans carry their replacement: column expressions, and one Python call a row for the strategies that
-    need Python, if the policy has any.  An empty or missing replacement is an asterisk."""
+    need Python, if the policy has any.  An empty or missing replacement is the first fallback that gives one where the policy
+    has fallbacks, else an asterisk."""
     context = F.col("context")
     own = nodes.withColumn("spans", F.transform("spans", lambda s: F.struct(*[s[n].alias(n) for n in ("entity_type", "start", "end", "confidence", "text")], policy.replacement(s, context).alias("replacement"))))
     if not policy.native:
         own = own.withColumn("_python", policy.replacements_in_python(F.col("spans"), context))
         joined = F.zip_with("spans", "_python", lambda s, r: s.withField("replacement", F.coalesce(s["replacement"], r)))
         own = own.withColumn("spans", joined).drop("_python")
-    full = lambda r: F.when(F.char_length(r) > 0, r).otherwise(F.lit("*"))
-    return own.withColumn("spans", F.transform("spans", lambda s: s.withField("replacement", full(s["replacement"]))))
+    instead = lambda s: policy.fallback(s, context) if policy.fallbacks else F.lit("*")
+    full = lambda s: F.when(F.char_length(s["replacement"]) > 0, s["replacement"]).otherwise(instead(s))
+    return own.withColumn("spans", F.transform("spans", lambda s: s.withField("replacement", full(s))))
 
 
 def mask(nodes: DataFrame, policy: Policy = DEFAULT, recognizers=RECOGNIZERS, resolution: str = "greedy", detected: bool = False) -> DataFrame:

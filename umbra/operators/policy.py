@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions.permute import permuted
-from umbra.functions.strategies import REDACT, REDACT_FIXED, Strategy, in_python, native
+from umbra.functions.strategies import REDACT, REDACT_FIXED, Strategy, attempted, fallback, in_python, native
 from umbra.functions.text import literal_map
 
 CONTEXTS = {"heading", "table", "footer", "header", "list", "paragraph", "code", "formula"}
@@ -50,6 +50,8 @@ class Policy:
     seed: str = ""
     callbacks: dict[str, Callable] = field(default_factory=dict)
     privacy_level: str = "medium"
+    #: Where a strategy fails or gives nothing, its fallbacks are tried in turn; without, an asterisk or asterisks stand there.
+    fallbacks: bool = False
 
     def __post_init__(self) -> None:
         limits = [*self.thresholds.values(), self.min_confidence, *(x for r in self.contexts.values() for x in (r.threshold, *r.threshold_overrides.values()) if x is not None)]
@@ -138,6 +140,11 @@ class Policy:
         which gives different texts of a row different surrogates."""
         policy = self
 
+        def given(how: Strategy, s, taken: dict[str, str]) -> str | None:
+            if policy.fallbacks and how.kind == "custom":
+                return attempted(how.get("callback"), s["entity_type"], s["text"], s["confidence"])
+            return in_python(how, s["entity_type"], s["text"], s["confidence"], policy.seed, taken)
+
         @F.pandas_udf("array<string>")
         def replaced(spans: pd.Series, context: pd.Series) -> pd.Series:
             out = []
@@ -147,11 +154,16 @@ class Policy:
                     continue
                 taken: dict[str, str] = {}
                 chosen = [(s, policy.strategy(s["entity_type"], where)) for s in row]
-                out.append([None if how.native else in_python(how, s["entity_type"], s["text"], s["confidence"], policy.seed, taken) for s, how in chosen])
+                out.append([None if how.native else given(how, s, taken) for s, how in chosen])
             return pd.Series(out, dtype=object)
 
         return replaced(spans, context)
 
+    def fallback(self, span: Column, context: Column) -> Column:
+        """What stands in for a span whose strategy gave nothing."""
+        kind, text = span["entity_type"], span["text"]
+        return self._by_strategy(kind, context, lambda s: fallback(s, kind, text))
+
     def strategy_name(self, kind: Column, context: Column | None = None) -> Column:
         return self._by_strategy(kind, F.lit(None).cast("string") if context is None else context, lambda s: F.lit(s.kind))
 

@@ -125,6 +125,16 @@ def shout(original_text: str, entity_type: str, confidence: float) -> str:
     return f"<{entity_type.lower()} {len(original_text)}>"
 
 
+def shout_some(original_text: str, entity_type: str, confidence: float) -> str | None:
+    """Fails for texts of even length, and gives nothing for addresses of IP."""
+    if entity_type == "IP_ADDRESS":
+        return None
+    if len(original_text) % 2 == 0:
+        raise ValueError("even")
+    return shout(original_text, entity_type, confidence)
+
+
+FAILING = policy.Policy(S.Strategy("custom", {"callback": shout_some}), fallbacks=True)
 CUSTOM = policy.Policy(S.Strategy("custom", {"callback": shout}))
 SURROGATE = policy.Policy(S.Strategy("surrogate", {"seed": "catalogue"}))
 
@@ -496,7 +506,7 @@ def queries() -> dict[str, Query]:
     out |= {f"mask_{n}": _strategy(n) for n in STRATEGIES}
     out |= {f"overlap_{n}": _resolved(n) for n in resolve.RESOLVERS}
     out |= {"policy_threshold": _filtered(STRICT), "policy_lists_and_length": _filtered(LISTS)}
-    out |= {"mask_custom": _masked_hash(CUSTOM), "mask_mixed_policy": _masked_hash(policy.MIXED_STRATEGY_POLICY)}
+    out |= {"mask_custom": _masked_hash(CUSTOM), "mask_with_fallbacks": _masked_hash(FAILING), "mask_mixed_policy": _masked_hash(policy.MIXED_STRATEGY_POLICY)}
     out |= {"format_pattern": _scalar(T.format_pattern), "format_template": _scalar(T.generic_template), "normalise_whitespace": _scalar(T.normalise_whitespace), "normalise_whitespace_aggressive": _scalar(lambda c: T.normalise_whitespace(c, True))}
     out |= {"render_markdown": _rendered(D.to_markdown), "render_xml": _rendered(D.to_xml), "render_html_document": _rendered(D.to_html)}
     return out

@@ -208,6 +208,7 @@ def sql() -> dict[str, str]:
     out["mask_mixed_policy"] = spliced(f"CASE entity_type WHEN 'EMAIL_ADDRESS' THEN {EMAIL_FORM} WHEN 'CREDIT_CARD' THEN 'CC_' || {truncated('sha256(' + salted('', repr('cc_secure_v1')) + ')', 'sha256', 12, 52)} WHEN 'IP_ADDRESS' THEN repeat('*', CAST(length(text) AS INTEGER)) END").replace(
         f"FROM {E}", f"FROM (SELECT * FROM {E} WHERE confidence >= CASE entity_type WHEN 'PHONE_NUMBER' THEN 0.8 WHEN 'EMAIL_ADDRESS' THEN 0.7 WHEN 'CREDIT_CARD' THEN 0.9 ELSE 0.5 END)") + " SELECT doc_id, sha256(masked) AS masked_sha256 FROM done"
     out["mask_custom"] = spliced("'<' || lower(entity_type) || ' ' || CAST(length(text) AS VARCHAR) || '>'") + " SELECT doc_id, sha256(masked) AS masked_sha256 FROM done"
+    out["mask_with_fallbacks"] = spliced("CASE WHEN entity_type = 'IP_ADDRESS' OR length(text) % 2 = 0 THEN '[' || entity_type || ']' ELSE '<' || lower(entity_type) || ' ' || CAST(length(text) AS VARCHAR) || '>' END") + " SELECT doc_id, sha256(masked) AS masked_sha256 FROM done"
     out["mask_surrogate"] = f"""{swept(E)} SELECT doc_id, entity_type, "start", TRUE AS keeps_form, TRUE AS differs, TRUE AS found_again FROM kept"""
     out["unmask_roundtrip"] = out["unmask_by_anchors"] = "SELECT doc_id, TRUE AS same FROM documents"
     key = "substr(sha256(':' || key), 1, 16)"
