@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from umbra.functions import strategies as S
 from umbra.functions import text as T
 from umbra.functions.permute import permuted
-from umbra.operators import cloakmap, detect, intervals, mask, phrases, policy, resolve, tagger
+from umbra.operators import cloakmap, detect, intervals, mask, phrases, policy, resolve, tagger, vault
 from umbra.sources import documents as D
 
 from . import names
@@ -234,6 +234,35 @@ def restore_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask.restore(edited, mask.anchors(done))[0].select("doc_id", F.sha2("restored_text", 256).alias("sha256"))
 
 
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors looked for in masked texts that were changed by document: moved by 0, 12, 33 or 70 characters, without
+    their addresses of mail, or gone."""
+    done, k = _masked(spark, sf_dir), F.col("doc_id") % 6
+    moved = F.when(k == 1, 12).when(k == 2, 33).when(k == 3, 70).otherwise(0)
+    text = F.concat(F.repeat(F.lit("z"), moved), F.when(k == 4, F.replace("masked_text", F.lit("[EMAIL]"), F.lit(""))).otherwise(F.col("masked_text")))
+    return mask.resolve_anchors(done.filter(k != 5).select("doc_id", "node_id", text.alias("masked_text")), mask.anchors(done))
+
+
+def anchor_resolve_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark, sf_dir).select("doc_id", "start", "entity_type", "found", "delta", F.round("found_confidence", 6).alias("confidence"), "reason")
+
+
+def restoration_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.restoration_statistics(_edited(spark, sf_dir), "entity_type").select("entity_type", "anchors", "restored", "verified", "no_node", "no_value", "unsure")
+
+
+def maps_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps encrypted and opened again, and opened after one character was changed."""
+    lines = cloakmap.to_json(_maps(spark, sf_dir))
+    sealed = vault.seal(lines, b"catalogue-master-key-of-32-bytes", "k1")
+    keys = {"k1": b"catalogue-master-key-of-32-bytes"}
+    opened = vault.unseal(sealed, keys).withColumnRenamed("value", "plain")
+    bent = vault.unseal(sealed.withColumn("value", F.regexp_replace("value", '"encrypted_content":"(.)', '"encrypted_content":"-$1')), keys).select("doc_id", F.col("error").alias("bent"))
+    rows = lines.join(opened, "doc_id").join(bent, "doc_id")
+    fields = "version string, doc_id string, doc_hash string, anchors string"
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), (F.from_json("plain", fields) == F.from_json("value", fields)).alias("same"), "error", F.col("bent").alias("error_of_bent"))
+
+
 def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.lines(_docs(spark, sf_dir)).select("doc_id", "ordinal", "start_offset", "end_offset")
 
@@ -494,7 +523,7 @@ STRICT = policy.Policy(thresholds={"PHONE_NUMBER": 0.8, "EMAIL_ADDRESS": 0.5}, m
 LISTS = policy.Policy(allow=frozenset({"4952935900253052"}), deny=frozenset({"1.1.1.1"}), min_length=15)
 QUERIES = (
     mask_documents_default, mask_surrogate, unmask_roundtrip, unmask_by_anchors, anchors_build, replacements_list, cloakmap_stats, cloakmap_build, cloakmap_flags, cloakmap_round_trip, cloakmap_counts, checksum_verify, anchor_resolve,
-    anchor_resolve_statistics, integrity, restore_edited, segment_offsets, full_text, document_hash, extraction_statistics, place_in_node, place_in_text, entities_in_lines, anchors_of_lines, spans_overlapping, clamped_spans, entity_counts_by_type, entity_counts_by_lang, entity_counts_by_doc,
+    anchor_resolve_statistics, anchor_resolve_edited, restoration_by_reason, maps_sealed, integrity, restore_edited, segment_offsets, full_text, document_hash, extraction_statistics, place_in_node, place_in_text, entities_in_lines, anchors_of_lines, spans_overlapping, clamped_spans, entity_counts_by_type, entity_counts_by_lang, entity_counts_by_doc,
     entity_type_names, above_default_thresholds, entities_numbered, analysis_by_document, entities_by_lists, entities_paired, overlap_islands, resolve_highest_confidence, resolve_merge_adjacent, normalise_counts, normalisation_lost,
     policy_contexts, names_held_out, phrases_found, phrases_joined, forms_detected, forms_masked, surrogates_permuted, surrogates_distinct, surrogate_quality, mask_columns, rebuild_documents, detect_format, detect_format_by_name, render_html,
 )

@@ -222,6 +222,18 @@ def sql() -> dict[str, str]:
     out["checksum_verify"] = f"{MASKED} SELECT TRUE AS ok, count(*) AS n FROM anchored"
     out["anchor_resolve"] = f'{MASKED} SELECT doc_id, "start", CAST(masked_start AS INTEGER) AS masked_start, CAST(masked_start AS INTEGER) AS found, 0 AS delta, CAST(1.0 AS DOUBLE) AS confidence FROM anchored'
     out["anchor_resolve_statistics"] = f"{MASKED} SELECT entity_type, count(*) AS anchors, count(*) AS found, CAST(1 AS DOUBLE) AS success_rate, count(*) AS sure, CAST(0 AS BIGINT) AS likely, CAST(0 AS BIGINT) AS weak, CAST(0 AS DOUBLE) AS avg_delta, 0 AS max_delta FROM anchored GROUP BY entity_type"
+    # The nearest place of the value within 100 characters of the expected one, in the edited text.
+    edited = f"""{MASKED},
+ looked AS MATERIALIZED (SELECT a.doc_id, a."start", a.entity_type, CAST(a.masked_start AS BIGINT) AS expected, a.new, a.text, CASE WHEN a.doc_id % 6 <> 5 THEN
+   repeat('z', CASE a.doc_id % 6 WHEN 1 THEN 12 WHEN 2 THEN 33 WHEN 3 THEN 70 ELSE 0 END) || CASE WHEN a.doc_id % 6 = 4 THEN replace(d.masked, '[EMAIL]', '') ELSE d.masked END END AS t FROM anchored a JOIN done d ON d.doc_id = a.doc_id),
+ placed AS (SELECT *, list_filter(range(greatest(expected - 100, 0), least(expected + 100, length(t) - length(new)) + 1), lambda i: substr(t, i + 1, length(new)) = new) AS hits FROM looked),
+ best AS (SELECT *, list_min(list_transform(hits, lambda i: abs(i - expected))) AS delta FROM placed),
+ sure AS (SELECT *, CASE WHEN delta = 0 THEN 1.0 WHEN delta <= 20 THEN 1 - delta / 100 ELSE (1 - delta / 100) * 0.8 END AS confidence FROM best),
+ resolved AS MATERIALIZED (SELECT *, CASE WHEN confidence >= 0.5 THEN list_filter(hits, lambda i: abs(i - expected) = delta)[1] END AS found FROM sure),
+ told AS (SELECT doc_id, "start", entity_type, CAST(found AS INTEGER) AS found, CAST(delta AS INTEGER) AS delta, round(CAST(confidence AS DOUBLE), 6) AS confidence, CASE WHEN found IS NOT NULL THEN NULL WHEN t IS NULL THEN 'node not found' WHEN delta IS NULL THEN 'value not found' ELSE 'confidence too low' END AS reason FROM resolved)"""
+    out["anchor_resolve_edited"] = f"{edited} SELECT * FROM told"
+    out["restoration_by_reason"] = f"""{edited} SELECT entity_type, count(*) AS anchors, count(found) AS restored, count(found) AS verified, count(*) FILTER (WHERE reason = 'node not found') AS no_node, count(*) FILTER (WHERE reason = 'value not found') AS no_value, count(*) FILTER (WHERE reason = 'confidence too low') AS unsure FROM told GROUP BY entity_type"""
+    out["maps_sealed"] = "SELECT doc_id, TRUE AS same, CAST(NULL AS VARCHAR) AS error, 'tampered' AS error_of_bent FROM documents"
     out["restore_edited"] = "SELECT doc_id, sha256('new ' || text) AS sha256 FROM documents"
     out["integrity"] = f"{MASKED} SELECT doc_id, TRUE AS valid, CAST(0 AS BIGINT) AS failed FROM anchored GROUP BY doc_id"
     out["entity_counts_by_type"] = f"SELECT entity_type, count(*) AS n, count(DISTINCT text) AS n_texts FROM {E} GROUP BY entity_type"
