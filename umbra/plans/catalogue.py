@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra import sql as sql_functions
 from umbra.functions import strategies as S
 from umbra.functions import text as T
 from umbra.functions.permute import permuted
@@ -328,6 +329,12 @@ def entity_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entities(spark, sf_dir).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_texts"))
 
 
+def detect_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by the table function, joined laterally."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT d.doc_id, e.entity_type, e.start, e.end, e.confidence, e.text FROM {docs} d, LATERAL detect_pii(d.text) e", docs=_docs(spark, sf_dir))
+
+
 def entity_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entities(spark, sf_dir).groupBy("lang", "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -523,7 +530,7 @@ STRICT = policy.Policy(thresholds={"PHONE_NUMBER": 0.8, "EMAIL_ADDRESS": 0.5}, m
 LISTS = policy.Policy(allow=frozenset({"4952935900253052"}), deny=frozenset({"1.1.1.1"}), min_length=15)
 QUERIES = (
     mask_documents_default, mask_surrogate, unmask_roundtrip, unmask_by_anchors, anchors_build, replacements_list, cloakmap_stats, cloakmap_build, cloakmap_flags, cloakmap_round_trip, cloakmap_counts, checksum_verify, anchor_resolve,
-    anchor_resolve_statistics, anchor_resolve_edited, restoration_by_reason, maps_sealed, integrity, restore_edited, segment_offsets, full_text, document_hash, extraction_statistics, place_in_node, place_in_text, entities_in_lines, anchors_of_lines, spans_overlapping, clamped_spans, entity_counts_by_type, entity_counts_by_lang, entity_counts_by_doc,
+    anchor_resolve_statistics, anchor_resolve_edited, restoration_by_reason, maps_sealed, integrity, restore_edited, segment_offsets, full_text, document_hash, extraction_statistics, place_in_node, place_in_text, entities_in_lines, anchors_of_lines, spans_overlapping, clamped_spans, entity_counts_by_type, detect_by_sql, entity_counts_by_lang, entity_counts_by_doc,
     entity_type_names, above_default_thresholds, entities_numbered, analysis_by_document, entities_by_lists, entities_paired, overlap_islands, resolve_highest_confidence, resolve_merge_adjacent, normalise_counts, normalisation_lost,
     policy_contexts, names_held_out, phrases_found, phrases_joined, forms_detected, forms_masked, surrogates_permuted, surrogates_distinct, surrogate_quality, mask_columns, rebuild_documents, detect_format, detect_format_by_name, render_html,
 )

@@ -237,6 +237,7 @@ def sql() -> dict[str, str]:
     out["restore_edited"] = "SELECT doc_id, sha256('new ' || text) AS sha256 FROM documents"
     out["integrity"] = f"{MASKED} SELECT doc_id, TRUE AS valid, CAST(0 AS BIGINT) AS failed FROM anchored GROUP BY doc_id"
     out["entity_counts_by_type"] = f"SELECT entity_type, count(*) AS n, count(DISTINCT text) AS n_texts FROM {E} GROUP BY entity_type"
+    out["detect_by_sql"] = f'SELECT doc_id, entity_type, "start", "end", confidence, text FROM {ALL}'
     out["entity_counts_by_lang"] = f"SELECT lang, entity_type, count(*) AS n FROM {E} GROUP BY lang, entity_type"
     out["entity_counts_by_doc"] = f"SELECT doc_id, count(*) AS n FROM {E} GROUP BY doc_id"
     out["entity_type_names"] = f'SELECT doc_id, "start", {ALIASED} AS entity_type FROM {ALL}'
