@@ -287,7 +287,7 @@ def spans_by_functions(text: Column, recognizers: list[FunctionRecognizer]) -> C
             out.append(spans)
         return pd.Series(out, dtype=object)
 
-    return found(text)
+    return found.asNondeterministic()(text)  # so that no plan runs it twice
 
 
 def spans_by_models(text: Column, models: list[BatchRecognizer], spark) -> Column:
@@ -303,7 +303,7 @@ def spans_by_models(text: Column, models: list[BatchRecognizer], spark) -> Colum
                 own += [{"entity_type": kind, "start": a, "end": b, "confidence": c, "text": t[a:b]} for a, b, kind, c in spans if kind in wanted]
         return pd.Series(out, dtype=object)
 
-    return found(text)
+    return found.asNondeterministic()(text)  # so that no plan runs it twice
 
 
 def in_order(spans: Column) -> Column:

@@ -157,7 +157,7 @@ class Policy:
                 out.append([None if how.native else given(how, s, taken) for s, how in chosen])
             return pd.Series(out, dtype=object)
 
-        return replaced(spans, context)
+        return replaced.asNondeterministic()(spans, context)  # so that no plan runs it twice, or within another expression
 
     def fallback(self, span: Column, context: Column) -> Column:
         """What stands in for a span whose strategy gave nothing."""
