@@ -253,22 +253,35 @@ def none_found() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def spans_of(text: Column, r: Recognizer) -> Column:
-    """The recognizer's spans of a text: code points, end exclusive, in order."""
-    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(INSTEAD)), f"({r.here})", f"{MARK}$1{MARK}")
+def _marked(text: Column, r: Recognizer) -> Column:
+    """text with the recognizer's matches between marks, or an empty one where it cannot have any."""
+    out = F.regexp_replace(text, f"({r.here})", f"{MARK}$1{MARK}")
+    return F.when(F.contains(text, F.lit(r.needs)), out).otherwise(F.lit("")) if r.needs else out
+
+
+def _places(marked: Column) -> Column:
+    """start, end and text of the matches of a marked text: gap, match, gap, match, ..., gap."""
+
     def spans(parts: Column, starts: Column) -> Column:
-        """Gap, match, gap, match, ..., gap, and where each begins."""
-        end = lambda i: F.get(starts, i) + F.char_length(F.get(parts, i))
-        one = lambda i: F.struct(F.lit(r.entity_type).alias("entity_type"), F.get(starts, i).cast("int").alias("start"), end(i).cast("int").alias("end"), F.lit(r.score).alias("confidence"), F.get(parts, i).alias("text"))
+        one = lambda i: F.struct(F.get(starts, i).cast("int").alias("start"), (F.get(starts, i) + F.char_length(F.get(parts, i))).cast("int").alias("end"), F.get(parts, i).alias("text"))
         return F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), one)
 
-    def of(m: Column) -> Column:
-        cut = let(F.split(m, MARK, -1), lambda p: let(running_sums(F.transform(p, F.char_length)), lambda s: spans(p, s)))
-        return F.when(F.contains(m, F.lit(MARK)), cut).otherwise(none_found())
+    cut = let(F.split(marked, MARK, -1), lambda p: let(running_sums(F.transform(p, F.char_length)), lambda s: spans(p, s)))
+    return F.when(F.contains(marked, F.lit(MARK)), cut).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+
+
+def spans_of(text: Column, *recognizers: Recognizer) -> Column:
+    """The recognizers' spans of a text, one recognizer's after the other's: code points, end exclusive, each in order.
+
+    The marked texts are cut by one expression, so a plan grows little with the recognizers."""
+
+    def named(found: Column, r: Recognizer) -> Column:
+        spans = F.transform(found, lambda s: F.struct(F.lit(r.entity_type).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), F.lit(r.score).alias("confidence"), s["text"].alias("text")))
+        return F.filter(spans, lambda s: r.check(s["text"])) if r.check else spans
 
-    found = F.transform(F.array(marked), of)[0]  # the pattern runs once, whatever asks for its result
-    found = F.when(F.contains(text, F.lit(r.needs)), found).otherwise(none_found()) if r.needs else found
-    return F.filter(found, lambda s: r.check(s["text"])) if r.check else found
+    plain = F.replace(text, F.lit(MARK), F.lit(INSTEAD))
+    found = let(plain, lambda t: F.transform(F.array(*[_marked(t, r) for r in recognizers]), _places))
+    return let(found, lambda f: F.concat(*[named(F.get(f, F.lit(i)), r) for i, r in enumerate(recognizers)]))
 
 
 def spans_by_functions(text: Column, recognizers: list[FunctionRecognizer]) -> Column:
@@ -316,7 +329,8 @@ def detect(nodes: DataFrame, recognizers=RECOGNIZERS, text_col: str = "text") ->
     """nodes with spans: array of SPAN; narrow, no shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     functions = [r for r in recognizers if isinstance(r, FunctionRecognizer)]
-    parts = [spans_of(text, r) for r in recognizers if isinstance(r, Recognizer)]
+    own = [r for r in recognizers if isinstance(r, Recognizer)]
+    parts = [spans_of(text, *own)] if own else []
     if functions:
         nodes = nodes.withColumn("_by_functions", spans_by_functions(text, functions))
         parts.append(F.coalesce("_by_functions", none_found()))
