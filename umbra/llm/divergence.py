@@ -11,7 +11,7 @@ below its document frequency.  Counts stop at `least`, which merging keeps exact
 sketches are cut into blocks, merged by block in two steps (no task gets more than the square root of the partial ones),
 and what is left is one bit a cell.  In the second pass each task counts its terms by group and drops those whose
 bits say that they cannot reach `least`; survivors are counted exactly, and only then are rare terms that came through left
-out.  The sketch's width follows the text's bytes up to 2**MOST_BITS cells a row (48 MB broadcast in all): beyond it fewer
+out.  The sketch has a cell a row for 32 to 64 bytes of text, up to 2**MOST_BITS cells (48 MB broadcast in all): beyond it fewer
 terms are dropped early and the result is the same.
 
 Pairs: a term that neither of two groups has adds the same to each pair, so it is enough to meet terms that both have (a join
@@ -71,12 +71,11 @@ class Cells:
 
 
 def merged(offsets: list[bytes], counts: list[bytes], most: int) -> np.ndarray:
-    """A block of cells, each at most `most`."""
-    out = np.zeros(1 << BLOCK_BITS, np.int64)
+    """A block of cells, each at most `most`; no partial count is more, so sums of them stay small."""
+    out = np.zeros(1 << BLOCK_BITS, np.uint32)
     for o, c in zip(offsets, counts, strict=True):
         out[np.frombuffer(o, np.uint16)] += np.frombuffer(c, np.uint32)
-        np.minimum(out, most, out)
-    return out
+    return np.minimum(out, most, out)
 
 
 def _parts(block: np.ndarray) -> tuple[bytes, bytes]:
@@ -178,7 +177,7 @@ def counted(docs: DataFrame, least: int = 30, depth: int = 3, text_col: str = "t
     """lang, source, term, n, docs: exact counts of all terms that the sketch does not rule out, a written table."""
     rows = _read(docs, text_col, lang_col, source_col)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head()["n"]
-    cells = Cells(min(MOST_BITS, max(LEAST_BITS, (size // 16).bit_length())), depth)
+    cells = Cells(min(MOST_BITS, max(LEAST_BITS, (size // 64).bit_length())), depth)
     found = survivors(rows, cells, sketch(rows, cells, least))
     return written(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
 
