@@ -22,7 +22,8 @@ each class, each with its whole text; the sample's windows are counted by Spark,
 `dictionary_windows` of them a class and width, and the gains of each sample document.
 
 The sizes of the dictionaries (`toxic_bytes`, `ordinary_bytes`, before widening) and the number of windows they are chosen
-from are the model's size, as the number of buckets is elsewhere; every window of every text is scored.
+from are the model's size, as the number of buckets is elsewhere.  Every single word of every text is scored, and of the
+wider windows those that share a word pair with the toxic dictionary; the others are not compressed.
 
 zstandard's own trainer cuts segments at any byte and spends most of a small dictionary on pieces of telling words: with
 it, and with plain bytes, windows of 3 or 4 words found 52 to 55 % of held-out toxic documents at 3 to 5 % of the clean
