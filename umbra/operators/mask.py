@@ -88,7 +88,7 @@ def replacements(masked: DataFrame) -> DataFrame:
 def anchors(masked: DataFrame, policy: Policy = DEFAULT, salt: str = "", keep_original: bool = True) -> DataFrame:
     """One row a masked span: places before and after, ids and salted checksums, all derived from the row."""
     context = [c for c in ("context",) if c in masked.columns]
-    rows = masked.select("doc_id", "node_id", *context, F.posexplode("spans").alias("seq", "s")).select("doc_id", "node_id", *context, "seq", "s.*")
+    rows = masked.select("doc_id", "node_id", *context, F.posexplode_outer("spans").alias("seq", "s")).filter("seq is not null").select("doc_id", "node_id", *context, "seq", "s.*")
     key = F.concat_ws(":", "doc_id", "node_id", "entity_type", F.col("start").cast("string"))
     own_salt = F.substring(F.sha2(F.concat(F.lit(salt + ":"), key), 256), 1, 16)
     return rows.select(

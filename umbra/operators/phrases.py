@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.errors import ValidationError
-from umbra.functions.arrays import kept_in_order
+from umbra.functions.arrays import exploded, kept_in_order
 
 from .detect import BatchRecognizer
 
@@ -224,5 +224,5 @@ def joined(nodes: DataFrame, names: DataFrame, *by: str, text_col: str = "text",
         rows = met.select(*keys, F.struct("start", "end", "own").alias("s"))
     else:
         ordered = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("e"), "end", "own")))
-        rows = met.groupBy(*keys).agg(ordered.alias("a")).select(*keys, F.explode(kept_in_order(F.col("a"))).alias("s"))
+        rows = exploded(met.groupBy(*keys).agg(ordered.alias("a")), kept_in_order(F.col("a")), *keys)
     return rows.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], "s.start", "s.end", F.col("s.own").alias("text"))

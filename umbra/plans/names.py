@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.sources.tables import spread
+
 FIRST = ("Al", "Be", "Cor", "Da", "El", "Fa", "Gre", "Ho", "Iv", "Jo", "Ka", "Lu", "Mi", "Na", "Os", "Pe", "Ro", "Sa", "Ti", "Vi")
 FIRST_ENDS = ("an", "rta", "in", "lia", "mund", "na", "or", "rik", "ssa", "ven", "wyn")
 LAST = ("Ander", "Bran", "Carl", "Dort", "Ell", "Fisch", "Grun", "Hart", "Ing", "Kess", "Lind", "Mor", "Nord", "Oster", "Pell", "Quin", "Rosen")
@@ -26,7 +28,7 @@ def _pick(of: tuple[str, ...], n: Column) -> Column:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, text and spans: two sentences a customer; every seventh place is the customer's nation."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    customers = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey"), "c_custkey")
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.initcap("n_name").alias("nation"))
     rows = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     h = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "c_custkey", "n"), F.lit(1 << 30))
