@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from umbra.functions.arrays import last_at_most, let, running_sums
 from umbra.functions.text import entity_type
@@ -17,6 +19,8 @@ from .resolve import RESOLVERS
 MANY = 24
 # How far from its place a masked value is looked for, the steps of confidence, and the least that counts.
 WINDOW, REACH, SEARCHED, LEAST = 20, 100, 0.8, 0.5
+#: What an anchor without a place costs where anchors that collide are placed in order, in characters of shift.
+UNPLACED = 20
 
 
 def splice(text: Column, spans: Column, new: str = "replacement") -> Column:
@@ -138,12 +142,13 @@ def unmask_rows(masked: DataFrame) -> DataFrame:
     return masked.withColumn("_a", at).withColumn("restored_text", splice(F.col("masked_text"), F.col("_a"), "original")).drop("_a")
 
 
-def resolve_anchors(masked: DataFrame, kept: DataFrame, window: int = WINDOW, reach: int = REACH, shifted: bool = True) -> DataFrame:
+def resolve_anchors(masked: DataFrame, kept: DataFrame, window: int = WINDOW, reach: int = REACH, shifted: bool = True, all_places: bool = False) -> DataFrame:
     """Anchors with found (place in an edited masked text or null), delta, found_confidence and reason.
 
     The expected place, 1.0; else the nearest within `window` (1 - delta / 100); else the nearest occurrence within
     `reach` (0.8 of that); below 0.5 the anchor fails.  A value of asterisks is only found where the run of asterisks has
-    its length.  shifted: the expected place counts the masks before it; without, the anchors' own places hold."""
+    its length.  shifted: the expected place counts the masks before it; without, the anchors' own places hold.
+    all_places: with places, all that are sure enough, and the expected one."""
     before = F.sum(F.char_length("masked_value") - F.col("end") + F.col("start")).over(Window.partitionBy("doc_id", "node_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     shift = F.coalesce(before, F.lit(0)) if shifted else F.lit(0)
     rows = kept.withColumn("expected", (F.col("start") + shift).cast("int")).join(masked.select("doc_id", "node_id", "masked_text"), ["doc_id", "node_id"], "left")
@@ -158,21 +163,65 @@ def resolve_anchors(masked: DataFrame, kept: DataFrame, window: int = WINDOW, re
     places = F.when((F.col("_hi") >= F.col("_lo")) & (F.col("_n") > 0), F.sequence("_lo", "_hi")).otherwise(F.array().cast("array<int>"))
     hits = F.filter(places, lambda i: (F.substring("_cut", at(i) + 1, F.col("_n")) == value) & (isolated(i) | (i == F.col("expected"))))
     best = F.get(F.array_sort(F.transform(hits, lambda i: F.struct(F.abs(i - F.col("expected")).alias("delta"), i.alias("at")))), F.lit(0))
+    rows = rows.withColumn("_hits", hits) if all_places else rows
     rows = rows.withColumn("_b", best)
+    sure = lambda delta: F.when(delta == 0, 1.0).when(delta <= window, 1 - delta / 100).otherwise((1 - delta / 100) * SEARCHED)
     delta = F.col("_b.delta")
-    confidence = F.when(delta == 0, 1.0).when(delta <= window, 1 - delta / 100).otherwise((1 - delta / 100) * SEARCHED)
+    confidence = sure(delta)
+    rows = rows.withColumn("places", F.filter("_hits", lambda i: sure(F.abs(i - F.col("expected"))) >= LEAST)).drop("_hits") if all_places else rows
     rows = rows.withColumns({"delta": delta, "found_confidence": confidence, "found": F.when(confidence >= LEAST, F.col("_b.at"))})
     reason = F.when(F.col("masked_text").isNull(), "node not found").when(F.col("_b").isNull(), "value not found").when(confidence < LEAST, "confidence too low")
     return rows.withColumn("reason", F.when(F.col("found").isNull(), reason)).drop("_b", "_n", "_lo", "_hi", "_pad", "_cut", "masked_text")
 
 
+def in_order_places(anchors: list[tuple[int, int, list[int]]]) -> list[int | None]:
+    """A place for each anchor (expected place, length, places in question), in order and without overlap, or None.
+
+    The places of least cost: what the shift against the expected place changes from one anchor to the next (the first one's
+    counts up to UNPLACED), and UNPLACED for an anchor without a place; of equal cost those of more anchors."""
+    # shift of the last placed anchor -> (cost, anchors without a place, end of the last placed one, chain of (anchor, place))
+    states: dict[int | None, tuple] = {None: (0, 0, 0, None)}
+    for k, (at, n, places) in enumerate(anchors):
+        after = {shift: (cost + UNPLACED, without + 1, end, chain) for shift, (cost, without, end, chain) in states.items()}
+        for place in places:
+            for shift, (cost, without, end, chain) in states.items():
+                if place >= end:
+                    moved = min(abs(place - at), UNPLACED) if shift is None else abs(place - at - shift)
+                    new = (cost + moved, without, place + n, (k, place, chain))
+                    if place - at not in after or new[:3] < after[place - at][:3]:
+                        after[place - at] = new
+        states = after
+    out: list[int | None] = [None] * len(anchors)
+    chain = min(states.values(), key=lambda s: s[:2])[3]
+    while chain:
+        out[chain[0]], chain = chain[1], chain[2]
+    return out
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _moved(nodes: pd.Series) -> pd.Series:
+    """in_order_places() of the anchors of each node; null: null."""
+    return pd.Series([None if a is None else in_order_places([(s["at"], s["n"], list(s["places"] if s["places"] is not None else ())) for s in a]) for a in nodes], dtype=object)
+
+
 def restore(masked: DataFrame, kept: DataFrame, vault: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(masked with restored_text, the resolved anchors): unmasking of texts that may have been edited since.
 
-    Each anchor is put back where resolve_anchors() finds it; of two that are found at one place the surer stays."""
-    found = originals(resolve_anchors(masked, kept, **options), vault)
-    spans = F.collect_list(F.when(F.col("found").isNotNull(), F.struct(F.col("entity_type"), F.col("found").alias("start"), (F.col("found") + F.char_length("masked_value")).alias("end"), F.col("found_confidence").alias("confidence"), F.col("original").alias("text"))))
-    grouped = found.groupBy("doc_id", "node_id").agg(spans.alias("_a"))
+    Each anchor is put back where resolve_anchors() finds it.  Where anchors of a node are found at one place, or out of
+    their order, as equal masks a few characters apart are after a small shift, all of the node keep their order and take
+    a place each (in_order_places())."""
+    found = originals(resolve_anchors(masked, kept, all_places=True, **options), vault)
+    length = F.char_length("masked_value")
+    one = F.struct("start", "entity_type", F.col("expected").alias("at"), "found", length.alias("n"), "places", F.col("found_confidence").alias("confidence"), F.col("original").alias("text"))
+    grouped = found.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    hit = F.filter("_all", lambda s: s["found"].isNotNull())
+    ends = F.transform(hit, lambda s: s["found"] + s["n"])
+    crossed = F.exists(F.zip_with(F.slice(hit, 2, F.greatest(F.size(hit), F.lit(1))), ends, lambda s, end: s["found"] < end), lambda x: F.coalesce(x, F.lit(False)))
+    grouped = grouped.withColumn("_moved", _moved(F.when(crossed, F.transform("_all", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["places"].alias("places"))))))
+    placed = F.when(F.col("_moved").isNull(), F.col("_all")).otherwise(F.zip_with("_all", "_moved", lambda s, to: s.withField("found", to)))
+    spans = F.transform(F.filter(placed, lambda s: s["found"].isNotNull()), lambda s: F.struct(s["entity_type"].alias("entity_type"), s["found"].alias("start"), (s["found"] + s["n"]).alias("end"), s["confidence"].alias("confidence"), s["text"].alias("text")))
+    grouped = grouped.select("doc_id", "node_id", spans.alias("_a"))
+    found = found.drop("places")
     joined = masked.join(grouped, ["doc_id", "node_id"], "left").withColumn("_a", RESOLVERS["sure_and_long"](F.coalesce("_a", F.array().cast(grouped.schema["_a"].dataType))))
     return joined.withColumn("restored_text", splice(F.col("masked_text"), F.col("_a"), "text")).drop("_a"), found
 
