@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from umbra.operators import detect, mask
+from umbra.operators import detect, mask, resolve
 from umbra.plans import catalogue
 from umbra.sources.tables import spread
 
@@ -33,3 +33,14 @@ def test_rows_of_one_split_are_dealt_over_tasks(spark, tmp_path):
     texts = catalogue._forms(spark, folder)  # keys beyond what 32 bits hold times 7919
     assert texts.rdd.getNumPartitions() == 3
     assert texts.select("doc_id", "text").distinct().count() == 12_000
+
+
+def test_faults_of_spans_are_those_of_the_rows(spark):
+    schema = "id int, spans array<struct<entity_type:string,start:int,end:int,confidence:double,text:string>>"
+    row = lambda *spans: [("T", a, b, c, "x" * (b - a)) for a, b, c in spans]
+    docs = spark.createDataFrame([(1, row((0, 5, 0.99), (0, 5, 0.99), (3, 20, 0.5))), (2, row((0, 4, 0.96), (4, 9, 0.97))), (3, []), (1, row((1, 5, 0.99))), (4, None)], schema)
+    after = detect.entities(docs.withColumn("spans", resolve.RESOLVERS["longest"](F.col("spans"))), "id")
+    want = sorted(map(tuple, resolve.normalisation_faults(detect.entities(docs, "id"), after, "id").collect()))
+    got = resolve.faults_of_spans(docs, "longest", "id")
+    assert sorted(map(tuple, got.collect())) == want == [(1, 0, 5, "lost"), (1, 3, 20, "overlap")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1  # spans are made once
