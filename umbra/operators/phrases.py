@@ -13,6 +13,7 @@ MOST_BYTES of phrases, measured before; beyond that `joined()` finds the same by
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,7 @@ TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
 MOST_BYTES = 64 << 20
 #: Tokens of a piece of a text, and characters of the texts that are read side by side.
 PIECE, TOGETHER = 256, 1 << 21
+U = np.uint64
 
 
 def tokens(phrase: str, fold: bool) -> list[str]:
@@ -191,32 +193,118 @@ def of_table(entity_type: str, names: DataFrame, column: str = "text", score: fl
     return phrases(entity_type, sorted(r["p"] for r in rows.toLocalIterator()), score, fold)
 
 
+class TokenNumbers(dict):
+    """token -> a number of 64 bits; the same in all workers."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        raw = token.encode("utf-8", "surrogatepass")
+        out = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x9E3779B9)
+        if len(raw) <= 64:
+            self[token] = out
+        return out
+
+
+def token_numbers(of: list[str]) -> np.ndarray:
+    numbers = TokenNumbers()
+    return np.array([numbers[t] for t in of], np.uint64)
+
+
+def marks_of(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` tokens in a row."""
+    out = np.zeros(max(len(h) - size + 1, 0), np.uint64)
+    for i in range(size):
+        out = (out ^ h[i : i + len(out)]) * U(0x9FB21C651E98DF25)
+        out ^= out >> U(29)
+    return out
+
+
+@dataclass(frozen=True)
+class Listed:
+    """Lets pass the marks (63 bits) of a list, and few others: a bitmap of 16 to 32 bits a phrase.
+
+    A list beyond MOST_BITS (32 MB) has none; every piece passes then, and the join does all the work."""
+
+    bits: int
+    bitmap: np.ndarray | None
+
+    MOST_BITS = 28
+
+    @classmethod
+    def of(cls, listed: DataFrame) -> Listed:
+        bits = max(16, (16 * listed.count()).bit_length())
+        if bits > cls.MOST_BITS:
+            return cls(bits, None)
+        per = 1 << (bits - 10)
+
+        def build(key, table):
+            own = np.zeros(per, bool)
+            own[np.array(table.column("at").to_pylist(), np.int64) % per] = True
+            return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+        at = F.expr(f"mark % {1 << bits}")
+        out = np.zeros(1 << (bits - 3), np.uint8)
+        for r in listed.select(at.alias("at"), F.floor(at / per).cast("long").alias("slice")).groupBy("slice").applyInArrow(build, "slice long, bits binary").toLocalIterator():  # 1024 rows at most
+            out[r["slice"] * per // 8 : (r["slice"] + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
+        return cls(bits, out)
+
+    def holds(self, marks: np.ndarray) -> np.ndarray:
+        if self.bitmap is None:
+            return np.ones(len(marks), bool)
+        at = (marks & U((1 << self.bits) - 1)).astype(np.int64)
+        return (self.bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 def joined(nodes: DataFrame, names: DataFrame, *by: str, text_col: str = "text", column: str = "text", fold: bool = False, all_matches: bool = False) -> DataFrame:
     """by, start, end, text: what phrases() finds, for lists of any size.  `by` names a row of nodes.
 
-    Each row gives the pieces of its text that are as many tokens long as a phrase is, and those meet the list by a join on the
-    text; the lengths (a few numbers) are collected, nothing else."""
+    Each row gives the pieces of its text that are as many tokens long as a phrase is and pass a filter of the phrases' hashes
+    (Listed), and those meet the list by a join on the text; the lengths (a few numbers) and the filter are collected,
+    nothing else."""
 
     def split(batches):
         for batch in batches:
             many = [t for t in (tokens(p, fold) for p in batch.column(0).to_pylist()) if t]
-            yield pa.RecordBatch.from_arrays([pa.array(["".join(t) for t in many], pa.string()), pa.array(list(map(len, many)), pa.int32())], ["phrase", "size"])
+            marks = [int(marks_of(token_numbers(t), len(t))[0]) >> 1 for t in many]
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(t) for t in many], pa.string()), pa.array(list(map(len, many)), pa.int32()), pa.array(marks, pa.int64())], ["phrase", "size", "mark"])
 
-    listed = names.select(F.col(column).alias("p")).filter("p is not null").mapInArrow(split, "phrase string, size int").distinct()
+    listed = names.select(F.col(column).alias("p")).filter("p is not null").mapInArrow(split, "phrase string, size int, mark long").distinct()
     sizes = sorted(r["size"] for r in listed.select("size").distinct().collect())
+    known = nodes.sparkSession.sparkContext.broadcast(Listed.of(listed))
     keys = [f"_k{i}" for i in range(len(by))]
     schema = ", ".join([*(f"{k} {nodes.schema[b].dataType.simpleString()}" for k, b in zip(keys, by, strict=True)), "start int, end int, piece string, own string"])
 
     def cut(batches):
+        numbers = TokenNumbers()
         for batch in batches:
-            texts = batch.column(len(keys)).to_pylist()
-            for row, text in enumerate(texts):
-                found = [m.span() for m in TOKEN.finditer(text or "")]
-                plain = [text[a:b].casefold() if fold else text[a:b] for a, b in found]
-                spans = [(i, i + size) for size in sizes for i in range(len(found) - size + 1) if not plain[i].isspace() and not plain[i + size - 1].isspace()]
-                if spans:
-                    own = [pa.repeat(batch.column(k)[row], len(spans)) for k in range(len(keys))]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array([found[a][0] for a, _ in spans], pa.int32()), pa.array([found[b - 1][1] for _, b in spans], pa.int32()), pa.array(["".join(plain[a:b]) for a, b in spans]), pa.array([text[found[a][0] : found[b - 1][1]] for a, b in spans])], [*keys, "start", "end", "piece", "own"])
+            rows, starts, ends, pieces, owns = [], [], [], [], []
+
+            def made():
+                own = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(len(keys))]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*own, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(pieces, pa.string()), pa.array(owns, pa.string())], [*keys, "start", "end", "piece", "own"])  # noqa: B023
+
+            for row, text in enumerate(batch.column(len(keys)).to_pylist()):
+                plain = found = TOKEN.findall(text or "")
+                if fold:
+                    plain = [t.casefold() for t in found]
+                h = np.fromiter(map(numbers.__getitem__, plain), np.uint64, len(plain))
+                hits = [(i, size) for size in sizes if size <= len(h) for i in np.flatnonzero(known.value.holds(marks_of(h, size) >> U(1))).tolist()]
+                if not hits:
+                    continue
+                place = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))  # TOKEN leaves nothing out
+                for i, size in hits:
+                    if not plain[i].isspace() and not plain[i + size - 1].isspace():
+                        rows.append(row)
+                        starts.append(int(place[i]))
+                        ends.append(int(place[i + size]))
+                        pieces.append("".join(plain[i : i + size]))
+                        owns.append("".join(found[i : i + size]))
+                if len(rows) > 10_000:
+                    yield made()
+                    rows, starts, ends, pieces, owns = [], [], [], [], []
+            if rows:
+                yield made()
 
     pieces = nodes.select(*[F.col(b).alias(k) for k, b in zip(keys, by, strict=True)], F.col(text_col).alias("_t")).mapInArrow(cut, schema)
     met = pieces.join(listed, pieces["piece"] == listed["phrase"]).select(*keys, "start", "end", "own")
