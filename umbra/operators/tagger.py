@@ -285,11 +285,12 @@ def fit(examples: DataFrame, types: tuple[str, ...] = ("PERSON", "LOCATION"), ep
         sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("change", "mean") for i in range(size)]
         weights, moves = tagger.weights.astype(np.float64), tagger.transitions.copy()
         average_w, average_t = weights.copy(), moves.copy()
-        for r in parts.groupBy("row").agg(*sums).toLocalIterator():  # 2**bits + size + 2 rows at most
+        for r in parts.groupBy("row").agg(*sums, F.count(F.lit(1)).alias("shards")).toLocalIterator():  # 2**bits + size + 2 rows at most
             if r["row"] < 0:
                 mistakes.append(r["change1"] / max(r["change0"], 1))
                 continue
-            change, mean = np.array(r[1 : size + 1], float) / shards, np.array(r[size + 1 :], float) / (UNIT * shards)
+            # the mean of the shards that changed the row: over all of them, what few saw would fade as shards grow in number
+            change, mean = np.array(r[1 : size + 1], float) / r["shards"], np.array(r[size + 1 : 2 * size + 1], float) / (UNIT * r["shards"])
             to, average, at = (weights, average_w, r["row"]) if r["row"] < len(weights) else (moves, average_t, r["row"] - len(weights))
             to[at] += change
             average[at] += mean
