@@ -55,12 +55,12 @@ def letter_model(tokenizer):
 
 
 @functools.lru_cache(1)
-def encoder(tokenizer_path: str, cached_words: int = 500_000):
+def encoder(tokenizer_path: str, cached_words: int = 500_000, keep: bool = True):
     """text -> numpy uint32 ids, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
     The tokenizer drops white space before it looks for words, so a text is encoded word by word with a bounded cache.
     A word's leading letters go to the model directly, where letter_model() can; the marks behind them are words too.
-    A Python worker keeps the cache for its next tasks.
+    A Python worker keeps the tokenizer, and with `keep` the cache too, for its next tasks.
     Texts are cut at plain spaces and line feeds only; any other white space stays for the tokenizer.
     """
     from tokenizers import Tokenizer
@@ -71,8 +71,8 @@ def encoder(tokenizer_path: str, cached_words: int = 500_000):
     def encode(s: str) -> list[int]:
         return tokenizer.encode(s, add_special_tokens=False).ids
 
-    marks = Cache(lambda s: array("I", encode(s)).tobytes(), 10_000)
-    stems = Cache(lambda s: array("I", of_letters(s)).tobytes(), cached_words // 2)
+    marks = Cache(lambda s: array("I", encode(s)).tobytes(), 10_000, keep)
+    stems = Cache(lambda s: array("I", of_letters(s)).tobytes(), cached_words // 2, keep)
 
     def word(w: str) -> bytes:
         stem = w.rstrip(".,;:!?&$%#*")
@@ -81,7 +81,7 @@ def encoder(tokenizer_path: str, cached_words: int = 500_000):
             return ids + marks[w[len(stem) :]] if len(stem) < len(w) else ids
         return array("I", encode(w)).tobytes()
 
-    cache = Cache(word, cached_words)
+    cache = Cache(word, cached_words, keep)
 
     def ids(text: str | None) -> np.ndarray:
         if not text:
@@ -91,11 +91,11 @@ def encoder(tokenizer_path: str, cached_words: int = 500_000):
     return ids
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 500_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 500_000, keep: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the separator, cut at multiples of capacity."""
 
     def run(batches):
-        ids = encoder(tokenizer_path, cached_words)
+        ids = encoder(tokenizer_path, cached_words, keep)
         for batch in slices(batches):
             rows = []
             for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
@@ -174,9 +174,9 @@ def pack_pieces(found: DataFrame, capacity: int = 2048, max_docs: int | None = N
     return dealt.groupBy("_group").applyInArrow(run, PACKED)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 500_000, **options) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 500_000, keep: bool = True, **options) -> DataFrame:
     """Tokenise and pack whole documents: one row a piece (PACKED)."""
-    return pack_pieces(written(pieces(docs, tokenizer_path, capacity, separator, id_col, text_col, cached_words)), capacity, **options)
+    return pack_pieces(written(pieces(docs, tokenizer_path, capacity, separator, id_col, text_col, cached_words, keep)), capacity, **options)
 
 
 def texts_of(packed: DataFrame, docs: DataFrame) -> DataFrame:
