@@ -51,6 +51,8 @@ from .quality import POINT, SCORES, sample_of
 
 #: Bytes written for one.
 WIDTH = 3
+#: For each byte, the bytes written behind it.
+OTHERS = tuple(bytes((b * times + more) % 256 for b in range(256)) for times, more in ((167, 13), (91, 7)))
 #: Toxic sample documents that a telling window is in, at least: the choices.
 LEVELS = (3, 4, 5, 6, 8, 12, 24)
 #: Shares of the sample that are measured by dictionaries of the others.
@@ -60,10 +62,11 @@ NONE = -99
 
 def widened(text: bytes) -> bytes:
     """Each byte as WIDTH bytes, the byte and fixed linear functions of it."""
-    b = np.frombuffer(text, np.uint8)
-    out = np.empty((len(b), WIDTH), np.uint8)
-    out[:, 0], out[:, 1], out[:, 2] = b, b * np.uint8(167) + np.uint8(13), b * np.uint8(91) + np.uint8(7)
-    return out.tobytes()
+    out = bytearray(WIDTH * len(text))
+    out[::WIDTH] = text
+    for i, other in enumerate(OTHERS, 1):
+        out[i::WIDTH] = text.translate(other)
+    return bytes(out)
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -94,19 +97,6 @@ class Part:
     pairs: frozenset  # the word pairs of the toxic dictionary
     point: float = 0.0
 
-    def meter(self):
-        """window -> gain.  A window that the toxic dictionary explains too badly for any gain has gain NONE."""
-        toxic, ordinary = compressor(self.toxic), compressor(self.ordinary)
-
-        def gain(window: bytes) -> int:
-            data = widened(b" %b " % window)
-            t = len(toxic.compress(data))
-            if t - self.floor > 10 and 2 * t >= len(data) + 20 + self.floor:
-                return NONE
-            return len(ordinary.compress(data)) - t - max(0, t - self.floor)
-
-        return gain
-
     def windows(self, found: list[bytes]):
         """The windows of words that the dictionaries are asked about."""
         if self.width == 1:
@@ -117,23 +107,46 @@ class Part:
 
     def distance(self, cached: int = 250_000):
         """words -> the largest gain of their windows."""
-        gains = Cache(self.meter(), cached)
-        return lambda found: max(map(gains.__getitem__, self.windows(found)), default=NONE)
+        gains = meter([self])
+        gain = Cache(lambda window: gains(window)[0], cached)
+        return lambda found: max(map(gain.__getitem__, self.windows(found)), default=NONE)
 
 
-def distances(parts: list[Part | None], cached: int = 50_000):
-    """words -> the largest gain under each of parts, whose dictionaries hold ever fewer of the same windows: what the
-    first explains too badly the others do too."""
+def meter(parts: list[Part | None]):
+    """window -> its gain under each of parts.  A window that a toxic dictionary explains too badly for any gain has gain
+    NONE.  The parts share their ordinary dictionary, and the toxic ones hold ever fewer of the same windows: what the first
+    explains too badly the others do too.  A window is widened once and compressed once with each different dictionary."""
     none = (NONE,) * len(parts)
     if not parts[0]:
-        return lambda found: none
-    first, *rest = [p.meter() if p else lambda window: NONE for p in parts]
+        return lambda window: none
+    kinds = list(dict.fromkeys((p.toxic, p.floor) for p in parts if p))
+    place = [kinds.index((p.toxic, p.floor)) if p else len(kinds) for p in parts]
+    toxic, ordinary = [(compressor(content).compress, floor) for content, floor in kinds], compressor(parts[0].ordinary).compress
+
+    def gains(window: bytes) -> tuple[int, ...]:
+        data, found, plain = widened(b" %b " % window), [], None
+        for compress, floor in toxic:
+            t = len(compress(data))
+            if t - floor > 10 and 2 * t >= len(data) + 20 + floor:
+                if not found:
+                    return none
+                found.append(NONE)
+                continue
+            if plain is None:
+                plain = len(ordinary(data))
+            found.append(plain - t - max(0, t - floor))
+        found.append(NONE)
+        return tuple([found[i] for i in place])
+
+    return gains
 
-    def gain(window: bytes) -> tuple[int, ...]:
-        g = first(window)
-        return none if g == NONE else (g, *(m(window) for m in rest))
 
-    gains = Cache(gain, cached)
+def distances(parts: list[Part | None], cached: int = 50_000):
+    """words -> the largest gain under each of parts, as in meter()."""
+    none = (NONE,) * len(parts)
+    if not parts[0]:
+        return lambda found: none
+    gains = Cache(meter(parts), cached)
     return lambda found: tuple(map(max, zip(none, *{gains[w] for w in parts[0].windows(found)}, strict=True)))
 
 
